@@ -111,7 +111,7 @@ def text_class(content: Column) -> Column:
     A multi-byte character cut at the end of the window does not make it invalid.
     """
     head = F.substring(content, 1, 4096)
-    latin = F.decode(head, F.lit("ISO-8859-1"))
+    latin = F.decode(head, "ISO-8859-1")
     whole = F.regexp_replace(latin, r"[\xC2-\xF4][\x80-\xBF]{0,2}\z", "")
     utf8 = F.is_valid_utf8(head.cast("string")) | ((F.octet_length(content) > 4096) & F.is_valid_utf8(F.encode(whole, "ISO-8859-1").cast("string")))
     bom = lambda h: F.startswith(head, F.unhex(F.lit(h)))

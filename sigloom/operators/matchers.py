@@ -93,7 +93,7 @@ def mime_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
 
 def xml_root(content: Column) -> Column:
     """struct(root, xmlns) of the first element of an XML text; empty where there is none."""
-    head = F.regexp_replace(F.decode(F.substring(content, 1, 65536), F.lit("UTF-8")), "^\ufeff", "")
+    head = F.regexp_replace(F.substring(content, 1, 65536).cast("string"), "^\ufeff", "")
     tag = F.regexp_extract(head, r"(?s)\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>]|\[.*?\])*>)*<([A-Za-z_][^\s/>]*(?:\s[^>]*)?)/?>", 1)
     open_tag = F.when(tag != "", tag).otherwise(F.regexp_extract(head, r"(?s)\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>]|\[.*?\])*>)*<([A-Za-z_][^\s/>]*)>", 1))
     name = F.regexp_extract(open_tag, r"^([^\s/>]+)", 1)
@@ -104,7 +104,7 @@ def xml_root(content: Column) -> Column:
 
 def xml_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """Equi-joins on root and namespace: both, the root alone, the namespace alone."""
-    x = files.where(F.decode(F.substring("content", 1, 1024), F.lit("UTF-8")).rlike(r"^\ufeff?\s*<")).select("path", xml_root(F.col("content")).alias("x")).where("x.root != ''")
+    x = files.where(F.substring("content", 1, 1024).cast("string").rlike(r"^\ufeff?\s*<")).select("path", xml_root(F.col("content")).alias("x")).where("x.root != ''")
     none = F.lit("")
     both = lambda r, n: F.struct(r.alias("root"), n.alias("xmlns"))
     root, space = F.col("x.root"), F.col("x.xmlns")
@@ -146,13 +146,13 @@ def byte_candidates(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     keyed = files.where("content is not null").select("path", "content", F.explode(candidate_keys(sigs, F.col("content"))).alias("k"))
     table = relation(files, catalogs, "byte_sigs")
     x = keyed.join(table, (F.col("k.side") == F.col("side")) & (F.col("k.lit_off") == F.col("lit_off")) & (F.col("k.lit") == F.col("lit")))
-    latin = F.decode("content", F.lit("ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
     return x.where(F.forall("regexes", lambda r: F.regexp_like(latin, r)))
 
 
 def byte_basis(catalogs: list[Catalog]) -> Column:
     """Basis text of a hit: offset and length of each run's matched part, from the lengths of the groups."""
-    latin = F.decode("content", F.lit("ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
     out = F.lit("byte match")
     for c in catalogs:
         numbered: dict = {}
@@ -214,7 +214,7 @@ def container_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
         free = entries.where(~F.col("entry").isin(names)) if names else entries
         g = free.withColumn("_g", F.explode(matched)).join(table.where("is_glob").withColumnRenamed("entry", "_entry"), F.col("_g") == F.col("_entry"))
         out = out.unionByName(g.where(free["ctype"] == table["ctype"]).select("path", "ns", "id", "sig_no", "part_no", free["ctype"], "entry", "content", "regexes"))
-    latin = F.decode("content", F.lit("ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
     held = out.where(F.forall("regexes", lambda r: F.regexp_like(latin, r)))
     note = F.concat(F.lit("name "), F.col("entry"), F.when(F.size("regexes") > 0, F.lit(" with byte match")).otherwise(" with name only"))
     grouped = held.groupBy("path", "ns", "id", "ctype", "sig_no").agg(F.count_distinct("part_no").alias("n"), F.array_sort(F.collect_set(F.struct("part_no", note.alias("note")))).alias("notes"))

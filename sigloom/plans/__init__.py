@@ -3,6 +3,6 @@
 
 def modules():
     """The modules that hold queries."""
-    from sigloom.plans import problems
+    from sigloom.plans import identification, problems, resultsets
 
-    return [problems]
+    return [problems, identification, resultsets]

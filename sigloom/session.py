@@ -26,7 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigloom-"))
-    return df.checkpoint(eager=True)
+    # new column identities, so that a cut table can be joined and united with itself
+    return df.checkpoint(eager=True).select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -41,7 +41,7 @@ def _match(**k) -> dict:
 
 
 def _size(text) -> int | None:
-    return int(text) if re.fullmatch(r"-?\d+", str(text or "").strip()) else None
+    return int(text) if re.fullmatch(r"-?\d+", "" if text is None else str(text).strip()) else None
 
 
 def parse_csv(text: str):
@@ -195,7 +195,8 @@ FIELDS = ("ns", "id", "format", "version", "mime", "basis", "warning")
 def csv_rows(results: DataFrame, namespaces: list[str]) -> DataFrame:
     """The rows of the CSV layout: file columns, then a group of fields per namespace; n-th matches share the n-th row."""
     file = ("seq", "filename", "filesize", "modified", "errors")
-    per = [F.filter("matches", lambda m, ns=ns: m["ns"] == ns) for ns in namespaces]
+    of = lambda ns: F.filter("matches", lambda m: m["ns"] == F.lit(ns))
+    per = [of(ns) for ns in namespaces]
     rows = F.greatest(F.lit(1), *(F.size(p) for p in per)) if len(per) > 1 else F.greatest(F.lit(1), F.size(per[0]))
     x = results.select(*file, *(p.alias(f"m{i}") for i, p in enumerate(per)), F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
     cols = []
