@@ -101,7 +101,7 @@ class TestSide:
                 window = flat[pos : pos + span]
                 for at, begin in self.windows[span, k][int(mine[pos])]:
                     item, ws = self.items[at]
-                    if (doc, item) not in out and sum(a != b for a, b in zip(window, ws[begin : begin + span])) <= self.substitutions:
+                    if (doc, item) not in out and sum(a != b for a, b in zip(window, ws[begin : begin + span])) <= min(self.substitutions, span // STRIDE):
                         out.add((doc, item))
         return out
 
@@ -149,14 +149,14 @@ def _shuffled_join(docs: DataFrame, items: DataFrame, substitutions: int) -> Dat
     test = _windows(items, substitutions, True, []).withColumnRenamed("id", "item_id").withColumnRenamed("window", "sought")
     text = _windows(docs, substitutions, False, list(range(1, SPAN + 1))).withColumnRenamed("id", "doc_id")
     differ = F.size(F.filter(F.zip_with("window", "sought", lambda a, b: a != b), lambda d: d))
-    return text.join(test, ["span", "mask", "seed"]).where(differ <= substitutions).select("doc_id", "item_id").distinct()
+    return text.join(test, ["span", "mask", "seed"]).where(differ <= F.least(F.lit(substitutions), F.expr(f"span div {STRIDE}"))).select("doc_id", "item_id").distinct()
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, substitutions: int = 0, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """doc_id, item_id of every test item of which a document holds 12 words in a row, or all if it has fewer.
 
-    ``substitutions``: how many words of such a run may differ; all of up to one are found, beyond that those whose
-    places one mask leaves out.
+    ``substitutions``: how many words of such a run may differ, at most a third of a shorter item; all of up to one are
+    found, beyond that those whose places one mask leaves out.
     """
     x = docs.where("doc_id is not null and text is not null and text != ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     y = items.where("item_id is not null and item_text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").distinct()
