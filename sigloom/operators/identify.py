@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators.matchers import all_hits
 from sigloom.operators.resolve import resolve, resolve_mime
+from sigloom.session import spread
 from sigloom.sources import archives
 from sigloom.sources.catalog import Catalog
 
@@ -28,7 +29,7 @@ class ScanOptions:
 
 def identify(files: DataFrame, catalogs: list[Catalog], mode: str = "conclusive", dominance: str = "set", mimeinfo: tuple = ("mimeinfo", "tika", "freedesktop")) -> DataFrame:
     """path, ns, rank, id, confidence, basis, warning of every file for every namespace; files has path, mime, content."""
-    out = None
+    files, out = spread(files), None
     for c in catalogs:
         hits = all_hits(files, [c])
         if c.ns in mimeinfo:

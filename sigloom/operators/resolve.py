@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators.matchers import BYTE, CONTAINER, MIME, NAME, RIFF, TEXT, XML, relation
+from sigloom.operators.matchers import BYTE, CONTAINER, MAX_SIGNATURES, MIME, NAME, RIFF, TEXT, XML, relation
 from sigloom.sources.catalog import Catalog
 
 MODES = ("single", "conclusive", "positive", "comprehensive", "exhaustive", "droid")
@@ -32,18 +32,23 @@ def kinds(ext: Column, mime: Column, text: Column) -> Column:
 
 
 def dominated(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Set dominance: leave out hits that have a superior among the hits of their file."""
-    prio = relation(hits, [c.closed_priorities() for c in catalogs], "priorities").select("ns", F.col("id").alias("_sub"), F.col("superior").alias("_sup"))
-    above = hits.select("path", "ns", F.col("id").alias("_sup")).join(prio, ["ns", "_sup"]).select("path", "ns", F.col("_sub").alias("id")).distinct()
-    return hits.join(above, ["path", "ns", "id"], "left_anti")
+    """Set dominance: leave out hits that have a superior among the hits of their file.
+
+    The ids of a file are gathered by a window over its hits, so the matchers run once and nothing is shuffled again.
+    """
+    if not any(c.priorities for c in catalogs):
+        return hits
+    ids = F.collect_set("id").over(Window.partitionBy("path", "ns"))
+    x = hits.join(superiors(hits, catalogs), ["ns", "id"], "left").withColumn("_ids", ids)
+    return x.where(~F.coalesce(F.arrays_overlap("_sups", "_ids"), F.lit(False))).select(*hits.columns)
 
 
-def superiors_map(catalogs: list[Catalog]) -> dict[tuple, list[str]]:
-    out: dict = {}
-    for c in catalogs:
-        for ns, sub, sup in c.closed_priorities().priorities:
-            out.setdefault((ns, sub), []).append(sup)
-    return out
+def superiors(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
+    """(ns, id, _sups): the superiors of each id, broadcast up to the bound of catalogue rows."""
+    prio = relation(hits, [c.closed_priorities() for c in catalogs], "priorities")
+    n = sum(len(c.priorities) for c in catalogs)
+    out = prio.groupBy("ns", "id").agg(F.collect_set("superior").alias("_sups"))
+    return F.broadcast(out) if n <= MAX_SIGNATURES else out
 
 
 def waiting(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
@@ -52,12 +57,10 @@ def waiting(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     A fold over the hits of a file; the state is the list of ids that are still waited for (null: nothing seen yet).
     Candidates by weak evidence (extension, MIME) stay alive until a superior of theirs has reported.
     """
-    sup = superiors_map(catalogs)
     strong = F.col("matcher").isin(CONTAINER, RIFF, BYTE, XML)
     weak_ids = F.collect_set(F.when(F.col("matcher").isin(NAME, MIME), F.col("id"))).over(Window.partitionBy("path", "ns"))
-    table = hits.sparkSession.createDataFrame([(ns, i, s) for (ns, i), s in sup.items()], "ns string, id string, _sups array<string>")
-    x = hits.withColumn("_weak", weak_ids).join(F.broadcast(table) if len(sup) <= 200_000 else table, ["ns", "id"], "left")
-    has = {ns for ns, _ in sup}
+    x = hits.withColumn("_weak", weak_ids).join(superiors(hits, catalogs), ["ns", "id"], "left")
+    has = {c.ns for c in catalogs if c.priorities}
     entry = F.struct(*ORDER, "basis", "sig_total", F.coalesce("_sups", F.expr("cast(array() as array<string>)")).alias("sups"))
     g = x.where(strong).groupBy("path", "ns").agg(F.array_sort(F.collect_list(entry)).alias("hs"), F.first("_weak").alias("_weak"))
     kept = (

@@ -54,5 +54,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large input has more splits than cores and stays as it is, so nothing is shuffled there.
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already spread by a shuffle; counting its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -26,6 +26,8 @@ _RESULTS = pa.schema([("source", pa.string()), ("seq", pa.int64()), ("filename",
 ALIAS = {"namespace": "ns", "ns": "ns", "id": "id", "identifier": "id", "ID": "id", "warn": "warning", "full": "format"}
 #: Ids that stand for an unknown format.
 UNKNOWNS = ("", "unknown", "UNKNOWN")
+#: Parsed rows per Arrow batch.
+BATCH = 10_000
 
 
 def layout(text: str) -> str:
@@ -159,16 +161,23 @@ PARSERS = {"csv": parse_csv, "json": parse_json, "yaml": parse_yaml, "droid": pa
 def parse(texts: DataFrame) -> DataFrame:
     """RESULTS of a table (source, text) of whole results files, whatever their layouts; broken ones give nothing."""
 
+    def arrow(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RESULTS)], schema=_RESULTS)
+
     def run(batches):
+        rows: list[tuple] = []
         for batch in batches:
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parser = PARSERS.get(layout(text or ""))
                 try:
-                    rows = [(source, i, *r) for i, r in enumerate(parser(text))] if parser else []
+                    rows += [(source, i, *r) for i, r in enumerate(parser(text))] if parser else []
                 except (ValueError, KeyError, csv.Error):
+                    continue
+                if len(rows) >= BATCH:
+                    yield arrow(rows)
                     rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RESULTS)], schema=_RESULTS)
+        if rows:
+            yield arrow(rows)
 
     return texts.select("source", "text").mapInArrow(run, RESULTS)
 

@@ -194,7 +194,7 @@ def p6(rows):
 def p7(related, reports):
     held = defaultdict(set)
     for r in reports:
-        if r["report_id"] is not None:
+        if r["report_id"] is not None and r["snap_no"] is not None:
             held[r["report_id"]].add(r["snap_no"])
     out = set()
     for r in related:
