@@ -140,6 +140,16 @@ def candidate_keys(sigs: list[tuple], content: Column) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+def all_match(text: Column, regexes: Column) -> Column:
+    """Whether a text matches all of an array of regular expressions.
+
+    The text goes into the array beside each expression: a lambda that captures a column of the other side of a join
+    loses that column when Catalyst infers filters.
+    """
+    pairs = F.zip_with(regexes, F.array_repeat(text, F.size(regexes)), lambda r, t: F.struct(r.alias("r"), t.alias("t")))
+    return F.forall(pairs, lambda p: F.regexp_like(p["t"], p["r"]))
+
+
 def byte_candidates(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """Files joined with the signatures whose literal they hold and whose expressions all match; the content stays."""
     sigs = [r for c in catalogs for r in c.compiled()]
@@ -147,7 +157,7 @@ def byte_candidates(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     table = relation(files, catalogs, "byte_sigs")
     x = keyed.join(table, (F.col("k.side") == F.col("side")) & (F.col("k.lit_off") == F.col("lit_off")) & (F.col("k.lit") == F.col("lit")))
     latin = F.decode("content", "ISO-8859-1")
-    return x.where(F.forall("regexes", lambda r: F.regexp_like(latin, r)))
+    return x.where(all_match(latin, F.col("regexes")))
 
 
 def byte_basis(catalogs: list[Catalog]) -> Column:
@@ -215,7 +225,7 @@ def container_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
         g = free.withColumn("_g", F.explode(matched)).join(table.where("is_glob").withColumnRenamed("entry", "_entry"), F.col("_g") == F.col("_entry"))
         out = out.unionByName(g.where(free["ctype"] == table["ctype"]).select("path", "ns", "id", "sig_no", "part_no", free["ctype"], "entry", "content", "regexes"))
     latin = F.decode("content", "ISO-8859-1")
-    held = out.where(F.forall("regexes", lambda r: F.regexp_like(latin, r)))
+    held = out.where(all_match(latin, F.col("regexes")))
     note = F.concat(F.lit("name "), F.col("entry"), F.when(F.size("regexes") > 0, F.lit(" with byte match")).otherwise(" with name only"))
     grouped = held.groupBy("path", "ns", "id", "ctype", "sig_no").agg(F.count_distinct("part_no").alias("n"), F.array_sort(F.collect_set(F.struct("part_no", note.alias("note")))).alias("notes"))
     done = grouped.join(relation(files, catalogs, "containers"), ["ns", "id", "ctype", "sig_no"]).where("n = n_parts")

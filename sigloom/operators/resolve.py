@@ -55,7 +55,7 @@ def waiting(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """Ordered dominance: after a strong hit only its superiors may still report, in the order of the hits.
 
     A fold over the hits of a file; the state is the list of ids that are still waited for (null: nothing seen yet).
-    Candidates by weak evidence (extension, MIME) stay alive until a superior of theirs has reported.
+    Candidates by weak evidence (extension, MIME) may report unless the last reporter is a superior of theirs.
     """
     strong = F.col("matcher").isin(CONTAINER, RIFF, BYTE, XML)
     weak_ids = F.collect_set(F.when(F.col("matcher").isin(NAME, MIME), F.col("id"))).over(Window.partitionBy("path", "ns"))
@@ -64,9 +64,9 @@ def waiting(hits: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     entry = F.struct(*ORDER, "basis", "sig_total", F.coalesce("_sups", F.expr("cast(array() as array<string>)")).alias("sups"))
     g = x.where(strong).groupBy("path", "ns").agg(F.array_sort(F.collect_list(entry)).alias("hs"), F.first("_weak").alias("_weak"))
     kept = (
-        "aggregate(hs, named_struct('wait', cast(null as array<string>), 'last', cast(array() as array<string>), 'out', slice(hs, 1, 0)), (s, h) -> "
-        "CASE WHEN s.wait IS NULL OR array_contains(s.wait, h.id) OR (array_contains(_weak, h.id) AND NOT array_contains(s.last, h.id)) "
-        "THEN named_struct('wait', h.sups, 'last', h.sups, 'out', concat(s.out, array(h))) ELSE s END, s -> s.out)"
+        "aggregate(hs, named_struct('wait', cast(null as array<string>), 'this', '', 'out', slice(hs, 1, 0)), (s, h) -> "
+        "CASE WHEN s.wait IS NULL OR array_contains(s.wait, h.id) OR (array_contains(_weak, h.id) AND NOT array_contains(h.sups, s.this)) "
+        "THEN named_struct('wait', h.sups, 'this', h.id, 'out', concat(s.out, array(h))) ELSE s END, s -> s.out)"
     )
     free = g.where(~F.col("ns").isin(*has) if has else F.lit(True)).select("path", "ns", "hs")
     bound = g.where(F.col("ns").isin(*has) if has else F.lit(False)).select("path", "ns", F.expr(kept).alias("hs"))

@@ -3,6 +3,6 @@
 
 def modules():
     """The modules that hold queries."""
-    from sigloom.plans import identification, problems, resultsets
+    from sigloom.plans import identification, problems, resultsets, vocabularies
 
-    return [problems, identification, resultsets]
+    return [problems, identification, resultsets, vocabularies]

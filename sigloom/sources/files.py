@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan(spark: SparkSession, paths: str | list[str], recurse: bool = True, glob: str | None = None, go_on: bool = True) -> DataFrame:
+def scan(spark: SparkSession, paths: str | list[str], recurse: bool = True, glob: str | None = None, go_on: bool = True, empty: bool = False) -> DataFrame:
     """Files below folders or of a list of paths; with ``go_on`` missing and unreadable files are skipped.
 
-    The content is only read where a plan uses it: a plan on names alone prunes it.
+    The content is only read where a plan uses it: a plan on names alone prunes it. Spark's file sources pass over files
+    without content; ``empty`` adds them from a listing on the driver, which costs a call per file.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recurse).option("ignoreMissingFiles", go_on).option("ignoreCorruptFiles", go_on)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).withColumn("mime", F.lit("")).withColumn("error", F.when(F.col("length") == 0, "empty source"))
+    df = reader.load(paths)
+    if empty:
+        rows = [r for p in ([paths] if isinstance(paths, str) else paths) for r in _empty(spark, p, recurse)]
+        df = df.unionByName(spark.createDataFrame(rows, "path string, length bigint, content binary").withColumn("modificationTime", F.lit(None).cast("timestamp")))
+    return df.withColumn("mime", F.lit("")).withColumn("error", F.when(F.col("length") == 0, "empty source"))
+
+
+def _empty(spark: SparkSession, path: str, recurse: bool):
+    """The files without content below a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, recurse)
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            yield f.getPath().toString(), 0, bytearray()
 
 
 def listed(spark: SparkSession, list_file: str, **options) -> DataFrame:

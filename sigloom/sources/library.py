@@ -93,7 +93,7 @@ def from_library(documents: list[ET.Element], ns: str = "loc", multi: str = "con
         for k in d.iter():
             kind = _local(k)
             if kind in ("magicNumbers", "filenameExtension", "internetMediaType", "other"):
-                values = [v.text.strip() for v in k.iter() if _local(v) in ("sigValue", "value") and v.text]
+                values = [v.text if kind == "other" else v.text.strip() for v in k.iter() if _local(v) in ("sigValue", "value") and v.text]
                 tag = next((t.text or "" for t in k.iter() if _local(t) == "tag"), "")
                 found.setdefault(tag if kind == "other" else kind, []).extend(values)
         c.globs += [(ns, i, "ext", v.lower().lstrip("."), 0, 50) for v in found.get("filenameExtension", []) if v.lower() != "see note."]

@@ -59,17 +59,18 @@ def hex_of(sig: Column, encoding: Column) -> Column:
 def lint(bindings: DataFrame) -> DataFrame:
     """uri, code, critical: what is wrong with each binding that has a signature, one row per finding."""
     b = bindings.where("sig is not null").withColumn("enc", named(F.col("encoding"), ENCODINGS)).withColumn("rel", named(F.col("relativity"), RELATIVITIES))
+    note = lambda code, critical: F.struct(F.lit(code).alias("code"), F.lit(critical).alias("critical"))
     notes = F.array_compact(
         F.array(
-            F.when(F.col("encoding").isNull(), F.struct(F.lit("no encoding").alias("code"), F.lit(False).alias("critical"))),
-            F.when(F.col("encoding").isNotNull() & F.col("enc").isNull(), F.struct(F.lit("unknown encoding"), F.lit(True))),
-            F.when(F.col("relativity").isNull(), F.struct(F.lit("no relativity"), F.lit(False))),
-            F.when(F.col("relativity").isNotNull() & F.col("rel").isNull(), F.struct(F.lit("unknown relativity"), F.lit(True))),
-            F.when(F.col("offset").isNotNull() & F.expr("try_cast(offset as int) is null or try_cast(offset as int) < 0"), F.struct(F.lit("bad offset"), F.lit(True))),
-            F.when(F.col("offset").isNull(), F.struct(F.lit("no offset"), F.lit(False))),
-            F.when(F.col("referenceLabel").isNull(), F.struct(F.lit("no provenance"), F.lit(False))),
-            F.when(F.col("date").isNotNull() & F.expr("try_to_timestamp(date) is null"), F.struct(F.lit("bad date"), F.lit(False))),
-            F.when(hex_of(F.col("sig"), F.col("enc")).isNull(), F.struct(F.lit("bad signature"), F.lit(True))),
+            F.when(F.col("encoding").isNull(), note("no encoding", False)),
+            F.when(F.col("encoding").isNotNull() & F.col("enc").isNull(), note("unknown encoding", True)),
+            F.when(F.col("relativity").isNull(), note("no relativity", False)),
+            F.when(F.col("relativity").isNotNull() & F.col("rel").isNull(), note("unknown relativity", True)),
+            F.when(F.col("offset").isNotNull() & F.expr("try_cast(offset as int) is null or try_cast(offset as int) < 0"), note("bad offset", True)),
+            F.when(F.col("offset").isNull(), note("no offset", False)),
+            F.when(F.col("referenceLabel").isNull(), note("no provenance", False)),
+            F.when(F.col("date").isNotNull() & F.expr("try_to_timestamp(date) is null"), note("bad date", False)),
+            F.when(hex_of(F.col("sig"), F.col("enc")).isNull(), note("bad signature", True)),
         )
     )
     return b.select(item(F.col("uri")).alias("uri"), F.explode(notes).alias("n")).select("uri", "n.code", "n.critical").distinct()
@@ -101,7 +102,7 @@ def signatures_of(sigs, max_sources: int = 1000) -> list[tuple[Signature, str]]:
     """(signature, source) of a record: sequences of one source and date from both sides form one signature."""
     groups: dict[tuple, dict[str, list]] = {}
     for s in sigs:
-        if s["notation"]:
+        if s["notation"] and s["offset"] >= 0:
             groups.setdefault((s["source"], s["date"]), {"BOF": [], "EOF": []})[s["relativity"]].append(s)
     out = []
     for (source, date), by in list(groups.items())[:max_sources]:
