@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import base_name, extension, text_class
@@ -212,7 +212,7 @@ def container_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """
     parts = [r for c in catalogs for r in c.parts]
     if not parts:
-        return text_hits(files, []).where("false")
+        return with_zip_default(text_hits(files, []).where("false"), files, catalogs)
     table = relation(files, catalogs, "parts")
     entries = archives.container_entries(files)
     literal = entries.join(table.where("not is_glob"), ["ctype", "entry"]).select("path", "ns", "id", "sig_no", "part_no", "ctype", "entry", "content", "regexes")
@@ -229,12 +229,25 @@ def container_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     note = F.concat(F.lit("name "), F.col("entry"), F.when(F.size("regexes") > 0, F.lit(" with byte match")).otherwise(" with name only"))
     grouped = held.groupBy("path", "ns", "id", "ctype", "sig_no").agg(F.count_distinct("part_no").alias("n"), F.array_sort(F.collect_set(F.struct("part_no", note.alias("note")))).alias("notes"))
     done = grouped.join(relation(files, catalogs, "containers"), ["ns", "id", "ctype", "sig_no"]).where("n = n_parts")
-    return _hits(done, CONTAINER, F.concat(F.lit("container "), F.array_join(F.transform("notes", lambda x: x["note"]), "; ")), F.col("sig_no"), F.col("sig_total"))
+    out = _hits(done, CONTAINER, F.concat(F.lit("container "), F.array_join(F.transform("notes", lambda x: x["note"]), "; ")), F.col("sig_no"), F.col("sig_total"))
+    return with_zip_default(out, files, catalogs)
+
+
+def with_zip_default(hits: DataFrame, files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
+    """Adds, for zip files named .zip without a container hit, a hit on the catalogue's default id."""
+    ids = [(c.ns, c.zip_default) for c in catalogs if c.zip_default]
+    if not ids:
+        return hits
+    zips = files.where(F.col("path").endswith(".zip") & F.startswith("content", F.lit(bytearray(b"PK\x03\x04"))))
+    each = F.explode(F.array(*(F.struct(F.lit(ns).alias("ns"), F.lit(i).alias("id")) for ns, i in ids))).alias("d")
+    default = _hits(zips.select("path", each).select("path", "d.ns", "d.id"), CONTAINER, F.lit("container match with trigger and default extension"), phase=9)
+    others = F.count_if(F.col("phase") != 9).over(Window.partitionBy("path", "ns"))
+    return hits.unionByName(default).withColumn("_others", others).where("phase != 9 or _others = 0").drop("_others")
 
 
 def all_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """The hits of all matchers the catalogues have relations for."""
-    some = lambda n: any(getattr(c, n) for c in catalogs)
+    some = lambda n: any(getattr(c, n) or n == "parts" and c.zip_default for c in catalogs)
     out = name_hits(files, catalogs)
     for name, f in (("mimes", mime_hits), ("parts", container_hits), ("xmls", xml_hits), ("fourccs", riff_hits), ("signatures", byte_hits), ("texts", text_hits)):
         if some(name):

@@ -16,11 +16,39 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Archive kinds that can be expanded.
 KINDS = ("zip", "gzip", "tar", "arc", "warc")
+# The ids of archive formats in the registry, MIME-info, library and linked-data namespaces.
+ARCHIVE_IDS = {
+    "zip": ("x-fmt/263", "application/zip", "fdd000354"),
+    "gzip": ("x-fmt/266", "application/gzip", "Q27824060"),
+    "tar": ("x-fmt/265", "application/x-tar", "Q283579"),
+    "arc": ("x-fmt/219", "fmt/410", "application/x-arc", "fdd000235", "Q7978505", "Q27824065"),
+    "warc": ("fmt/289", "application/x-warc", "fdd000236", "Q10287816"),
+}
+
+
+def chosen_kinds(text: str = "all") -> tuple[str, ...]:
+    """The archive kinds named in a comma list, whatever the letter case; ``all`` stands for every kind."""
+    named = [k.strip().lower() for k in text.split(",")]
+    return KINDS if named == ["all"] else tuple(k for k in KINDS if k in named)
+
+
+def archive_class(ident: Column, kinds: tuple = KINDS) -> Column:
+    """The archive kind that a format id stands for, among the chosen kinds; null for other formats."""
+    out = F.lit(None).cast("string")
+    for k in kinds:
+        out = F.when(ident.isin(*ARCHIVE_IDS[k]), k).otherwise(out)
+    return out
+
+
+def identified_archives(files: DataFrame, results: DataFrame, kinds: tuple = KINDS) -> DataFrame:
+    """The files whose first archive id among their results is of a chosen kind, with that kind."""
+    found = results.select("path", "rank", archive_class(F.col("id"), kinds).alias("kind")).where("kind is not null").groupBy("path").agg(F.min_by("kind", "rank").alias("kind"))
+    return files.join(found, "path")
 ENTRY = "path string, mime string, length bigint, content binary, error string, parent string, depth int"
 #: Entries that go into one Arrow batch at most.
 BATCH = 64

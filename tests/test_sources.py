@@ -203,6 +203,25 @@ def test_containers(spark):
     assert got == {"a.zip": "container name mimetype with byte match; name content.xml with name only", "b.doc": "container name Part1 with name only"}
 
 
+def test_zip_default_and_archive_ids(spark):
+    from dataclasses import replace
+
+    c = replace(registry.add_containers(registry.from_droid(DROID), CONTAINERS), zip_default="x-fmt/263")
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("other", "x")
+    df = held(spark, ("a.zip", "", z.getvalue()), ("b.ZIP", "", z.getvalue()), ("c.zip", "", b"no archive at all"))
+    for catalog in (c, Catalog("pronom", zip_default="x-fmt/263", globs=c.globs)):
+        got = {r.path: (r.id, r.basis) for r in identify(df, [catalog]).collect()}
+        assert got["a.zip"] == ("x-fmt/263", "container match with trigger and default extension") and got["b.ZIP"][0] == got["c.zip"][0] == "UNKNOWN"
+    ids = spark.createDataFrame([(x,) for x in ("x-fmt/263", "application/x-tar", "application/gzip", "fdd000235", "application/x-warc", "")], "id string")
+    kind = lambda text: [r.k for r in ids.select(archives.archive_class(F.col("id"), archives.chosen_kinds(text)).alias("k")).collect()]
+    assert kind("all") == ["zip", "tar", "gzip", "arc", "warc", None]
+    assert kind("TAR") == [None, "tar", None, None, None, None] and kind("gZip")[2] == "gzip" and kind("zip, arc") == ["zip", None, None, "arc", None, None]
+    found = archives.identified_archives(df, identify(df, [c]), archives.chosen_kinds("zip"))
+    assert [(r.path, r.kind) for r in found.collect()] == [("a.zip", "zip")]
+
+
 def test_archives(spark):
     inner = gzip.compress(b"hello", mtime=0)
     t = io.BytesIO()
