@@ -9,7 +9,8 @@ vocabulary is its own consistent form and the production budget is zero, so
 both ways give the same form and the vocabulary's size changes only the speed.
 
 Forms are compared by 128-bit hashes. Exact copies share a text hash and are no
-case; only groups with at least two different texts are joined with themselves.
+case; only the distinct texts of a form are paired, and of forms that have at
+least two.
 
 Defined results: null and empty texts and texts without a visible character are
 no case; repeated rows of a document count once; an empty table gives no rows;
@@ -168,11 +169,18 @@ def lookalike_groups(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 
 def lookalike_pairs(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id_a, doc_id_b: all pairs of different texts with equal consistent form."""
+    """doc_id_a, doc_id_b: all pairs of documents with different texts and equal consistent form.
+
+    The distinct texts of a form are paired first, then each text pair is expanded to the documents that hold the texts,
+    so exact copies are never compared with each other, however many there are.
+    """
     g = cut(lookalike_groups(docs, max_words))
-    a, b = g.alias("a"), g.alias("b")
-    on = (F.col("a.form") == F.col("b.form")) & (F.col("a.stored") != F.col("b.stored")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    return a.join(b, on).select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
+    texts = g.select("form", "stored").distinct()
+    a, b = texts.alias("a"), texts.alias("b")
+    pairs = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.stored") < F.col("b.stored"))).select(F.col("a.stored").alias("one"), F.col("b.stored").alias("two"))
+    first = pairs.join(g.select(F.col("stored").alias("one"), F.col("doc_id").alias("d1")), "one")
+    both = first.join(g.select(F.col("stored").alias("two"), F.col("doc_id").alias("d2")), "two").where("d1 != d2")
+    return both.select(F.least("d1", "d2").alias("doc_id_a"), F.greatest("d1", "d2").alias("doc_id_b")).distinct()
 
 
 def consistent(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
