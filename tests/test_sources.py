@@ -103,6 +103,21 @@ def test_catalogs(spark, pictures, tmp_path):
     assert {(r.ns, r.id) for r in two} == {("pronom", "fmt/11"), ("loc", "UNKNOWN")}
 
 
+def test_build_options():
+    from sigloom.sources.presets import PRESETS, BuildOptions, apply, log_options, preset
+
+    d = registry.add_containers(registry.from_droid(DROID), CONTAINERS)
+    x = apply(d, BuildOptions(name="own", exclude=("fmt/3",), without=("mime",), bof=100, eof=100, multi="droid", zip_default="z"))
+    assert x.ns == "own" and not x.mimes and {i for _, i in x.ids()} == {"fmt/1", "fmt/2", "fmt/4"} and x.multi == "droid" and x.zip_default == "z"
+    assert x.details == "DROID signatures; multi set to droid; excluding ids: fmt/3; no mime matcher; max BOF 100; max EOF 100"
+    assert all(r[0] == "own" for r in x.globs)
+    extended = apply(d, BuildOptions(extensions=(Catalog("e", "more", globs=[("e", "e/1", "ext", "x", 0, 50)]),)))
+    assert ("pronom", "e/1", "ext", "x", 0, 50) in extended.globs
+    both = preset("deluxe", {"registry": d, "tika": Catalog("tika"), "freedesktop": Catalog("freedesktop"), "library": Catalog("loc")})
+    assert [c.ns for c in both] == ["pronom", "tika", "freedesktop", "loc"] and set(PRESETS) >= {"default", "wikidata"}
+    assert log_options("e, w,fmt/1,@set") == ({"error", "warning"}, ["fmt/1", "@set"])
+
+
 def test_mimeinfo_rules():
     assert mimeinfo.unquote("a\\x41\\101\\9\\n\\\\") == b"aAA\t\n\\"
     assert mimeinfo.offsets("4") == (4, 4) and mimeinfo.offsets("2:8") == (2, 8) and mimeinfo.offsets(":8") == (0, 8)
