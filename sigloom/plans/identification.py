@@ -287,5 +287,21 @@ def oracle_sql():
             UNION ALL SELECT path, 'x/2', 0 FROM k WHERE k = 0 AND ns = 'urn:en' UNION ALL SELECT path, 'x/3', 2 FROM k WHERE k IN (0, 2) AND ns = 'urn:de' UNION ALL SELECT path, 'x/4', 0 FROM k WHERE k = 2 AND ns = 'urn:en'""",
         "score_aggregate": f"WITH {_scored(False)} SELECT * FROM scored",
         **{f"identify_{m}": _mode(m) for m in ("single", "conclusive", "positive", "comprehensive", "exhaustive", "droid")},
+        "mimeinfo_rank": f"""WITH {_HITS},
+            named AS (SELECT path, CASE id WHEN 'd/1' THEN 'application/yaml' WHEN 'd/2' THEN 'text/x-note' WHEN 'd/3' THEN 'text/x-log' WHEN 'd/4' THEN 'text/x-german' ELSE 'text/plain' END AS id, matcher,
+                CASE WHEN id = 'd/1' AND sig_no = 2 THEN 60 WHEN id IN ('d/2', 'd/3') THEN 40 ELSE 50 END AS weight FROM hits WHERE matcher != 1
+              UNION ALL SELECT path, regexp_replace(mime, ';[^;]*$', ''), 1, 0 FROM files WHERE mime != ''),
+            cand AS (SELECT path, id, bool_or(matcher = 1) AS m, bool_or(matcher = 6) AS x, coalesce(max(weight) FILTER (WHERE matcher = 5), 0) AS magic, CASE WHEN bool_or(matcher = 0) THEN 50 ELSE 0 END AS glob_w FROM named GROUP BY path, id),
+            keyed AS (SELECT *, [CAST((m AND magic > 0) OR (magic > 0 AND glob_w > 0) OR (m AND x) OR (x AND glob_w > 0) AS INTEGER), magic, CAST(m AS INTEGER), glob_w, CAST(x AS INTEGER), CAST(x AND id = 'text/plain' AS INTEGER)] AS k FROM cand),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k DESC, id) AS rn, max(k) OVER (PARTITION BY path) AS best FROM keyed),
+            per AS (SELECT path, max(k) FILTER (WHERE rn = 2) AS second, array_to_string(list(id ORDER BY rn), ', ') AS ids FROM ranked GROUP BY path),
+            judged AS (SELECT r.*, ids, best[2] = 0 AS weak, bool_or(rn = 1 AND best[2] = 0 AND (NOT (second IS NULL OR best > second) OR (id = 'text/plain' AND NOT x))) OVER (PARTITION BY r.path) AS lost FROM ranked r JOIN per USING (path)),
+            kept AS (SELECT * FROM judged WHERE CASE WHEN lost OR weak THEN rn = 1 ELSE k = best END)
+            SELECT f.path, CAST(coalesce(rn, 1) AS INTEGER) AS rank, CASE WHEN id IS NULL OR lost THEN 'UNKNOWN' ELSE id END AS id,
+              CASE WHEN id IS NULL THEN 'no match' WHEN lost THEN 'no match; possibilities are ' || ids ELSE concat_ws('; ',
+                CASE WHEN magic = 0 THEN 'match on ' || (SELECT CASE len(l) WHEN 0 THEN '' WHEN 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[-1] END
+                  FROM (SELECT list_filter([CASE WHEN glob_w > 0 THEN 'filename' END, CASE WHEN m THEN 'MIME' END, CASE WHEN x THEN 'text' END], lambda y: y IS NOT NULL) AS l)) || ' only' || CASE WHEN id != 'text/plain' THEN '; byte/xml signatures for this format did not match' ELSE '' END END,
+                CASE WHEN glob_w = 0 THEN 'filename mismatch' END, CASE WHEN NOT m AND mime != '' THEN 'MIME mismatch' END) END AS warning
+            FROM files f LEFT JOIN kept k ON f.path = k.path""",
         "identify_summary": f"SELECT id, warning, count(*) AS n FROM ({_mode('conclusive')}) GROUP BY id, warning",
     }

@@ -139,6 +139,10 @@ orphan AS (
 """
 
 
+def _typ(c: str) -> str:
+    return f"CASE {c} WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN 'object' ELSE {c} END"
+
+
 def oracle_sql():
     """The same results in DuckDB's SQL, written apart from the operators."""
     return {
@@ -174,6 +178,15 @@ def oracle_sql():
         "p6_found": f"""WITH {_HEADS} SELECT DISTINCT scan_no, item, kind AS change_kind FROM (
             SELECT scan_no, item, unnest([CASE WHEN fresh THEN 'added' END, CASE WHEN gone THEN 'removed' END, CASE WHEN NOT fresh AND NOT gone AND old_name != new_name THEN 'renamed' END,
               CASE WHEN NOT fresh AND NOT gone AND old_type IS DISTINCT FROM new_type THEN 'retyped' END]) AS kind FROM compared) WHERE kind IS NOT NULL""",
+        "p6_log": f"""WITH {_HEADS}, x AS (SELECT scan_no, item, unnest([CASE WHEN fresh THEN 'added' END, CASE WHEN gone THEN 'removed' END, CASE WHEN NOT fresh AND NOT gone AND old_name != new_name THEN 'renamed' END,
+              CASE WHEN NOT fresh AND NOT gone AND old_type IS DISTINCT FROM new_type THEN 'retyped' END]) AS change_kind, old_name, new_name, {_typ("old_type")} AS old_type, {_typ("new_type")} AS new_type FROM compared)
+            SELECT * FROM x WHERE change_kind IS NOT NULL""",
+        "p6_union_schema": f"""WITH {_HEADS} SELECT item, CASE WHEN count(DISTINCT typ) = 1 THEN {_typ("min(typ)")} ELSE 'text' END AS union_type, count(DISTINCT i.scan_no) AS n_scans, count(DISTINCT name) AS n_names, min(scanned) AS first_scanned, max(scanned) AS last_scanned
+            FROM items i JOIN once USING (scan_no) GROUP BY item""",
+        "p6_heads": f"""WITH {_HEADS}, v AS (SELECT scan_no, CASE WHEN typ = 'ARRAY' THEN array_to_string(CAST(json_extract(o, '$.' || name) AS VARCHAR[]), '.') ELSE o ->> ('$.' || name) END AS version FROM version JOIN once USING (scan_no)),
+            listed AS (SELECT scan_no, array_to_string(list(space || '.' || CASE name WHEN 'ns' THEN 'namespace' WHEN 'identifier' THEN 'id' WHEN 'ID' THEN 'id' WHEN 'warn' THEN 'warning' ELSE name END ORDER BY i, k), ',') AS fields
+              FROM (SELECT scan_no, i, trim(ns[i + 1] ->> '$[0]') AS space, trim(unnest(names)) AS name, unnest(range(len(names))) AS k FROM (SELECT scan_no, i, ns, CASE WHEN json_type(g) = 'ARRAY' THEN CAST(g AS VARCHAR[]) ELSE string_split(g ->> '$', ',') END AS names FROM each1)) WHERE name != '' GROUP BY scan_no)
+            SELECT o.scan_no, collection, scanned, v.version, lower(h.name) AS hash_column, coalesce(l.fields, '') AS fields FROM once o LEFT JOIN v USING (scan_no) LEFT JOIN hashed h USING (scan_no) LEFT JOIN listed l USING (scan_no)""",
         "p7_found": f"WITH {_ORPHANS} SELECT rel_no, snap_no, orphan_kind FROM orphan",
         "p7_counts": f"WITH {_ORPHANS} SELECT 'report_snapshots' AS parent_table, snap_no, orphan_kind, count(*) AS n_refs, count(DISTINCT related_id) AS n_keys FROM orphan GROUP BY snap_no, orphan_kind",
     }

@@ -316,6 +316,16 @@ def test_releases(spark, tmp_path):
     assert {r.set: r.members for r in registry.release_sets(notes).collect()}["1 January 2010 new"] == ["fmt/1", "fmt/9"]
 
 
+def test_checksums(spark):
+    import hashlib
+    import zlib
+
+    df = spark.createDataFrame([(bytearray(b"abc"),), (bytearray(b""),)], "c binary")
+    for kind in ("md5", "sha1", "sha256", "sha512"):
+        assert [r.h for r in df.select(scalars.checksum(F.col("c"), kind).alias("h")).collect()] == [hashlib.new(kind, b).hexdigest() for b in (b"abc", b"")]
+    assert [r.h for r in df.select(scalars.checksum(F.col("c"), "crc").alias("h")).collect()] == [f"{zlib.crc32(b):08x}" for b in (b"abc", b"")]
+
+
 def test_text_classes(spark):
     runes = "ᚠᛇᚻ᛫ᛒᛦᚦ᛫".encode()
     cases = {b"\x00\x01\x32\xff": "data", runes: "UTF-8 Unicode", b"hello world": "ASCII", b"\xef\xbb\xbfhi": "UTF-8 Unicode (with BOM)", b"\xff\xfeh\0": "UTF-16 Little Endian", b"\xfe\xff\0h": "UTF-16 Big Endian", b"": "data", b"caf\xe9": "ISO-8859-1", b"caf\x80 x": "extended", b"+/v8-": "UTF-7 Unicode", b"x" * 4095 + "é".encode(): "UTF-8 Unicode", b"a\tb\r\n\x1b[0m": "ASCII"}
