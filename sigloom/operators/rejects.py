@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import small
+from sigloom.session import cut, small
 
 #: The reasons, first that holds.
 REASONS = ("quoting", "column_count", "filename", "filesize", "modified")
@@ -64,13 +64,21 @@ def row_pattern(width: int) -> str:
     return rf"\A{lead}(?:,{FIELD}){{{max(width - 3, 0)}}}\z"
 
 
-def with_width(lines: DataFrame, scan: str = "scan_no", line_no: str = "line_no", raw: str = "raw_line") -> DataFrame:
-    """(scan_no, line_no, line, width) of the data lines; width is that of the scan's header."""
-    line = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
-    slim = lines.select(F.col(scan).alias("scan_no"), F.col(line_no).alias("line_no"), line.alias("line"))
-    bare = F.regexp_replace("line", r'"[^"]*"', "")
-    heads = slim.where("line_no = 1 and scan_no is not null").groupBy("scan_no").agg(F.max(F.length(bare) - F.length(F.translate(bare, ",", "")) + 1).alias("width"))
-    return slim.where("line_no is distinct from 1").join(small(heads, MAX_SCANS), "scan_no", "left")
+def plain_lines(lines: DataFrame) -> DataFrame:
+    """scan_no, line_no, line: the records without their line end."""
+    line = F.regexp_replace(F.coalesce("raw_line", F.lit("")), r"\r\z", "")
+    return lines.select("scan_no", "line_no", line.alias("line"))
+
+
+def n_fields(line: Column) -> Column:
+    """Number of fields of a sound record."""
+    bare = F.regexp_replace(line, r'"[^"]*"', "")
+    return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
+
+
+def header_widths(lines: DataFrame) -> DataFrame:
+    """scan_no, width: the number of columns each scan's header names. Read once and cut, as it is looked at several times."""
+    return cut(plain_lines(lines).where("line_no = 1 and scan_no is not null").groupBy("scan_no").agg(F.max(n_fields(F.col("line"))).alias("width")))
 
 
 def sound(widths: list[int] | None) -> Column:
@@ -90,27 +98,24 @@ def sound(widths: list[int] | None) -> Column:
 def reason() -> Column:
     """The first broken part of a line that is not sound, by ever longer prefixes of the row pattern."""
     line, width = F.col("line"), F.col("width")
-    bare = F.regexp_replace(line, r'"[^"]*"', "")
-    fields = F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
     return (
         F.when(~line.rlike(RECORD), "quoting")
-        .when(width.isNull() | (fields != width), "column_count")
+        .when(width.isNull() | (n_fields(line) != width), "column_count")
         .when(~line.rlike(rf"\A{NAME}"), "filename")
         .when(~line.rlike(rf"\A{NAME},{SIZE}"), "filesize")
         .otherwise("modified")
     )
 
 
-def schema_widths(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> list[int] | None:
-    """The distinct header widths, or None when there are more than ``max_schemas``."""
-    bare = F.regexp_replace(F.coalesce("raw_line", F.lit("")), r'"[^"]*"', "")
-    found = lines.where("line_no = 1").select((F.length(bare) - F.length(F.translate(bare, ",", "")) + 1).alias("w")).distinct().limit(max_schemas + 1).collect()
-    return sorted(r.w for r in found) if len(found) <= max_schemas else None
-
-
 def classified(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> DataFrame:
-    """The data lines with ``reason``, null where the line is sound."""
-    return with_width(lines).withColumn("reason", F.when(~sound(schema_widths(lines, max_schemas)), reason()))
+    """The data lines with their header's ``width`` and the ``reason``, null where the line is sound.
+
+    Up to ``max_schemas`` distinct widths get a compiled pattern each, else the pattern is built per row.
+    """
+    heads = header_widths(lines)
+    found = [r.width for r in heads.select("width").distinct().limit(max_schemas + 1).collect()]
+    x = plain_lines(lines).where("line_no is distinct from 1").join(small(heads, MAX_SCANS), "scan_no", "left")
+    return x.withColumn("reason", F.when(~sound(sorted(found) if len(found) <= max_schemas else None), reason()))
 
 
 def rejected(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> DataFrame:
