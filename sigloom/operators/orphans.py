@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.session import cut
+
 #: An orphan group with at least this share of all references is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
@@ -46,7 +48,7 @@ def _parents(reports: DataFrame) -> DataFrame:
 def orphan_references(related: DataFrame, reports: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
     """rel_no, snap_no, orphan_kind of each reference whose target its own period does not hold."""
     refs = _references(related)
-    groups = orphan_groups(refs, _parents(reports))
+    groups = cut(orphan_groups(refs, _parents(reports)))  # used twice below, and far fewer than the references
     least = F.lit(hot_share) * F.lit(refs.count())
     hot, rest = groups.where(F.col("n_refs") >= least), groups.where(F.col("n_refs") < least)
     same = lambda b: (F.col("r.key") == b["key"]) & F.col("r.period").eqNullSafe(b["period"])
