@@ -22,9 +22,8 @@ from sigloom.sources.catalog import Catalog
 
 
 def edges(s, d) -> DataFrame:
-    """(sub, sup) from the priority relations of all snapshots."""
-    x = T(s, d, "related_formats").withColumn("typ", F.when(F.lower("typ").like("%priority%"), F.col("typ")))
-    return priorities.relation_edges(x)
+    """(sub, sup) from the relations of all snapshots: priorities, supertypes and subtypes."""
+    return priorities.relation_edges(T(s, d, "related_formats"))
 
 
 def hit_groups(s, d) -> DataFrame:
