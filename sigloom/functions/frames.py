@@ -75,6 +75,15 @@ class Run:
         wild = last.orient == SUCC or last.kind == "wild"
         return body[: len(body) - len(last.gap())] if wild and not groups else body + ("" if last.orient == SUCC else "\\z")
 
+    def span(self) -> str:
+        """The run with two groups: what comes before its matched part, and the part without the outer gap."""
+        if not self.from_end:
+            first = self.frames[0]
+            return "\\A(" + first.gap() + ")(" + first.pattern.regex() + "".join(f.gap() + f.pattern.regex() for f in self.frames[1:]) + ")"
+        last = self.frames[-1]
+        part = "".join(f.pattern.regex() + f.gap() for f in self.frames[:-1]) + last.pattern.regex()
+        return "\\A([\\x00-\\xFF]*?)(" + part + ")" + ("" if last.orient == SUCC else last.gap() + "\\z")
+
     def matches(self, data: bytes) -> bool:
         """Naive interpreter over the frames, the yardstick of the compiled form."""
         if not self.from_end:
@@ -146,6 +155,9 @@ class Signature:
     def regexes(self, groups: bool = False) -> list[str]:
         return [r.regex(groups) for r in self.runs]
 
+    def spans(self) -> list[str]:
+        return [r.span() for r in self.runs]
+
     def matches(self, data: bytes) -> bool:
         return all(r.matches(data) for r in self.runs)
 

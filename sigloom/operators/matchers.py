@@ -160,31 +160,14 @@ def byte_candidates(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     return x.where(all_match(latin, F.col("regexes")))
 
 
-def byte_basis(catalogs: list[Catalog]) -> Column:
-    """Basis text of a hit: offset and length of each run's matched part, from the lengths of the groups."""
-    latin = F.decode("content", "ISO-8859-1")
-    out = F.lit("byte match")
-    for c in catalogs:
-        numbered: dict = {}
-        for ns, i, s, _ in sorted(c.signatures, key=lambda r: r[:2]):
-            n = numbered[ns, i] = numbered.get((ns, i), 0) + 1
-            found = []
-            for r in s.runs:
-                n_groups, re_groups = 2 * len(r.frames), r.regex(True)
-                pieces = [F.length(F.regexp_extract(latin, re_groups, g)) for g in range(1, n_groups + 1)]
-                if r.from_end:
-                    span = sum(pieces[1:-1], pieces[0])
-                    start = F.length(latin) - span - pieces[-1]
-                else:
-                    span = sum(pieces[2:], pieces[1])
-                    start = pieces[0]
-                found.append((start, span))
-            if len(found) == 1:
-                text = F.concat_ws(", ", F.concat(F.lit("byte match at "), found[0][0].cast("string")), found[0][1].cast("string"))
-            else:
-                text = F.concat(F.lit("byte match at ["), F.concat_ws(" ", *(F.concat(F.lit("["), a.cast("string"), F.lit(" "), b.cast("string"), F.lit("]")) for a, b in found)), F.lit("]"))
-            out = F.when((F.col("ns") == ns) & (F.col("id") == i) & (F.col("sig_no") == n), text).otherwise(out)
-    return out
+def byte_basis(text: Column, spans: Column) -> Column:
+    """Basis text of a hit: offset and length of each run's matched part, from the lengths of the groups of its span expression."""
+    pairs = F.zip_with(spans, F.array_repeat(text, F.size(spans)), lambda r, t: F.struct(r.alias("r"), t.alias("t")))
+    size = lambda p, g: F.length(F.call_function("regexp_extract", p["t"], p["r"], F.lit(g))).cast("string")
+    found = F.transform(pairs, lambda p: F.struct(size(p, 1).alias("at"), size(p, 2).alias("n")))
+    one = F.concat(F.lit("byte match at "), found[0]["at"], F.lit(", "), found[0]["n"])
+    several = F.concat(F.lit("byte match at ["), F.array_join(F.transform(found, lambda x: F.concat(F.lit("["), x["at"], F.lit(" "), x["n"], F.lit("]"))), " "), F.lit("]"))
+    return F.when(F.size(spans) == 1, one).otherwise(several)
 
 
 def byte_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
@@ -192,8 +175,7 @@ def byte_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     if not any(c.signatures for c in catalogs):
         return text_hits(files, []).where("false")
     found = byte_candidates(files, catalogs)
-    small = sum(len(c.signatures) for c in catalogs) <= 64
-    basis = byte_basis(catalogs) if small else F.lit("byte match")
+    basis = byte_basis(F.decode("content", "ISO-8859-1"), F.col("spans"))
     suffix = F.when(F.col("sig_total") > 1, F.concat(F.lit(" (signature "), F.col("sig_no"), F.lit("/"), F.col("sig_total"), F.lit(")"))).otherwise("")
     return _hits(found, BYTE, F.concat(basis, suffix), F.col("sig_no"), F.col("sig_total"), F.col("phase"))
 

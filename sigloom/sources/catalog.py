@@ -22,7 +22,7 @@ RELATIONS = {
     "xmls": "root string, xmlns string",
     "fourccs": "fourcc string",
     "texts": "is_default boolean",
-    "byte_sigs": "sig_no int, sig_total int, regexes array<string>, phase int, side string, lit_off int, lit binary, weight int",
+    "byte_sigs": "sig_no int, sig_total int, regexes array<string>, phase int, side string, lit_off int, lit binary, weight int, spans array<string>",
     "containers": "ctype string, sig_no int, sig_total int, n_parts int",
     "parts": "ctype string, sig_no int, part_no int, entry string, is_glob boolean, regexes array<string>",
     "priorities": "superior string",
@@ -120,7 +120,7 @@ class Catalog:
         for ns, i, s, weight in sorted(self.signatures, key=lambda r: r[:2]):
             seen[ns, i] += 1
             side, off, lit = s.literal() or ("none", 0, b"")
-            out.append((ns, i, seen[ns, i], total[ns, i], s.regexes(), s.phase(), side, off, bytearray(lit), weight))
+            out.append((ns, i, seen[ns, i], total[ns, i], s.regexes(), s.phase(), side, off, bytearray(lit), weight, s.spans()))
         return out
 
     # -- inspection --------------------------------------------------------------------------------------------------
