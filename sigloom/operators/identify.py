@@ -22,7 +22,7 @@ class ScanOptions:
     dominance: str = "set"
     #: archive kinds to expand, none by default
     expand: tuple = ()
-    max_depth: int = 8
+    max_depth: int | None = None
     #: checksum to add: md5, sha1, sha256, sha512 or crc
     checksum: str | None = None
 

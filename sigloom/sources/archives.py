@@ -14,6 +14,7 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,13 @@ def kind_of(data: bytes) -> str | None:
     return None
 
 
+def kind_column(content: Column) -> Column:
+    """``kind_of`` as an expression."""
+    starts = lambda b: F.startswith(content, F.lit(bytearray(b)))
+    tar = F.substring(content, 258, 5) == F.lit(bytearray(b"ustar"))
+    return F.when(starts(b"PK\x03\x04"), "zip").when(starts(b"\x1f\x8b"), "gzip").when(tar, "tar").when(starts(b"filedesc://"), "arc").when(starts(b"WARC/"), "warc")
+
+
 def zip_entries(data: bytes) -> Iterator[tuple[str, str, bytes]]:
     """(name, mime, content) of the files in the order of the central directory; a NUL tail of a name is cut."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -85,7 +93,10 @@ def tar_entries(data: bytes):
 
 
 def gzip_entries(data: bytes, path: str = ""):
-    """The one child: named by the header, else by the archive's name without its extension."""
+    """The one child, of all members: named by the first header, else by the archive's name without its extension.
+
+    What follows the last whole member and is none is an error after the child.
+    """
     name = ""
     flags, at = data[3], 10
     if flags & 4:
@@ -95,7 +106,22 @@ def gzip_entries(data: bytes, path: str = ""):
     if not name:
         base = re.split(r"[/\\#]", path)[-1]
         name = os.path.splitext(base)[0] or base
-    yield name, "", zlib.decompress(data, 31)
+    out, rest, broken = [], data, None
+    while rest and broken is None:
+        member = zlib.decompressobj(31)
+        try:
+            got = member.decompress(rest)
+            if not member.eof:
+                raise ValueError("a gzip member ends early")
+        except (ValueError, zlib.error) as e:
+            broken = e
+        else:
+            out.append(got)
+            rest = member.unused_data.lstrip(b"\0")
+    if out:
+        yield name, "", b"".join(out)
+    if broken is not None:
+        raise broken
 
 
 def _body(block: bytes) -> tuple[str, bytes]:
@@ -187,23 +213,26 @@ def expand_once(files: DataFrame, kinds: tuple = KINDS, separator: str = "#") ->
         except Exception as e:  # noqa: BLE001 - a broken archive is a row, not a failure
             yield f"{path}{separator}", "", 0, None, f"archive error: {e}"[:200], path, depth + 1
 
-    magic = F.startswith("content", F.lit(bytearray(b"PK\x03\x04"))) | F.startswith("content", F.lit(bytearray(b"\x1f\x8b"))) | (F.substring("content", 258, 5) == F.lit(bytearray(b"ustar"))) | F.startswith("content", F.lit(bytearray(b"filedesc://"))) | F.startswith("content", F.lit(bytearray(b"WARC/")))
-    return _flat_map(files.where(magic).select("path", "content", F.col("depth").cast("int").alias("depth")), each, ENTRY, _ENTRY)
+    return _flat_map(files.where(kind_column(F.col("content")).isNotNull()).select("path", "content", F.col("depth").cast("int").alias("depth")), each, ENTRY, _ENTRY)
 
 
-def expand(files: DataFrame, kinds: tuple = KINDS, max_depth: int = 8, separator: str = "#") -> DataFrame:
-    """The files and everything inside their archives, down to ``max_depth`` levels."""
+def expand(files: DataFrame, kinds: tuple = KINDS, max_depth: int | None = None, separator: str = "#") -> DataFrame:
+    """The files and everything inside their archives, at any depth; archives at ``max_depth``, if given, stay closed and say so in their error."""
     from sigloom.session import cut
 
     have = set(files.columns)
     top = files.select("path", F.col("mime") if "mime" in have else F.lit("").alias("mime"), F.octet_length("content").cast("bigint").alias("length"), "content", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    out, level = top, top
-    for _ in range(max_depth):
-        level = cut(expand_once(level, kinds, separator))
-        if level.isEmpty():
+    level, done, n = top, [], 0
+    while max_depth is None or n < max_depth:
+        below = cut(expand_once(level, kinds, separator))
+        if below.isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        done.append(level)
+        level, n = below, n + 1
+    else:
+        closed = F.when(kind_column(F.col("content")).isin(*kinds), F.lit(f"archive error: not opened, {max_depth} levels are the limit"))
+        level = level.withColumn("error", F.coalesce("error", closed))
+    return reduce(DataFrame.unionByName, [*done, level])
 
 
 # -- containers ------------------------------------------------------------------------------------------------------
