@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.frames import BOF, EOF, PREV, SUCC, Frame, Signature
-from sigloom.functions.patterns import Alt
+from sigloom.functions.patterns import Alt, Cat
 from sigloom.sources.catalog import Catalog
 from sigloom.sources.expressions import NotationError, from_end, from_start, number, parse_items, signature_of
 
@@ -99,18 +99,20 @@ def droid_frames(sequence: ET.Element) -> list[Frame]:
                     by.setdefault(number(k.get("Position")), []).append(k)
             got = []
             for pos in sorted(by):
-                options = [parse_items(k.text or "")[0][0][1] for k in by[pos]]
+                options = [parse_items(k.text or "")[0] for k in by[pos]]
                 k = by[pos][0]
-                got.append(((number(k.get("MinOffset")), number(k.get("MaxOffset")) if k.get("MaxOffset") not in (None, "") else None), options[0] if len(options) == 1 else Alt(tuple(options))))
+                # a choice takes the patterns of a fragment in a row, without the gaps between them
+                items = options[0] if len(options) == 1 else [((0, 0), Alt(tuple(o[0][1] if len(o) == 1 else Cat(tuple(p for _, p in o)) for o in options)))]
+                got.append(((number(k.get("MinOffset")), number(k.get("MaxOffset")) if k.get("MaxOffset") not in (None, "") else None), items))
             return got
 
         left, right = fragments("LeftFragment"), fragments("RightFragment")
         # a left fragment's offset lies between it and its neighbour to the right
         chain = list(parts)
-        for gap, p in left:
-            chain[0] = (gap, chain[0][1])
-            chain.insert(0, ((0, 0), p))
-        chain += right
+        for gap, items in left:
+            chain = [((0, 0), items[0][1]), *items[1:], (gap, chain[0][1]), *chain[1:]]
+        for gap, items in right:
+            chain += [(gap, items[0][1]), *items[1:]]
         first_gap = (low, high)
         if eof:
             frames = [Frame(p, SUCC, *g) for (_, p), (g, _) in zip(chain, chain[1:])] + [Frame(chain[-1][1], EOF if position == 1 else SUCC, *first_gap)]
