@@ -91,11 +91,15 @@ def mime_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     return _hits(y, MIME, F.concat(F.lit("mime match "), F.col("_m")), phase=F.col("_p"))
 
 
+#: What may stand before the root of an XML text; possessive, so that it takes no stack however long it is. Brackets in quotes, comments and
+#: instructions of a document type do not end it.
+_QUOTED = r"\"[^\"]*+\"|'[^']*+'"
+_PROLOG = rf"(?s)\A\x{{FEFF}}?(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>\"']++|{_QUOTED}|\[(?:[^\]\"'<]++|{_QUOTED}|<!--.*?-->|<\?.*?\?>|<)*+\])*+>)*+"
+
+
 def xml_root(content: Column) -> Column:
     """struct(root, xmlns) of the first element of an XML text; empty where there is none."""
-    head = F.regexp_replace(F.substring(content, 1, 65536).cast("string"), "^\ufeff", "")
-    tag = F.regexp_extract(head, r"(?s)\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>]|\[.*?\])*>)*<([A-Za-z_][^\s/>]*(?:\s[^>]*)?)/?>", 1)
-    open_tag = F.when(tag != "", tag).otherwise(F.regexp_extract(head, r"(?s)\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>]|\[.*?\])*>)*<([A-Za-z_][^\s/>]*)>", 1))
+    open_tag = F.regexp_extract(content.cast("string"), _PROLOG + r"<([A-Za-z_][^\s/>]*(?:\s[^>]*)?)/?>", 1)
     name = F.regexp_extract(open_tag, r"^([^\s/>]+)", 1)
     prefix = F.regexp_extract(name, r"^([^:]+):", 1)
     attr = F.when(prefix == "", F.regexp_extract(open_tag, r"(?s)\sxmlns\s*=\s*[\"']([^\"']*)[\"']", 1)).otherwise(F.element_at(F.split(F.element_at(F.split(F.concat(open_tag, F.lit(" ")), F.concat(F.lit(r"\sxmlns:\Q"), prefix, F.lit("\\E\\s*=\\s*[\"']"))), -1), "[\"']"), 1))
@@ -104,7 +108,7 @@ def xml_root(content: Column) -> Column:
 
 def xml_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """Equi-joins on root and namespace: both, the root alone, the namespace alone."""
-    x = files.where(F.substring("content", 1, 1024).cast("string").rlike(r"^\ufeff?\s*<")).select("path", xml_root(F.col("content")).alias("x")).where("x.root != ''")
+    x = files.where(F.col("content").cast("string").rlike(r"\A\x{FEFF}?\s*+<")).select("path", xml_root(F.col("content")).alias("x")).where("x.root != ''")
     none = F.lit("")
     both = lambda r, n: F.struct(r.alias("root"), n.alias("xmlns"))
     root, space = F.col("x.root"), F.col("x.xmlns")

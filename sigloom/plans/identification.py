@@ -136,15 +136,16 @@ def registry_mimes(s, d) -> DataFrame:
 
 
 def xml_files(s, d) -> DataFrame:
-    """documents wrapped as XML texts of several shapes."""
+    """The whole texts of documents wrapped as XML of several shapes."""
     lang = F.coalesce("lang", F.lit("none"))
     k = F.pmod("doc_id", F.lit(4))
-    body = F.lit("text</x>")
+    text = F.coalesce("text", F.lit(""))
+    body = F.concat(text, F.lit("</x>"))
     xml = (
         F.when(k == 0, F.concat(F.lit('<?xml version="1.0"?>\n<!-- note -->\n<record xmlns="urn:'), lang, F.lit('" a="1">'), body))
         .when(k == 1, F.concat(F.lit("<record>"), body))
         .when(k == 2, F.concat(F.lit('<m:feed xmlns:m="urn:'), lang, F.lit('">'), body))
-        .otherwise(F.lit("this is not xml"))
+        .otherwise(F.concat(F.lit("this is not xml"), text))
     )
     return T(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("mime"), F.encode(xml, "UTF-8").alias("content"))
 
