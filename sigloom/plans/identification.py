@@ -11,7 +11,6 @@ from sigloom.functions.frames import BOF, EOF, PREV, Frame, Signature
 from sigloom.operators import matchers
 from sigloom.operators.identify import identify
 from sigloom.operators.resolve import resolve_mime, scored, waiting
-from sigloom.session import small
 from sigloom.session import table as T
 from sigloom.sources import registry
 from sigloom.sources.catalog import Catalog
@@ -118,21 +117,38 @@ def predicates(s, d):
     return x.select("doc_id", *cols)
 
 
+def registry_catalogs(s, d) -> list[Catalog]:
+    """A catalogue of extensions and types per namespace of the format registry."""
+    by: dict[str, Catalog] = {}
+    reg = T(s, d, "format_registry").where("ns is not null and ident_id is not null")
+    for r in reg.select("ns", "ident_id", F.trim("mime_type").alias("mime"), F.array_distinct(F.transform("exts", lambda e: F.lower(F.trim(e)))).alias("exts")).distinct().orderBy("ns", "ident_id").collect():
+        c = by.setdefault(r.ns, Catalog(r.ns, "format registry"))
+        c.globs += [(r.ns, r.ident_id, "ext", e, 0, 50) for e in r.exts or [] if e]
+        c.mimes += [(r.ns, r.ident_id, r.mime)] if r.mime else []
+    for c in by.values():
+        c.globs, c.mimes = list(dict.fromkeys(c.globs)), list(dict.fromkeys(c.mimes))
+    return list(by.values())
+
+
+def named_files(s, d, mimes: list[str] = ()) -> DataFrame:
+    """Every file of scan_files once: file number and name as the path; the types are declared in turn, with a parameter for every other file."""
+    path = F.concat_ws("/", F.col("file_no").cast("string"), F.coalesce("filename", F.lit("")))
+    mime = F.lit("")
+    if mimes:
+        plain = F.element_at(F.array(*map(F.lit, mimes)), (F.pmod("file_no", F.lit(len(mimes))) + 1).cast("int"))
+        mime = F.when(F.pmod(F.floor(F.col("file_no") / len(mimes)), F.lit(2)) == 0, plain).otherwise(F.concat(plain, F.lit("; charset=utf-8")))
+    return T(s, d, "scan_files").select(path.alias("path"), mime.alias("mime")).distinct()
+
+
 def registry_names(s, d) -> DataFrame:
-    """(file_no, n_ids, first_id): the registry's formats that share a file's extension."""
-    files = T(s, d, "scan_files").select("file_no", scalars.extension(scalars.base_name(F.col("filename"))).alias("ext")).where("ext != ''").groupBy("file_no").agg(F.max("ext").alias("ext"))
-    exts = T(s, d, "format_registry").select("ident_id", F.explode("exts").alias("e")).select(F.lower("e").alias("ext"), "ident_id").distinct().groupBy("ext").agg(F.count("*").alias("n_ids"), F.min("ident_id").alias("first_id"))
-    return files.join(small(exts, 100_000), "ext").select("file_no", "n_ids", "first_id")
+    """Every extension hit of the registry's formats on the files."""
+    return matchers.name_hits(named_files(s, d), registry_catalogs(s, d)).select("path", "ns", "id", "basis")
 
 
 def registry_mimes(s, d) -> DataFrame:
-    """(path, id, phase) of registry types declared with and without a parameter."""
-    reg = T(s, d, "format_registry").where("mime_type is not null")
-    declared = F.when(F.length("ident_id") % 2 == 0, F.concat("mime_type", F.lit("; charset=utf-8"))).otherwise(F.col("mime_type"))
-    files = reg.select(F.col("ident_id").alias("path"), declared.alias("mime"))
-    rows = reg.groupBy("mime_type").agg(F.min("ident_id").alias("id"))
-    keys = F.when(F.contains("mime", F.lit(";")), F.array("mime", F.regexp_replace("mime", ";[^;]*$", ""))).otherwise(F.array("mime"))
-    return files.select("path", F.posexplode(keys).alias("phase", "mime_type")).join(rows, "mime_type").select("path", "id", "phase")
+    """Every hit of the registry's types on the files, declared with and without a parameter."""
+    catalogs = registry_catalogs(s, d)
+    return matchers.mime_hits(named_files(s, d, sorted({r[2] for c in catalogs for r in c.mimes})), catalogs).select("path", "ns", "id", "phase")
 
 
 def xml_files(s, d) -> DataFrame:
