@@ -171,10 +171,13 @@ def xml_catalog() -> Catalog:
 
 
 def notation(s, d) -> DataFrame:
-    """Every distinct byte sequence of the format reports compiled: value, n_frames, least, sound."""
-    seqs = T(s, d, "report_snapshots").select(F.explode("signatures").alias("s")).select(F.explode("s.byte_sequences").alias("b")).select(F.trim("b.hex_value").alias("value")).where("value != ''").distinct()
-    x = seqs.select("value", F.lit("Absolute from BOF").alias("pos"), F.lit("0").alias("lo"), F.lit("0").alias("hi"), F.col("value").alias("text"))
-    return registry.compile_notation(x, "value", "pos", "lo", "hi", "text").select("value", "n_frames", "least", F.col("error").isNull().alias("sound"))
+    """Every distinct byte sequence of the format reports compiled at its place: position, low, high, value, n_frames, least, sound, regexes (as a hash)."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    places = {"position": "b.position_type", "low": "b.min_offset", "high": "b.max_offset", "value": "b.hex_value"}
+    seqs = T(s, d, "report_snapshots").select(F.explode("signatures").alias("s")).select(F.explode("s.byte_sequences").alias("b")).select(*(text(F.col(c)).alias(n) for n, c in places.items())).where("value != ''").distinct()
+    x = registry.compile_notation(seqs.withColumn("key", F.to_json(F.struct(*places))), "key", "position", "low", "high", "value")
+    back = F.from_json("key", ", ".join(f"{n} string" for n in places)).alias("k")
+    return x.select(back, "n_frames", "least", F.col("error").isNull().alias("sound"), F.md5(F.array_join("regexes", "\n")).alias("regexes")).select("k.*", "n_frames", "least", "sound", "regexes")
 
 
 def mode_query(mode: str):
@@ -203,7 +206,7 @@ def queries():
         "mime_match": registry_mimes,
         "byte_predicates": predicates,
         "byte_hits": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "sig_total", "phase"),
-        "byte_basis": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).where("id != 'd/4'").select("path", "id", "sig_no", "basis"),
+        "byte_basis": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "basis"),
         "byte_notation": notation,
         "text_class": lambda s, d: T(s, d, "documents").select("doc_id", scalars.text_class(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("class")),
         "xml_root": lambda s, d: matchers.xml_hits(xml_files(s, d), [xml_catalog()]).select("path", "id", "phase"),
