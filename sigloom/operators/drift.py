@@ -3,8 +3,9 @@
 The header of every results file is read where it lies, in parallel, into its
 schema: the items it has, how each is spelled and its type. Consecutive schemas
 of a collection are compared item by item, which gives the ordered differences;
-a fold over the type-promotion lattice gives the union schema, and every header
-is cast to it.
+a fold over the type-promotion lattice gives the union schema of these items.
+The unified heads hold version, hash column and fields of every header, always
+as text; other members are in neither.
 
 The predecessor of a header is found in two levels, so that a collection with a
 third of all scans is no single task: inside (collection, month) groups with a
@@ -118,7 +119,7 @@ def head_changes(heads: DataFrame) -> DataFrame:
 
 
 def union_schema(heads: DataFrame) -> DataFrame:
-    """item, union_type, n_scans, n_names, first_scanned, last_scanned: the fold of all header schemas.
+    """item, union_type, n_scans, n_names, first_scanned, last_scanned: the fold of the version, hash and field items of all headers.
 
     The lattice: one type stays; number and bool promote to text; list or object with anything else promotes to text
     that holds JSON.
@@ -131,7 +132,7 @@ def union_schema(heads: DataFrame) -> DataFrame:
 
 
 def unified_heads(heads: DataFrame) -> DataFrame:
-    """Every header cast to the union schema: version as dotted text, hash column, field items in the order of the header."""
+    """Version as dotted text, hash column and field items in the order of the header, always as text; other members are left out."""
     x = head_schemas(heads)
     value = F.coalesce(*(F.when(json_type(F.try_variant_get("v", f"$.{m}", "variant")) == "list", F.array_join(F.try_variant_get("v", f"$.{m}", "array<string>"), ".")).otherwise(F.try_variant_get("v", f"$.{m}", "string")) for m in VERSION_MEMBERS))
     hashed = F.get(F.filter("items", lambda i: i["item"] == "hash"), F.lit(0))["name"]
