@@ -282,25 +282,26 @@ def oracle_sql():
     pred = ", ".join(f"regexp_matches(h, '{r}') AS {n}" if r else f"{two_runs} AS {n}" for n, r in _PREDICATE_SQL.items())
     return {
         "name_normalise": f"SELECT DISTINCT file_no, {_BASE} AS base, lower(regexp_extract({_BASE}, '\\.([^.]*)$', 1)) AS ext FROM scan_files",
-        "name_ext_match": f"""WITH f AS (SELECT file_no, max(lower(regexp_extract({_BASE}, '\\.([^.]*)$', 1))) AS ext FROM scan_files WHERE lower(regexp_extract({_BASE}, '\\.([^.]*)$', 1)) != '' GROUP BY 1),
-            e AS (SELECT DISTINCT lower(unnest(exts)) AS ext, ident_id FROM format_registry), g AS (SELECT ext, count(*) AS n_ids, min(ident_id) AS first_id FROM e GROUP BY ext)
-            SELECT file_no, n_ids, first_id FROM f JOIN g USING (ext)""",
+        "name_ext_match": f"""WITH f AS (SELECT DISTINCT CAST(file_no AS VARCHAR) || '/' || coalesce(filename, '') AS path FROM scan_files),
+            n AS (SELECT path, lower(regexp_extract({_BASE.replace("filename", "path")}, '\\.([^.]*)$', 1)) AS ext FROM f),
+            e AS (SELECT DISTINCT ns, ident_id AS id, lower(trim(unnest(exts))) AS ext FROM format_registry WHERE ns IS NOT NULL AND ident_id IS NOT NULL)
+            SELECT path, ns, id, 'extension match ' || ext AS basis FROM n JOIN e USING (ext) WHERE ext != ''""",
         "name_glob_first": f"""WITH n AS (SELECT file_no, max(filename) AS filename FROM scan_files GROUP BY 1), p AS (SELECT CASE file_no % 5 WHEN 0 THEN 'a/README-' || file_no WHEN 1 THEN 'b\\x' || file_no || '.note' ELSE coalesce(filename, '') END AS path FROM n),
             b AS (SELECT path, {_BASE.replace('filename', 'path')} AS base FROM p)
             SELECT path, CASE WHEN starts_with(base, 'README') THEN 'd/2' ELSE 'd/3' END AS id, CASE WHEN starts_with(base, 'README') THEN 'glob match README*' ELSE 'glob match *[13579].n?te' END AS basis
             FROM b WHERE starts_with(base, 'README') OR regexp_full_match(base, '.*[13579]\\.n.te')""",
-        "mime_match": """WITH r AS (SELECT ident_id, mime_type FROM format_registry WHERE mime_type IS NOT NULL), m AS (SELECT mime_type, min(ident_id) AS id FROM r GROUP BY 1)
-            SELECT ident_id AS path, id, CASE WHEN length(ident_id) % 2 = 0 THEN 1 ELSE 0 END AS phase FROM r JOIN m USING (mime_type)""",
+        "mime_match": """WITH r AS (SELECT DISTINCT ns, ident_id AS id, trim(mime_type) AS mime FROM format_registry WHERE ns IS NOT NULL AND ident_id IS NOT NULL AND trim(mime_type) != ''),
+            m AS (SELECT list_sort(list(DISTINCT mime)) AS all_mimes FROM r), named AS (SELECT DISTINCT file_no, CAST(file_no AS VARCHAR) || '/' || coalesce(filename, '') AS path FROM scan_files),
+            f AS (SELECT path, all_mimes[CAST(file_no % len(all_mimes) + 1 AS INTEGER)] AS mime, (file_no // len(all_mimes)) % 2 AS phase FROM named, m)
+            SELECT path, ns, id, CAST(phase AS INTEGER) AS phase FROM f JOIN r USING (mime)""",
         "byte_predicates": f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, {pred} FROM x",
         "byte_hits": f"WITH {_BYTES} SELECT * FROM bytes",
         "byte_basis": f"""WITH {_BYTES} SELECT b.path, id, sig_no, 'byte match at ' || CASE WHEN id = 'd/1' AND sig_no = 1 THEN '0, 12 (signature 1/2)'
               WHEN id = 'd/1' THEN '[[0 3] [' || (size - length(regexp_extract(h, '{_hx("warning :")}((?:..){{0,2}})$', 1)) // 2 - 9) || ' 9]] (signature 2/2)'
               WHEN id = 'd/2' THEN octet_length(encode(t[1:position('fmt/' IN t) - 1])) || ', 4'
+              WHEN id = 'd/4' THEN '0, ' || length(regexp_extract(h, '^(?:..){{4}}((?:..){{0,40}}?){_hx("e")}', 1)) // 2 + 5
               ELSE length(regexp_extract(h, '^((?:..){{0,120}}?)(?:{"".join(f"(?:{a:02X}|{a - 32:02X})" for a in b"signature")})', 1)) // 2 || ', 9' END AS basis
-            FROM bytes b JOIN files f USING (path) WHERE id != 'd/4'""",
-        "byte_notation": r"""WITH v AS (SELECT DISTINCT trim(b.hex_value) AS value FROM (SELECT unnest(s.byte_sequences) AS b FROM (SELECT unnest(signatures) AS s FROM report_snapshots)) WHERE trim(b.hex_value) != ''),
-            p AS (SELECT value, regexp_extract_all(regexp_replace(regexp_replace(value, '\s', '', 'g'), '\{[^}]*\}', '?', 'g'), '[0-9A-Fa-f]+') AS runs FROM v)
-            SELECT value, CAST(len(runs) AS INTEGER) AS n_frames, CAST(list_sum(list_transform(runs, lambda r: length(r) // 2)) AS INTEGER) AS least, true AS sound FROM p""",
+            FROM bytes b JOIN files f USING (path)""",
         "text_class": f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, {_CLASS} AS class FROM x",
         "xml_root": """WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 4 AS k, 'urn:' || coalesce(lang, 'none') AS ns FROM documents)
             SELECT path, 'x/1' AS id, CASE WHEN k = 0 THEN 1 ELSE 0 END AS phase FROM k WHERE k IN (0, 1)

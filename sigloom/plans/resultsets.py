@@ -219,8 +219,8 @@ def _order():
 
 _EDGES = r"""
 said AS (SELECT regexp_replace(trim(lower(typ)), '\s+', ' ', 'g') AS typ, report_id, related_id FROM related_formats WHERE report_id IS NOT NULL AND related_id IS NOT NULL),
-edges AS (SELECT report_id AS sub, related_id AS sup FROM said WHERE typ = 'has lower priority than' AND report_id != related_id
-  UNION SELECT related_id, report_id FROM said WHERE typ = 'has priority over' AND report_id != related_id),
+edges AS (SELECT report_id AS sub, related_id AS sup FROM said WHERE typ IN ('has lower priority than', 'is supertype of') AND report_id != related_id
+  UNION SELECT related_id, report_id FROM said WHERE typ IN ('has priority over', 'is subtype of') AND report_id != related_id),
 chosen AS (SELECT DISTINCT report_id AS id FROM report_snapshots WHERE report_id IS NOT NULL AND report_id % 3 != 0),
 induced AS (SELECT sub, sup FROM edges WHERE sub IN (SELECT id FROM chosen) AND sup IN (SELECT id FROM chosen))
 """
