@@ -80,9 +80,23 @@ def extension_sets(registry: DataFrame, exts: str = "exts", member: str = "ident
 
 
 def fpr_reply(results: DataFrame, limit: int = 1024) -> DataFrame:
-    """filename, reply: the short answer of the socket service, the ids or the error, at most ``limit`` bytes long."""
-    ids = F.array_join(F.transform("matches", lambda m: m["id"]), ";")
-    return results.select("filename", F.substring(F.when(F.coalesce("errors", F.lit("")) != "", F.concat(F.lit("error: "), F.col("errors"))).otherwise(ids), 1, limit).alias("reply"))
+    """filename, reply: the short answer of the socket service, at most ``limit`` bytes long.
+
+    The id of a file with one known id; else an error that tells the failed scan, the warning of an unknown format, the
+    several ids, or that there are none. A character cut by the limit is left out.
+    """
+    ids, one = F.transform("matches", lambda m: m["id"]), F.get("matches", F.lit(0))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    said = (
+        F.when((text(F.col("errors")) != "") & (F.size("matches") <= 0), F.concat(F.lit("error: failed to scan "), "filename", F.lit("; got "), "errors"))
+        .when(F.coalesce(F.size("matches"), F.lit(0)) <= 0, F.concat(F.lit("error: scanning "), "filename", F.lit(": no formats returned")))
+        .when(F.size("matches") > 1, F.concat(F.lit("error: multiple formats returned; got "), F.array_join(ids, ", ")))
+        .when(text(one["id"]).isin("", "unknown", "UNKNOWN"), F.concat(F.lit("error: format unknown; got "), text(one["warning"])))
+        .otherwise(one["id"])
+    )
+    raw = F.encode(said, "UTF-8")
+    whole = F.regexp_replace(F.decode(F.substring(raw, 1, limit), "ISO-8859-1"), r"(?:[\xC0-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF7][\x80-\xBF]{0,2})\z", "")
+    return results.select("filename", F.when(F.octet_length(raw) <= limit, said).otherwise(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8")).alias("reply"))
 
 
 __all__ = ["compare", "chart", "keep", "grouped_sets", "family_sets", "extension_sets", "fpr_reply", "id_text"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.session import BLANKS, small, trimmed
+from sigloom.session import BLANKS, cut, small, trimmed
 
 #: More snapshots than this are joined by shuffle instead of broadcast.
 MAX_SNAPSHOTS = 100_000
@@ -46,9 +46,13 @@ def latest_states(df: DataFrame, snap: str, key: str, loaded: str, row_hash: Col
 
 
 def snapshot_order(df: DataFrame, snap: str) -> DataFrame:
-    """(snap, pos, next_snap): the existing snapshots, numbered from 1 without gaps."""
+    """(snap, pos, next_snap): the existing snapshots, numbered from 1 without gaps.
+
+    Cut, as it is counted and then joined: the table is read once for it, one column wide.
+    """
     w = Window.orderBy("snap")  # one row per snapshot, not per record
-    return df.where(F.col(snap).isNotNull()).select(F.col(snap).alias("snap")).distinct().select("snap", F.row_number().over(w).alias("pos"), F.lead("snap").over(w).alias("next_snap"))
+    order = df.where(F.col(snap).isNotNull()).select(F.col(snap).alias("snap")).distinct().select("snap", F.row_number().over(w).alias("pos"), F.lead("snap").over(w).alias("next_snap"))
+    return cut(order)
 
 
 def validity_intervals(states: DataFrame, order: DataFrame) -> DataFrame:

@@ -280,7 +280,9 @@ def oracle_sql():
             SELECT p AS file_path, name, type, CASE WHEN type = 'File' AND len(k) > 0 THEN 'Extension' ELSE '' END AS method, CASE WHEN errors != '' THEN errors ELSE 'Done' END AS status,
               CASE WHEN type = 'File' THEN lower(regexp_extract(name, '\.([^.]*)$', 1)) ELSE '' END AS ext, CASE WHEN type = 'File' THEN CAST(len(k) AS BIGINT) END AS format_count, puid
             FROM (SELECT *, unnest(CASE WHEN len(k) > 0 THEN k ELSE [NULL] END) AS puid FROM base)""",
-        "reply_text": f"WITH {_results('a', False)} SELECT filename, left(CASE WHEN errors != '' THEN 'error: ' || errors ELSE array_to_string(ids, ';') END, 1024) AS reply FROM a",
+        "reply_text": f"""WITH {_results('a', False)}, r AS (SELECT filename, CASE WHEN errors != '' AND len(ids) = 0 THEN 'error: failed to scan ' || filename || '; got ' || errors WHEN len(ids) = 0 THEN 'error: scanning ' || filename || ': no formats returned'
+            WHEN len(ids) > 1 THEN 'error: multiple formats returned; got ' || array_to_string(ids, ', ') WHEN ids[1] IN ('', 'unknown', 'UNKNOWN') THEN 'error: format unknown; got ' ELSE ids[1] END AS reply FROM a)
+            SELECT filename, CASE WHEN octet_length(encode(reply)) <= 1024 THEN reply ELSE list_aggregate(list_transform(list_filter(range(1, length(reply) + 1), lambda i: octet_length(encode(reply[1:i])) <= 1024), lambda i: reply[i]), 'string_agg', '') END AS reply FROM r""",
         "checksums": "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "uri_escape": r"""WITH n AS (SELECT DISTINCT filename FROM scan_files WHERE filename IS NOT NULL), e AS (SELECT filename, replace(replace(url_encode(filename), '%2F', '/'), '%3A', ':') AS escaped FROM n)
             SELECT filename, escaped, 'file:/' || regexp_replace(escaped, '^/+', '') AS uri FROM e""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,16 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint_folder(sc) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a folder of our own is used.
+    Where that is unset, a master on this machine gets a folder of its own, removed at exit; any other master is
+    refused, as its executors would each write to a disk the others cannot see.
     """
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    own = tempfile.mkdtemp(prefix="sigloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``checkpoint_folder``."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigloom-"))
+        sc.setCheckpointDir(checkpoint_folder(sc))
     # new column identities, so that a cut table can be joined and united with itself
     return df.checkpoint(eager=True).select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
 
@@ -49,12 +62,28 @@ def squeezed(c: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
 
 
+#: Logical operators that keep the partitions of the scan below them.
+NARROW = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Generate", "MapInArrow", "MapInPandas", "Union", "SubqueryAlias", "DataSourceV2ScanRelation", "OneRowRelation"}
+
+
+def is_narrow(df: DataFrame) -> bool:
+    """Whether a plan has no operator that shuffles, by the kinds of its logical operators."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() not in NARROW:
+            return False
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as the cluster has cores, if the scan gives fewer (small or single files).
 
-    A large input has more splits than cores and stays as it is, so nothing is shuffled there.
+    A large input has more splits than cores and stays as it is, so nothing is shuffled there; neither is a plan that
+    shuffles anyway.
     """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # already spread by a shuffle; counting its partitions would run it
+    if df.isStreaming or not is_narrow(df):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -98,14 +98,14 @@ def summary(records: DataFrame, findings: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def signatures_of(sigs, max_sources: int = 1000) -> list[tuple[Signature, str]]:
+def signatures_of(sigs) -> list[tuple[Signature, str]]:
     """(signature, source) of a record: sequences of one source and date from both sides form one signature."""
     groups: dict[tuple, dict[str, list]] = {}
     for s in sigs:
         if s["notation"] and s["offset"] >= 0:
             groups.setdefault((s["source"], s["date"]), {"BOF": [], "EOF": []})[s["relativity"]].append(s)
     out = []
-    for (source, date), by in list(groups.items())[:max_sources]:
+    for (source, date), by in groups.items():
         ends = [from_end(s["notation"], s["offset"], s["offset"]) for s in by["EOF"]]
         starts = [from_start(s["notation"], s["offset"], s["offset"]) for s in by["BOF"]]
         label = f"{source} (source date: {date})" if date else source

@@ -89,7 +89,7 @@ def preset(name: str, vocabularies: dict[str, Catalog], options: BuildOptions |
 
 
 #: The letters and words of log options.
-LOG_OPTIONS = {"e": "error", "error": "error", "err": "error", "w": "warning", "warn": "warning", "warning": "warning", "k": "known", "known": "known", "u": "unknown", "unknown": "unknown", "c": "chart", "chart": "chart", "t": "time", "time": "time", "p": "progress", "progress": "progress", "d": "debug", "debug": "debug", "s": "slow", "slow": "slow", "o": "stdout", "stdout": "stdout", "out": "stdout"}
+LOG_OPTIONS = {"e": "error", "error": "error", "err": "error", "w": "warning", "warn": "warning", "warning": "warning", "k": "known", "known": "known", "u": "unknown", "unknown": "unknown", "c": "chart", "chart": "chart", "t": "time", "time": "time", "p": "progress", "progress": "progress", "d": "debug", "debug": "debug", "s": "slow", "slow": "slow", "o": "stdout", "stdout": "stdout", "out": "stdout", "stderr": "stderr"}
 
 
 def log_options(text: str) -> tuple[set[str], list[str]]:

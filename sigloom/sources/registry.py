@@ -217,7 +217,7 @@ def compile_notation(df: DataFrame, key: str, position: str, low: str, high: str
                     s = signature_of([(pos, lo, hi, text or "")])
                     rows.append((k, s.regexes(), len(s.frames), sum(f.pattern.lengths()[0] for f in s.frames), (s.literal() or ("none",))[0], None))
                 except (NotationError, ValueError) as e:
-                    rows.append((k, None, None, None, None, str(e)[:200]))
+                    rows.append((k, None, None, None, None, str(e)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
