@@ -15,9 +15,6 @@ from dataclasses import dataclass, field
 from sigloom.functions.patterns import Pattern, Seq
 
 BOF, PREV, SUCC, EOF = "BOF", "PREV", "SUCC", "EOF"
-#: A gap beyond this many bytes begins a new segment of the basis text.
-DISTANCE = 8192
-
 
 @dataclass(frozen=True)
 class Frame:
@@ -53,6 +50,11 @@ class Frame:
         return {(at, at + n) for at in range(self.low, min(last, len(data)) + 1) for n in self.pattern.match(data, at)}
 
 
+def key_rank(key: tuple[str, int, list[bytes]]) -> tuple:
+    """Which of two keys narrows more: one at a fixed place, then the longer, then the one of fewer strings."""
+    return key[0] in ("bof", "eof"), min(map(len, key[2])), -len(key[2])
+
+
 @dataclass(frozen=True)
 class Run:
     """Frames that hang together, first to last in the content."""
@@ -75,14 +77,20 @@ class Run:
         wild = last.orient == SUCC or last.kind == "wild"
         return body[: len(body) - len(last.gap())] if wild and not groups else body + ("" if last.orient == SUCC else "\\z")
 
-    def span(self) -> str:
-        """The run with two groups: what comes before its matched part, and the part without the outer gap."""
+    def search(self) -> tuple[str, int, int | None, int | None, bool]:
+        """(expression, low, high, bound, from_end): how the matched part is sought in Python.
+
+        From the beginning the part must begin at ``low`` to ``high`` (None: anywhere behind) and lies within the first
+        ``bound`` bytes; from the end group 1 is the part, and all of it lies within the last ``bound`` bytes (None: no
+        bound), so no more than that is read.
+        """
         if not self.from_end:
             first = self.frames[0]
-            return "\\A(" + first.gap() + ")(" + first.pattern.regex() + "".join(f.gap() + f.pattern.regex() for f in self.frames[1:]) + ")"
+            part = first.pattern.regex() + "".join(f.gap() + f.pattern.regex() for f in self.frames[1:])
+            return part, first.low, first.high, self.bounds(), False
         last = self.frames[-1]
         part = "".join(f.pattern.regex() + f.gap() for f in self.frames[:-1]) + last.pattern.regex()
-        return "\\A([\\x00-\\xFF]*?)(" + part + ")" + ("" if last.orient == SUCC else last.gap() + "\\z")
+        return "(" + part + ")" + ("" if last.orient == SUCC else last.gap() + "\\Z"), 0, None, self.bounds(), True
 
     def matches(self, data: bytes) -> bool:
         """Naive interpreter over the frames, the yardstick of the compiled form."""
@@ -102,21 +110,26 @@ class Run:
             heads = found
         return bool(heads)
 
-    def literal(self) -> tuple[str, int, bytes] | None:
-        """(bof or eof, offset, bytes) of a literal that any match has at a fixed place, or (any, 0, bytes) of one anywhere."""
-        at = 0
-        best: tuple[str, int, bytes] | None = None
+    def literal(self) -> tuple[str, int, list[bytes]] | None:
+        """(side, offset, literals): any match has one of the literals there.
+
+        Sides: ``bof`` and ``eof`` with the fixed offset, ``head`` and ``tail`` with the number of bytes from that side
+        that hold it, ``any`` for a place anywhere. A choice gives its few byte strings. Zeros are no key, as padding
+        would make every file a candidate.
+        """
+        at, fixed, bound = 0, True, self.bounds()
+        free = ("any", 0) if bound is None else ("tail" if self.from_end else "head", bound)
+        best: tuple[str, int, list[bytes]] | None = None
         frames = self.frames if not self.from_end else self.frames[::-1]
-        fixed = True
         for f in frames:
             fixed = fixed and f.kind == "fixed" and f.orient != (SUCC if f is frames[0] else "")
             at += f.low
             least, most = f.pattern.lengths()
-            if isinstance(f.pattern, Seq):
-                if fixed and (best is None or best[0] == "any" or len(f.pattern.data) > len(best[2])):
-                    best = ("eof" if self.from_end else "bof", at, f.pattern.data)
-                elif not fixed and (best is None or best[0] == "any" and len(f.pattern.data) > len(best[2])):
-                    best = ("any", 0, f.pattern.data)
+            found = f.pattern.expand()
+            if found and all(any(x) for x in found):
+                key = ("eof" if self.from_end else "bof", at, found) if fixed else (*free, found)
+                if best is None or key_rank(key) > key_rank(best):
+                    best = key
             fixed = fixed and least == most
             at += most
         return best
@@ -155,16 +168,15 @@ class Signature:
     def regexes(self, groups: bool = False) -> list[str]:
         return [r.regex(groups) for r in self.runs]
 
-    def spans(self) -> list[str]:
-        return [r.span() for r in self.runs]
+    def searches(self) -> list[tuple]:
+        return [r.search() for r in self.runs]
 
     def matches(self, data: bytes) -> bool:
         return all(r.matches(data) for r in self.runs)
 
-    def literal(self) -> tuple[str, int, bytes] | None:
-        """The best prefilter: the longest literal at a fixed place, else the longest one anywhere."""
-        found = [x for r in self.runs if (x := r.literal())]
-        return max(found, key=lambda x: (x[0] != "any", len(x[2])), default=None)
+    def literal(self) -> tuple[str, int, list[bytes]] | None:
+        """The best prefilter of all runs."""
+        return max((x for r in self.runs if (x := r.literal())), key=key_rank, default=None)
 
     def phase(self) -> int:
         """Order in which the parts complete: 1 from the beginning, 3 from the end, 4 anywhere."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,3 +130,33 @@ def text_class(content: Column) -> Column:
         .when(~latin.rlike(r"[\x80-\x9F]"), "ISO-8859-1")
         .otherwise("extended")
     )
+
+
+_CONTROL, _HIGH, _C1, _CUT = (re.compile(p) for p in (rb"[\x00-\x06\x0E-\x1A\x1C-\x1F\x7F]", rb"[\x80-\xFF]", rb"[\x80-\x9F]", rb"[\xC2-\xF4][\x80-\xBF]{0,2}\Z"))
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def text_class_of(content: bytes) -> str:
+    """``text_class`` of bytes in a Python worker."""
+    head = content[:4096]
+    if not head:
+        return "data"
+    for mark, kind in ((b"\xef\xbb\xbf", "UTF-8 Unicode (with BOM)"), (b"\xfe\xff", "UTF-16 Big Endian"), (b"\xff\xfe", "UTF-16 Little Endian")):
+        if head.startswith(mark):
+            return kind
+    if head.startswith((b"+/v8", b"+/v9", b"+/v+", b"+/v/")):
+        return "UTF-7 Unicode"
+    if _CONTROL.search(head):
+        return "data"
+    if not _HIGH.search(head):
+        return "ASCII"
+    if _is_utf8(head) or len(content) > 4096 and _is_utf8(_CUT.sub(b"", head)):
+        return "UTF-8 Unicode"
+    return "extended" if _C1.search(head) else "ISO-8859-1"

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.operators.matchers import all_hits
-from sigloom.operators.resolve import resolve, resolve_mime
-from sigloom.session import spread
+from sigloom.operators.resolve import MODES, resolve, resolve_mime
+from sigloom.session import cut, spread
 from sigloom.sources import archives
 from sigloom.sources.catalog import Catalog
 
@@ -27,17 +28,27 @@ class ScanOptions:
     checksum: str | None = None
 
 
-def identify(files: DataFrame, catalogs: list[Catalog], mode: str = "conclusive", dominance: str = "set", mimeinfo: tuple = ("mimeinfo", "tika", "freedesktop")) -> DataFrame:
-    """path, ns, rank, id, confidence, basis, warning of every file for every namespace; files has path, mime, content."""
-    files, out = spread(files), None
-    for c in catalogs:
-        hits = all_hits(files, [c])
-        if c.ns in mimeinfo:
-            x = resolve_mime(files, hits, [c], mode).withColumn("confidence", F.lit(0)).select("path", "ns", "rank", "id", "confidence", "basis", "warning")
-        else:
-            x = resolve(files, hits, [c], mode, dominance, weak_rule=c.ns != "wikidata")
-        out = x if out is None else out.unionByName(x)
-    return out
+#: Namespaces that follow the rules of MIME-info.
+MIMEINFO = ("mimeinfo", "tika", "freedesktop")
+
+
+def identify(files: DataFrame, catalogs: list[Catalog], mode: str = "conclusive", dominance: str = "set", mimeinfo: tuple = MIMEINFO) -> DataFrame:
+    """path, ns, rank, id, confidence, basis, warning, errors of every file for every namespace; files has path, mime, content.
+
+    The files are read in one pass, whatever the number of matchers and namespaces. Where namespaces of both kinds of
+    rules are asked, the hits (small rows) are cut, so that the second kind does not read the files again.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    hits = all_hits(spread(files), catalogs)
+    typed, plain = [c for c in catalogs if c.ns in mimeinfo], [c for c in catalogs if c.ns not in mimeinfo]
+    if typed and plain and not files.isStreaming:
+        hits = cut(hits)
+    of = lambda cs: hits.where(F.col("ns").isin([c.ns for c in cs])) if typed and plain else hits
+    columns = ("path", "ns", "rank", "id", "confidence", "basis", "warning", "errors")
+    out = [resolve(of(plain), plain, mode, dominance)] if plain else []
+    out += [resolve_mime(of(typed), typed, mode).withColumn("confidence", F.lit(0)).select(*columns)] if typed else []
+    return reduce(DataFrame.unionByName, out)
 
 
 def scan(files: DataFrame, catalogs: list[Catalog], options: ScanOptions | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,21 +1,30 @@
 """The matchers: files with a catalogue give hits.
 
-A file is a row (path, mime, content). Every matcher is a function of the files
-and the catalogues and returns rows of HITS. Joins go against catalogue tables,
-which are broadcast only up to ``MAX_SIGNATURES`` rows (counted on the driver,
-where they are built) and joined by shuffle beyond. The content travels through
-no shuffle: literals at fixed places are looked up in a hash join on a slice of
-the content, and only candidates meet their regular expressions.
+A file is a row (path, mime, content). ``name_hits`` and ``mime_hits`` are joins
+for tables of names and types alone. Everything else looks at the content, so
+``all_hits`` is one Arrow pass over the files for all matchers and namespaces:
+each content is read and handed to Python once, and only hits come back. It
+never crosses a shuffle. Byte signatures are candidates by their key (a dict
+lookup on a slice at a fixed place, or a multi-pattern automaton over the part
+that can hold it), and only candidates meet their regular expressions, within
+the bytes these can reach.
+
+The catalogue is broadcast: its rows are counted on the driver, where it is
+built, and beyond ``MAX_SIGNATURES`` byte signatures it goes in several passes.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.functions.scalars import base_name, extension, text_class
+from sigloom.functions.scalars import base_name, extension, text_class_of
 from sigloom.sources import archives
 from sigloom.sources.catalog import RELATIONS, Catalog
 
@@ -23,8 +32,10 @@ from sigloom.sources.catalog import RELATIONS, Catalog
 MAX_SIGNATURES = 200_000
 #: path, ns, id, matcher (rank of the matcher), sig_no, sig_total, phase, offset, basis
 HITS = ("path", "ns", "id", "matcher", "sig_no", "sig_total", "phase", "offset", "basis")
-#: Rank of each matcher, the order in which hits are counted.
+#: Rank of each matcher, the order in which hits are counted. FILE marks the row that stands for the file itself.
 NAME, MIME, CONTAINER, XML, RIFF, BYTE, TEXT = range(7)
+FILE = -1
+MATCHERS = (NAME, MIME, CONTAINER, XML, RIFF, BYTE, TEXT)
 
 
 def relation(df: DataFrame, catalogs: list[Catalog], name: str) -> DataFrame:
@@ -94,148 +105,326 @@ def mime_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
 #: What may stand before the root of an XML text; possessive, so that it takes no stack however long it is. Brackets in quotes, comments and
 #: instructions of a document type do not end it.
 _QUOTED = r"\"[^\"]*+\"|'[^']*+'"
-_PROLOG = rf"(?s)\A\x{{FEFF}}?(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>\"']++|{_QUOTED}|\[(?:[^\]\"'<]++|{_QUOTED}|<!--.*?-->|<\?.*?\?>|<)*+\])*+>)*+"
+_PROLOG = rf"(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE(?:[^\[>\"']++|{_QUOTED}|\[(?:[^\]\"'<]++|{_QUOTED}|<!--.*?-->|<\?.*?\?>|<)*+\])*+>)*+"
+_ROOT = re.compile(rf"(?sa){_PROLOG}<([A-Za-z_][^\s/>]*)((?:\s(?:[^>\"']++|{_QUOTED})*+)?)/?>")
+#: How the first bytes of a text tell its encoding.
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def xml_text(content: bytes) -> str | None:
+    """The text of a content that may be XML: by its byte order mark, by the zeros beside its first bracket, else UTF-8."""
+    for mark, name in _MARKS:
+        if content.startswith(mark):
+            return content[len(mark) :].decode(name, "replace")
+    if content[:2] in (b"<\0", b"\0<"):
+        return content.decode("utf-16-le" if content[:1] == b"<" else "utf-16-be", "replace")
+    return content.decode("utf-8", "replace") if content[:1024].lstrip()[:1] in (b"<", b"") else None
+
+
+def xml_root(content: bytes) -> tuple[str, str] | None:
+    """(root, xmlns) of the first element of an XML text."""
+    text = xml_text(content)
+    m = _ROOT.match(text) if text else None
+    if m is None:
+        return None
+    prefix, _, root = m.group(1).rpartition(":")
+    space = re.findall(rf"(?sa)\sxmlns{':' + re.escape(prefix) if prefix else ''}\s*=\s*[\"']([^\"']*)[\"']", m.group(2))
+    return root, (space[-1] if prefix else space[0]) if space else ""
+
+
+class Keys:
+    """Which of many literals a text holds: a multi-pattern automaton where there are many, else one search each."""
+
+    FEW = 24
+
+    def __init__(self, literals):
+        self.literals, self.automaton = list(literals), None
+        if len(self.literals) > self.FEW:
+            try:
+                import ahocorasick
+            except ImportError:
+                return
+            self.automaton = ahocorasick.Automaton()
+            for x in self.literals:
+                self.automaton.add_word(x, x)
+            self.automaton.make_automaton()
+
+    def held(self, text: str):
+        if self.automaton is None:
+            return [x for x in self.literals if x in text]
+        found: set[str] = set()
+        for _, x in self.automaton.iter(text):
+            found.add(x)
+            if len(found) == len(self.literals):
+                break
+        return found
+
+
+class ByteMatcher:
+    """Byte signatures compiled for one worker."""
+
+    def __init__(self, sigs: list[tuple]):
+        self.sigs = sigs
+        self.fixed: dict = defaultdict(lambda: defaultdict(list))
+        self.free: dict = {side: defaultdict(list) for side in ("head", "tail", "any")}
+        self.reach = {"head": 0, "tail": 0}
+        self.always: list[int] = []
+        self.compiled: dict[str, re.Pattern] = {}
+        for n, (_, _, _, _, _, _, side, off, lits, *_) in enumerate(sigs):
+            for lit in (bytes(x).decode("latin-1") for x in lits):
+                if side in ("bof", "eof"):
+                    self.fixed[side, off, len(lit)][lit].append(n)
+                else:
+                    self.free[side][lit].append(n)
+            if side in self.reach:
+                self.reach[side] = max(self.reach[side], off)
+            if not lits:
+                self.always.append(n)
+        self.keys = {side: Keys(by) for side, by in self.free.items() if by}
+
+    def candidates(self, text: str) -> set[int]:
+        out, size = set(self.always), len(text)
+        for (side, off, n), by in self.fixed.items():
+            if size >= off + n:
+                at = off if side == "bof" else size - off - n
+                out.update(by.get(text[at : at + n], ()))
+        for side, keys in self.keys.items():
+            part = text if side == "any" else text[: self.reach["head"]] if side == "head" else text[max(0, size - self.reach["tail"]) :]
+            for lit in keys.held(part):
+                out.update(self.free[side][lit])
+        return out
 
+    def find(self, text: str, regex: str, low: int, high: int | None, bound: int | None, from_end: bool) -> tuple[int, int] | None:
+        """(begin, end) of the matched part of a run."""
+        size = len(text)
+        p = self.compiled.get(regex)
+        if p is None:
+            p = self.compiled[regex] = re.compile(regex)
+        if from_end:
+            m = p.search(text, max(0, size - bound) if bound is not None else 0)
+            return m and m.span(1)
+        end = size if bound is None else min(size, bound)
+        m = p.match(text, low, end) if low == high else p.search(text, low, end)
+        return m.span() if m and (high is None or m.start() <= high) else None
+
+    def hits(self, content: bytes):
+        """(ns, id, sig_no, sig_total, phase, offset, basis): the offset is how far a scan from each side had to go, at most."""
+        text = content.decode("latin-1")
+        size = len(text)
+        for n in self.candidates(text):
+            ns, ident, no, total, _, phase, *_, searches = self.sigs[n]
+            parts, gone = [], 0
+            for s in searches:
+                span = self.find(text, *s)
+                if span is None:
+                    break
+                parts.append((span[0], span[1] - span[0]))
+                gone = max(gone, size - span[0] if s[4] else span[1])
+            else:
+                if len(parts) == 1:
+                    basis = "byte match at %d, %d" % parts[0]
+                else:
+                    basis = "byte match at [" + " ".join("[%d %d]" % p for p in parts) + "]"
+                yield ns, ident, no, total, phase, gone, basis + placed(no, total)
+
+
+def placed(no: int, total: int) -> str:
+    return f" (signature {no}/{total})" if total > 1 else ""
+
+
+class ContainerMatcher:
+    """Container signatures compiled for one worker; only entries whose names the catalogue asks for are read."""
+
+    def __init__(self, parts: list[tuple], containers: list[tuple]):
+        self.literal, self.globs = defaultdict(list), []
+        for p in parts:
+            if p[6]:
+                self.globs.append((re.compile(python_regex(glob_regex(p[5]))), p))
+            else:
+                self.literal[p[2], p[5]].append(p)
+        self.names = {name for _, name in self.literal}
+        self.needed = {tuple(c[:4]): (c[5], c[4]) for c in containers}
+        self.compiled: dict[str, re.Pattern] = {}
+
+    def entries(self, content: bytes):
+        """(type, name, read) of the entries of a container."""
+        if content.startswith(archives.ZIP):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in z.infolist():
+                    if not info.is_dir():
+                        yield "ZIP", info.filename.split("\0")[0], lambda info=info: z.read(info)
+        else:
+            for name, data in archives.ole2_entries(content):
+                yield "OLE2", name, lambda data=data: data
+
+    def matches(self, regex: str, text: str) -> bool:
+        p = self.compiled.get(regex)
+        if p is None:
+            p = self.compiled[regex] = re.compile(python_regex(regex))
+        return p.search(text) is not None
+
+    def hits(self, content: bytes):
+        """(ns, id, sig_no, sig_total, basis) of the signatures all of whose parts are held."""
+        held: dict = defaultdict(set)
+        for ctype, name, read in self.entries(content):
+            asked = self.literal.get((ctype, name), []) if name in self.names else [p for g, p in self.globs if p[2] == ctype and g.search(name)]
+            text = None
+            for p in asked:
+                if p[7] and text is None:
+                    text = read().decode("latin-1")
+                if all(self.matches(r, text) for r in p[7]):
+                    held[tuple(p[:4])].add((p[4], f"name {name} with {'byte match' if p[7] else 'name only'}"))
+        for key, notes in held.items():
+            n, total = self.needed.get(key, (None, 1))
+            if len({i for i, _ in notes}) == n:
+                yield key[0], key[1], key[3], total, "container " + "; ".join(t for _, t in sorted(notes)) + placed(key[3], total)
+
+
+def python_regex(regex: str) -> str:
+    """The end of the text in Python's spelling."""
+    return regex[:-2] + "\\Z" if regex.endswith("\\z") else regex
+
+
+class FileMatcher:
+    """All matchers over one file."""
+
+    def __init__(self, tables: dict, which: tuple):
+        self.which, self.spaces = which, tables["spaces"]
+        self.exts, self.mimes, self.xmls, self.codes = (defaultdict(list) for _ in range(4))
+        self.globs: dict[str, list] = defaultdict(list)
+        for r in tables["globs"]:
+            (self.exts[r[3]] if r[2] == "ext" else self.globs[r[3]]).append(r)
+        order = {r[3]: r[4] for r in reversed(tables["globs"]) if r[2] == "glob"}
+        self.ladder = [(re.compile(python_regex(glob_regex(p))), p) for p in sorted(self.globs, key=lambda p: (order[p], p))]
+        for r in tables["mimes"]:
+            self.mimes[r[2]].append(r)
+        for r in tables["xmls"]:
+            self.xmls[r[2], r[3]].append(r)
+        for r in tables["fourccs"]:
+            self.codes[r[2]].append(r)
+        self.texts, self.zip_default = tables["texts"], tables["zip_default"]
+        self.bytes = ByteMatcher(tables["byte_sigs"]) if BYTE in which and tables["byte_sigs"] else None
+        self.containers = ContainerMatcher(tables["parts"], tables["containers"]) if CONTAINER in which and tables["parts"] else None
+
+    def hits(self, path: str, mime: str | None, base: str, content: bytes | None):
+        """Rows of HITS without the path; the last of each namespace stands for the file and holds its error, if any."""
+        error = ""
+        if NAME in self.which:
+            ext = base.rpartition(".")[2].lower() if "." in base else ""
+            for r in self.exts.get(ext, ()) if ext else ():
+                yield r[0], r[1], NAME, 0, 1, 0, 0, f"extension match {ext}"
+            for g, p in self.ladder:
+                if g.search(base):
+                    for r in self.globs[p]:
+                        yield r[0], r[1], NAME, 0, 1, 1, 0, f"glob match {p}"
+                    break
+        if MIME in self.which and mime:
+            for k, m in enumerate([mime, mime.rpartition(";")[0]] if ";" in mime else [mime]):
+                for r in self.mimes.get(m, ()):
+                    yield r[0], r[1], MIME, 0, 1, k, 0, f"mime match {m}"
+        if content is not None:
+            if CONTAINER in self.which and len(content) >= 8 and content.startswith((archives.ZIP, archives.OLE2)):
+                by = set()
+                if self.containers:
+                    try:
+                        for ns, i, no, total, basis in self.containers.hits(content):
+                            by.add(ns)
+                            yield ns, i, CONTAINER, no, total, 0, 0, basis
+                    except Exception as e:  # noqa: BLE001 - a broken container is an error of the file, not of the job
+                        error = f"container error: {e}"
+                for ns, i in self.zip_default if content.startswith(archives.ZIP) and path.endswith(".zip") else ():
+                    if ns not in by:
+                        yield ns, i, CONTAINER, 0, 1, 9, 0, "container match with trigger and default extension"
+            if XML in self.which and self.xmls and (root := xml_root(content)):
+                name, space = root
+                keys = ((name, space), (name, ""), ("", space)) if space else ((name, ""),)
+                for k, key in enumerate(keys):
+                    note = " and ".join(f"{w} {v}" for w, v in zip(("root", "ns"), key) if v)
+                    for r in self.xmls.get(key, ()):
+                        yield r[0], r[1], XML, 0, 1, k, 0, f"xml match with {note}"
+            if RIFF in self.which and self.codes and content.startswith(b"RIFF"):
+                for k, code in enumerate(archives.riff_chunks(content)):
+                    for r in self.codes.get(code, ()):
+                        yield r[0], r[1], RIFF, 0, 1, k, 0, f"fourCC matches {code}"
+            if self.bytes:
+                for ns, i, no, total, phase, offset, basis in self.bytes.hits(content):
+                    yield ns, i, BYTE, no, total, phase, offset, basis
+            if TEXT in self.which and self.texts and (kind := text_class_of(content)) != "data":
+                for ns, i in self.texts:
+                    yield ns, i, TEXT, 0, 1, 0, 0, f"text match {kind}"
+        for ns in self.spaces:
+            yield ns, None, FILE, 0, 0, 0, 0, error
+
+
+SCHEMA = "path string, mime string, ns string, id string, matcher int, sig_no int, sig_total int, phase int, offset bigint, basis string"
+_ARROW = pa.schema([("path", pa.string()), ("mime", pa.string()), ("ns", pa.string()), ("id", pa.string()), ("matcher", pa.int32()), ("sig_no", pa.int32()), ("sig_total", pa.int32()), ("phase", pa.int32()), ("offset", pa.int64()), ("basis", pa.string())])
+#: Hits per Arrow batch.
+BATCH = 20_000
+
+
+def one_pass(files: DataFrame, catalogs: list[Catalog], which: tuple, sigs: list[tuple]) -> DataFrame:
+    """The hits of the chosen matchers, with one row per file and namespace that stands for the file; one scan of the files."""
+    tables = {n: [tuple(r) for c in catalogs for r in c.rows(n)] for n in ("globs", "mimes", "xmls", "fourccs", "parts", "containers")}
+    tables |= {"byte_sigs": sigs, "texts": [r[:2] for c in catalogs for r in c.texts], "zip_default": [(c.ns, c.zip_default) for c in catalogs if c.zip_default], "spaces": [c.ns for c in catalogs]}
+    shared = files.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        m, rows = FileMatcher(shared.value, which), []
+        batch_of = lambda part: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
+        for batch in batches:
+            for path, mime, base, content in zip(*batch.columns):
+                path, mime = path.as_py(), mime.as_py()
+                rows += [(path, mime, *h) for h in m.hits(path or "", mime, base.as_py(), content.as_py())]
+                while len(rows) >= BATCH:
+                    yield batch_of(rows[:BATCH])
+                    rows = rows[BATCH:]
+        if rows:
+            yield batch_of(rows)
+
+    have, reads = set(files.columns), set(which) & {CONTAINER, XML, RIFF, BYTE, TEXT}
+    mime = F.col("mime") if "mime" in have else F.lit("")
+    content = F.col("content") if reads else F.lit(None).cast("binary")
+    return files.select("path", mime.alias("mime"), base_name(F.col("path")).alias("base"), content.alias("content")).mapInArrow(run, SCHEMA)
+
+
+def all_hits(files: DataFrame, catalogs: list[Catalog], which: tuple = MATCHERS) -> DataFrame:
+    """HITS and mime of all matchers, with a row of matcher FILE per file and namespace; files has path, mime, content."""
+    sigs = [tuple(r) for c in catalogs for r in c.compiled()] if BYTE in which else []
+    out = one_pass(files, catalogs, which, sigs[:MAX_SIGNATURES])
+    for at in range(MAX_SIGNATURES, len(sigs), MAX_SIGNATURES):
+        out = out.unionByName(one_pass(files, catalogs, (BYTE,), sigs[at : at + MAX_SIGNATURES]).where(F.col("matcher") != FILE))
+    return out
 
-def xml_root(content: Column) -> Column:
-    """struct(root, xmlns) of the first element of an XML text; empty where there is none."""
-    open_tag = F.regexp_extract(content.cast("string"), _PROLOG + r"<([A-Za-z_][^\s/>]*(?:\s[^>]*)?)/?>", 1)
-    name = F.regexp_extract(open_tag, r"^([^\s/>]+)", 1)
-    prefix = F.regexp_extract(name, r"^([^:]+):", 1)
-    attr = F.when(prefix == "", F.regexp_extract(open_tag, r"(?s)\sxmlns\s*=\s*[\"']([^\"']*)[\"']", 1)).otherwise(F.element_at(F.split(F.element_at(F.split(F.concat(open_tag, F.lit(" ")), F.concat(F.lit(r"\sxmlns:\Q"), prefix, F.lit("\\E\\s*=\\s*[\"']"))), -1), "[\"']"), 1))
-    return F.struct(F.regexp_replace(name, "^[^:]+:", "").alias("root"), attr.alias("xmlns"))
+
+def content_hits(files: DataFrame, catalogs: list[Catalog], *which: int) -> DataFrame:
+    """HITS of some matchers alone."""
+    return all_hits(files, catalogs, which).where(F.col("matcher") != FILE).select(*HITS)
 
 
 def xml_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Equi-joins on root and namespace: both, the root alone, the namespace alone."""
-    x = files.where(F.col("content").cast("string").rlike(r"\A\x{FEFF}?\s*+<")).select("path", xml_root(F.col("content")).alias("x")).where("x.root != ''")
-    none = F.lit("")
-    both = lambda r, n: F.struct(r.alias("root"), n.alias("xmlns"))
-    root, space = F.col("x.root"), F.col("x.xmlns")
-    keys = F.when(space != "", F.array(both(root, space), both(root, none), both(none, space))).otherwise(F.array(both(root, none)))
-    y = x.select("path", F.posexplode(keys).alias("_p", "k")).join(relation(files, catalogs, "xmls"), (F.col("k.root") == F.col("root")) & (F.col("k.xmlns") == F.col("xmlns")))
-    basis = F.when((F.col("root") != "") & (F.col("xmlns") != ""), F.concat(F.lit("xml match with root "), F.col("root"), F.lit(" and ns "), F.col("xmlns"))).when(F.col("root") != "", F.concat(F.lit("xml match with root "), F.col("root"))).otherwise(F.concat(F.lit("xml match with ns "), F.col("xmlns")))
-    return _hits(y, XML, basis, phase=F.col("_p"))
+    """By root and namespace: both, the root alone, the namespace alone."""
+    return content_hits(files, catalogs, XML)
 
 
 def text_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
     """One hit per namespace with a text format, unless the content is no text."""
-    x = files.where("content is not null").select("path", text_class(F.col("content")).alias("_class")).where("_class != 'data'")
-    rows = [r[:2] for c in catalogs for r in c.texts]
-    if not rows:
-        return x.select("path", F.lit(None).cast("string").alias("ns"), F.lit(None).cast("string").alias("id"), "_class").where("false").transform(lambda d: _hits(d, TEXT, F.col("_class")))
-    each = F.explode(F.array(*(F.struct(F.lit(ns).alias("ns"), F.lit(i).alias("id")) for ns, i in rows))).alias("t")
-    return _hits(x.select("path", "_class", each).select("path", "_class", "t.ns", "t.id"), TEXT, F.concat(F.lit("text match "), F.col("_class")))
-
-
-def candidate_keys(sigs: list[tuple], content: Column) -> Column:
-    """The literal keys of a content: slices at the fixed places signatures look at, and the free literals it holds."""
-    places = sorted({(r[6], r[7], len(r[8])) for r in sigs if r[6] in ("bof", "eof")})
-    free = sorted({bytes(r[8]) for r in sigs if r[6] == "any"})
-    size = F.octet_length(content)
-    key = lambda side, off, lit: F.struct(F.lit(side).alias("side"), F.lit(off).alias("lit_off"), lit.alias("lit"))
-    keys = []
-    for side, off, n in places:
-        at = F.lit(off + 1) if side == "bof" else size - off - n + 1
-        keys.append(F.when(size >= off + n, key(side, off, F.substring(content, at, n) if side == "bof" else content.substr(at, F.lit(n)))))
-    keys += [F.when(F.contains(content, F.lit(bytearray(lit))), key("any", 0, F.lit(bytearray(lit)))) for lit in free]
-    if any(r[6] == "none" for r in sigs):
-        keys.append(key("none", 0, F.lit(bytearray(b""))))
-    return F.array_compact(F.array(*keys))
-
-
-def all_match(text: Column, regexes: Column) -> Column:
-    """Whether a text matches all of an array of regular expressions.
-
-    The text goes into the array beside each expression: a lambda that captures a column of the other side of a join
-    loses that column when Catalyst infers filters.
-    """
-    pairs = F.zip_with(regexes, F.array_repeat(text, F.size(regexes)), lambda r, t: F.struct(r.alias("r"), t.alias("t")))
-    return F.forall(pairs, lambda p: F.regexp_like(p["t"], p["r"]))
-
-
-def byte_candidates(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Files joined with the signatures whose literal they hold and whose expressions all match; the content stays."""
-    sigs = [r for c in catalogs for r in c.compiled()]
-    keyed = files.where("content is not null").select("path", "content", F.explode(candidate_keys(sigs, F.col("content"))).alias("k"))
-    table = relation(files, catalogs, "byte_sigs")
-    x = keyed.join(table, (F.col("k.side") == F.col("side")) & (F.col("k.lit_off") == F.col("lit_off")) & (F.col("k.lit") == F.col("lit")))
-    latin = F.decode("content", "ISO-8859-1")
-    return x.where(all_match(latin, F.col("regexes")))
-
-
-def byte_basis(text: Column, spans: Column) -> Column:
-    """Basis text of a hit: offset and length of each run's matched part, from the lengths of the groups of its span expression."""
-    pairs = F.zip_with(spans, F.array_repeat(text, F.size(spans)), lambda r, t: F.struct(r.alias("r"), t.alias("t")))
-    size = lambda p, g: F.length(F.call_function("regexp_extract", p["t"], p["r"], F.lit(g))).cast("string")
-    found = F.transform(pairs, lambda p: F.struct(size(p, 1).alias("at"), size(p, 2).alias("n")))
-    one = F.concat(F.lit("byte match at "), found[0]["at"], F.lit(", "), found[0]["n"])
-    several = F.concat(F.lit("byte match at ["), F.array_join(F.transform(found, lambda x: F.concat(F.lit("["), x["at"], F.lit(" "), x["n"], F.lit("]"))), " "), F.lit("]"))
-    return F.when(F.size(spans) == 1, one).otherwise(several)
+    return content_hits(files, catalogs, TEXT)
 
 
 def byte_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Hash join on literals, then the regular expressions of the candidates."""
-    if not any(c.signatures for c in catalogs):
-        return text_hits(files, []).where("false")
-    found = byte_candidates(files, catalogs)
-    basis = byte_basis(F.decode("content", "ISO-8859-1"), F.col("spans"))
-    suffix = F.when(F.col("sig_total") > 1, F.concat(F.lit(" (signature "), F.col("sig_no"), F.lit("/"), F.col("sig_total"), F.lit(")"))).otherwise("")
-    return _hits(found, BYTE, F.concat(basis, suffix), F.col("sig_no"), F.col("sig_total"), F.col("phase"))
+    """Keys, then the regular expressions of the candidates."""
+    return content_hits(files, catalogs, BYTE)
 
 
 def riff_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Equi-join on the four-character codes of a RIFF file, in their order."""
-    codes = archives.riff_codes(files.where(F.startswith("content", F.lit(bytearray(b"RIFF")))))
-    y = codes.join(relation(files, catalogs, "fourccs"), "fourcc")
-    return _hits(y, RIFF, F.concat(F.lit("fourCC matches "), F.col("fourcc")), phase=F.col("pos"))
+    """By the four-character codes of a RIFF file, in their order."""
+    return content_hits(files, catalogs, RIFF)
 
 
 def container_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Entries of zip and OLE2 files, joined with container parts by name, then by bytes; a signature needs all its parts.
+    """Entries of zip and OLE2 files by name, then by bytes; a signature needs all its parts.
 
-    An entry whose name is no literal of the catalogue is tried on the globs.
+    An entry whose name is no literal of the catalogue is tried on the globs. A zip file named .zip without a hit gets the
+    catalogue's default id.
     """
-    parts = [r for c in catalogs for r in c.parts]
-    if not parts:
-        return with_zip_default(text_hits(files, []).where("false"), files, catalogs)
-    table = relation(files, catalogs, "parts")
-    entries = archives.container_entries(files)
-    literal = entries.join(table.where("not is_glob"), ["ctype", "entry"]).select("path", "ns", "id", "sig_no", "part_no", "ctype", "entry", "content", "regexes")
-    out = literal
-    globs = sorted({r[5] for r in parts if r[6]})
-    if globs:
-        names = sorted({r[5] for r in parts if not r[6]})
-        matched = F.array_compact(F.array(*(F.when(F.col("entry").rlike(glob_regex(g)), g) for g in globs)))
-        free = entries.where(~F.col("entry").isin(names)) if names else entries
-        g = free.withColumn("_g", F.explode(matched)).join(table.where("is_glob").withColumnRenamed("entry", "_entry"), F.col("_g") == F.col("_entry"))
-        out = out.unionByName(g.where(free["ctype"] == table["ctype"]).select("path", "ns", "id", "sig_no", "part_no", free["ctype"], "entry", "content", "regexes"))
-    latin = F.decode("content", "ISO-8859-1")
-    held = out.where(all_match(latin, F.col("regexes")))
-    note = F.concat(F.lit("name "), F.col("entry"), F.when(F.size("regexes") > 0, F.lit(" with byte match")).otherwise(" with name only"))
-    grouped = held.groupBy("path", "ns", "id", "ctype", "sig_no").agg(F.count_distinct("part_no").alias("n"), F.array_sort(F.collect_set(F.struct("part_no", note.alias("note")))).alias("notes"))
-    done = grouped.join(relation(files, catalogs, "containers"), ["ns", "id", "ctype", "sig_no"]).where("n = n_parts")
-    out = _hits(done, CONTAINER, F.concat(F.lit("container "), F.array_join(F.transform("notes", lambda x: x["note"]), "; ")), F.col("sig_no"), F.col("sig_total"))
-    return with_zip_default(out, files, catalogs)
-
-
-def with_zip_default(hits: DataFrame, files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """Adds, for zip files named .zip without a container hit, a hit on the catalogue's default id."""
-    ids = [(c.ns, c.zip_default) for c in catalogs if c.zip_default]
-    if not ids:
-        return hits
-    zips = files.where(F.col("path").endswith(".zip") & F.startswith("content", F.lit(bytearray(b"PK\x03\x04"))))
-    each = F.explode(F.array(*(F.struct(F.lit(ns).alias("ns"), F.lit(i).alias("id")) for ns, i in ids))).alias("d")
-    default = _hits(zips.select("path", each).select("path", "d.ns", "d.id"), CONTAINER, F.lit("container match with trigger and default extension"), phase=9)
-    others = F.count_if(F.col("phase") != 9).over(Window.partitionBy("path", "ns"))
-    return hits.unionByName(default).withColumn("_others", others).where("phase != 9 or _others = 0").drop("_others")
-
-
-def all_hits(files: DataFrame, catalogs: list[Catalog]) -> DataFrame:
-    """The hits of all matchers the catalogues have relations for."""
-    some = lambda n: any(getattr(c, n) or n == "parts" and c.zip_default for c in catalogs)
-    out = name_hits(files, catalogs)
-    for name, f in (("mimes", mime_hits), ("parts", container_hits), ("xmls", xml_hits), ("fourccs", riff_hits), ("signatures", byte_hits), ("texts", text_hits)):
-        if some(name):
-            out = out.unionByName(f(files, catalogs))
-    return out
+    return content_hits(files, catalogs, CONTAINER)

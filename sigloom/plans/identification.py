@@ -10,7 +10,8 @@ from sigloom.functions import scalars
 from sigloom.functions.frames import BOF, EOF, PREV, Frame, Signature
 from sigloom.operators import matchers
 from sigloom.operators.identify import identify
-from sigloom.operators.resolve import resolve_mime, scored, waiting
+from sigloom.operators.resolve import gated, resolve_mime, scored, waiting
+from sigloom.session import spread
 from sigloom.session import table as T
 from sigloom.sources import registry
 from sigloom.sources.catalog import Catalog
@@ -181,7 +182,32 @@ def notation(s, d) -> DataFrame:
 
 
 def mode_query(mode: str):
-    return lambda s, d: identify(doc_files(s, d), [demo()], mode).select("path", "rank", "id", "confidence", "warning")
+    return lambda s, d: identify(doc_files(s, d), [demo()], mode).select("path", "rank", "id", "confidence", "basis", "warning")
+
+
+#: Signatures of ``many``, besides those of ``demo``.
+N_MANY = 2000
+
+
+def many() -> Catalog:
+    """The demo catalogue and a signature for every number of four digits below ``N_MANY``: anywhere, near the beginning, near the end, behind 50 bytes."""
+    c = demo()
+    frames = ((BOF, 0, None), (BOF, 0, 200), (EOF, 0, 60), (BOF, 50, None))
+    c.signatures = c.signatures + [(NS, f"n/{k:04}", Signature((Frame(P.Seq(f"{k:04}".encode()), *frames[k % 4]),)), 0) for k in range(N_MANY)]
+    return c
+
+
+def library_demo() -> Catalog:
+    """A catalogue under the library's rules: l/1 owns a RIFF code, l/2 only a container signature, which rules nothing out there."""
+    parts = [("loc", "l/2", "ZIP", 1, 1, "mimetype", False, ())]
+    return Catalog("loc", globs=[("loc", i, "ext", "riff", 0, 50) for i in ("l/1", "l/2")], fourccs=[("loc", "l/1", "bext")], containers=[("loc", "l/2", "ZIP", 1, 1, 1)], parts=parts)
+
+
+def library_files(s, d) -> DataFrame:
+    """Every document in a RIFF file of its own."""
+    from sigloom.plans.resultsets import packed_files
+
+    return packed_files(s, d, "riff").withColumn("mime", F.lit(""))
 
 
 def glob_files(s, d) -> DataFrame:
@@ -205,17 +231,20 @@ def queries():
         "name_glob_first": lambda s, d: matchers.name_hits(glob_files(s, d), [demo()]).where("phase = 1").select("path", "id", "basis"),
         "mime_match": registry_mimes,
         "byte_predicates": predicates,
-        "byte_hits": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "sig_total", "phase"),
+        "byte_hits": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "sig_total", "phase", "offset"),
         "byte_basis": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "basis"),
+        "byte_basis_many": lambda s, d: matchers.byte_hits(doc_files(s, d), [many()]).select("path", "id", "sig_no", "offset", "basis"),
         "byte_notation": notation,
+        "identify_gated": lambda s, d: gated(matchers.all_hits(doc_files(s, d), [demo()]), [demo()]).where("id is not null").select("path", "id", "matcher", "sig_no", "phase", "offset", "basis"),
+        "identify_loc": lambda s, d: identify(library_files(s, d), [library_demo()]).select("path", "rank", "id", "confidence", "basis", "warning"),
         "text_class": lambda s, d: T(s, d, "documents").select("doc_id", scalars.text_class(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("class")),
         "xml_root": lambda s, d: matchers.xml_hits(xml_files(s, d), [xml_catalog()]).select("path", "id", "phase"),
-        "score_aggregate": lambda s, d: scored(matchers.all_hits(doc_files(s, d), [demo()])).select("path", "id", "confidence", "has_ext", "has_mime", "has_text", "has_strong"),
-        "waitset_fold": lambda s, d: waiting(matchers.all_hits(doc_files(s, d), [demo()]), [demo()]).select("path", "id", "matcher", "sig_no", "phase"),
+        "score_aggregate": lambda s, d: scored(matchers.all_hits(doc_files(s, d), [demo()])).select("path", "id", "confidence", "has_ext", "has_mime", "has_text", "has_strong", "basis"),
+        "waitset_fold": lambda s, d: waiting(matchers.all_hits(doc_files(s, d), [demo()]), [demo()]).where("id is not null").select("path", "id", "matcher", "sig_no", "phase"),
         **{f"identify_{m}": mode_query(m) for m in ("single", "conclusive", "positive", "comprehensive", "exhaustive", "droid")},
         "identify_summary": lambda s, d: identify(doc_files(s, d), [demo()]).groupBy("id", "warning").agg(F.count("*").alias("n")),
-        "identify_ordered": lambda s, d: identify(doc_files(s, d), [demo()], "conclusive", "ordered").select("path", "rank", "id", "confidence", "warning"),
-        "mimeinfo_rank": lambda s, d: resolve_mime(doc_files(s, d), matchers.all_hits(doc_files(s, d), [mime_demo()]), [mime_demo()]).select("path", "rank", "id", "warning"),
+        "identify_ordered": lambda s, d: identify(doc_files(s, d), [demo()], "conclusive", "ordered").select("path", "rank", "id", "confidence", "basis", "warning"),
+        "mimeinfo_rank": lambda s, d: resolve_mime(matchers.all_hits(spread(doc_files(s, d)), [mime_demo()]), [mime_demo()]).select("path", "rank", "id", "warning"),
     }
 
 
@@ -226,14 +255,16 @@ files AS (SELECT 'docs/' || doc_id || CASE WHEN {_EXT} = '' THEN '' ELSE '.' ||
   CASE WHEN doc_id % 3 = 0 THEN 'text/plain; charset=utf-8' WHEN doc_id % 11 = 1 THEN 'application/yaml' ELSE '' END AS mime,
   coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS size FROM documents)
 """
+_CASED = "".join(f"(?:{a:02X}|{a - 32:02X})" for a in b"signature")
 _BYTES = rf"""
 {_FILES},
-bytes AS (
-  SELECT path, 'd/1' AS id, 1 AS sig_no, 2 AS sig_total, 1 AS phase FROM files WHERE starts_with(t, '---' || chr(10) || 'filename')
-  UNION ALL SELECT path, 'd/1', 2, 2, 3 FROM files WHERE starts_with(t, '---') AND regexp_matches(h, '^(?:..)*{_hx("warning :")}(?:..){{0,2}}$')
-  UNION ALL SELECT path, 'd/2', 1, 1, 4 FROM files WHERE contains(t, 'fmt/')
-  UNION ALL SELECT path, 'd/3', 1, 1, 1 FROM files WHERE regexp_matches(h, '{_PREDICATE_SQL["ignore_case"]}')
-  UNION ALL SELECT path, 'd/4', 1, 1, 1 FROM files WHERE regexp_matches(h, '^(?:{_hx("Die ")}|{_hx("Das ")}){_H}{{0,40}}{_hx("e")}'))
+found AS (
+  SELECT path, 'd/1' AS id, 1 AS sig_no, 2 AS sig_total, 1 AS phase, 12 AS "offset", '0, 12' AS place FROM files WHERE starts_with(t, '---' || chr(10) || 'filename')
+  UNION ALL SELECT path, 'd/1', 2, 2, 3, g + 9, '[[0 3] [' || (size - g - 9) || ' 9]]' FROM (SELECT path, size, length(regexp_extract(h, '{_hx("warning :")}((?:..){{0,2}})$', 1)) // 2 AS g FROM files WHERE starts_with(t, '---') AND regexp_matches(h, '^(?:..)*{_hx("warning :")}(?:..){{0,2}}$'))
+  UNION ALL SELECT path, 'd/2', 1, 1, 4, g + 4, g || ', 4' FROM (SELECT path, octet_length(encode(t[1:position('fmt/' IN t) - 1])) AS g FROM files WHERE contains(t, 'fmt/'))
+  UNION ALL SELECT path, 'd/3', 1, 1, 1, g + 9, g || ', 9' FROM (SELECT path, length(regexp_extract(h, '^((?:..){{0,120}}?)(?:{_CASED})', 1)) // 2 AS g FROM files WHERE regexp_matches(h, '{_PREDICATE_SQL["ignore_case"]}'))
+  UNION ALL SELECT path, 'd/4', 1, 1, 1, g + 5, '0, ' || g + 5 FROM (SELECT path, length(regexp_extract(h, '^(?:..){{4}}((?:..){{0,40}}?){_hx("e")}', 1)) // 2 AS g FROM files WHERE regexp_matches(h, '^(?:{_hx("Die ")}|{_hx("Das ")}){_H}{{0,40}}{_hx("e")}'))),
+bytes AS (SELECT path, id, sig_no, sig_total, phase, CAST("offset" AS BIGINT) AS "offset", 'byte match at ' || place || CASE WHEN sig_total > 1 THEN ' (signature ' || sig_no || '/' || sig_total || ')' ELSE '' END AS basis FROM found)
 """
 _CLASS = r"""CASE WHEN t = '' THEN 'data' WHEN starts_with(t, chr(65279)) THEN 'UTF-8 Unicode (with BOM)'
   WHEN regexp_matches(h[1:8192], '^(?:..)*?(?:0[0-6EF]|1[0-9ACDEF]|7F)') THEN 'data' WHEN regexp_matches(h[1:8192], '^(?:..)*?[89A-F].') THEN 'UTF-8 Unicode' ELSE 'ASCII' END"""
@@ -242,19 +273,21 @@ _HITS = rf"""
 exts AS (SELECT * FROM (VALUES ('d/1', 'yaml'), ('d/1', 'yml'), ('d/2', 'md'), ('d/3', 'log'), ('d/4', 'txt'), ('d/5', 'txt'), ('d/5', 'text')) AS v(id, ext)),
 mimes AS (SELECT * FROM (VALUES ('d/1', 'application/yaml'), ('d/2', 'text/x-note'), ('d/3', 'text/x-note'), ('d/4', 'text/plain'), ('d/5', 'text/plain')) AS v(id, mime)),
 hits AS (
-  SELECT path, id, 0 AS matcher, 0 AS sig_no, 0 AS phase FROM files JOIN exts USING (ext)
-  UNION ALL SELECT path, m.id, 1, 0, CASE WHEN contains(f.mime, ';') THEN 1 ELSE 0 END FROM files f JOIN mimes m ON regexp_replace(f.mime, ';[^;]*$', '') = m.mime
-  UNION ALL SELECT path, id, 5, sig_no, phase FROM bytes
-  UNION ALL SELECT path, 'd/5', 6, 0, 0 FROM files WHERE {_CLASS} != 'data')
+  SELECT path, id, 0 AS matcher, 0 AS sig_no, 0 AS phase, 0 AS "offset", 'extension match ' || ext AS basis FROM files JOIN exts USING (ext)
+  UNION ALL SELECT path, m.id, 1, 0, CASE WHEN contains(f.mime, ';') THEN 1 ELSE 0 END, 0, 'mime match ' || m.mime FROM files f JOIN mimes m ON regexp_replace(f.mime, ';[^;]*$', '') = m.mime
+  UNION ALL SELECT path, id, 5, sig_no, phase, "offset", basis FROM bytes
+  UNION ALL SELECT path, 'd/5', 6, 0, 0, 0, 'text match ' || class FROM (SELECT path, {_CLASS} AS class FROM files) WHERE class != 'data'),
+gated AS (SELECT * FROM hits WHERE matcher != 6 OR path NOT IN (SELECT path FROM hits WHERE matcher = 5) AND (path NOT IN (SELECT path FROM hits WHERE matcher < 2) OR path IN (SELECT path FROM hits WHERE matcher < 2 AND id = 'd/5')))
 """
 _PRIO = "prio AS (SELECT * FROM (VALUES ('d/2', 'd/1'), ('d/3', 'd/2'), ('d/3', 'd/1')) AS v(sub, sup))"
 
 
-def _scored(dominance: bool) -> str:
-    kept = "kept AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o JOIN prio p ON o.id = p.sup WHERE o.path = h.path AND p.sub = h.id))" if dominance else "kept AS (SELECT * FROM hits)"
+def _scored(dominance: bool, base: str = "hits") -> str:
+    kept = f"kept AS (SELECT h.* FROM {base} h WHERE NOT EXISTS (SELECT 1 FROM {base} o JOIN prio p ON o.id = p.sup WHERE o.path = h.path AND p.sub = h.id))" if dominance else f"kept AS (SELECT * FROM {base})"
     return f"""{_HITS}, {_PRIO}, {kept},
-    each1 AS (SELECT *, CASE matcher WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 6 THEN 4 ELSE 8 * row_number() OVER (PARTITION BY path, matcher NOT IN (0, 1, 6) ORDER BY matcher, phase, sig_no, id) END AS score FROM kept),
-    scored AS (SELECT path, id, CAST(sum(score) AS INTEGER) AS confidence, bool_or(matcher = 0) AS has_ext, bool_or(matcher = 1) AS has_mime, bool_or(matcher = 6) AS has_text, bool_or(matcher = 5) AS has_strong FROM each1 GROUP BY path, id)"""
+    each1 AS (SELECT *, CASE matcher WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 6 THEN 4 ELSE 8 * row_number() OVER (PARTITION BY path, matcher NOT IN (0, 1, 6) ORDER BY matcher, phase, "offset", sig_no, id) END AS score FROM kept),
+    scored AS (SELECT path, id, CAST(sum(score) AS INTEGER) AS confidence, bool_or(matcher = 0) AS has_ext, bool_or(matcher = 1) AS has_mime, bool_or(matcher = 6) AS has_text, bool_or(matcher = 5) AS has_strong,
+      array_to_string(list(basis ORDER BY matcher, phase, "offset", sig_no, id, basis), '; ') AS basis FROM each1 GROUP BY path, id)"""
 
 
 def _mode(mode: str) -> str:
@@ -262,7 +295,7 @@ def _mode(mode: str) -> str:
     weak = "false" if mode == "exhaustive" else "top <= 4"
     words = lambda a, b, c: f"(SELECT CASE len(l) WHEN 0 THEN '' WHEN 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[-1] END FROM (SELECT list_filter([CASE WHEN {a} THEN 'extension' END, CASE WHEN {b} THEN 'MIME' END, CASE WHEN {c} THEN 'text' END], lambda x: x IS NOT NULL) AS l))"
     last = "cut1 c WHERE NOT EXISTS (SELECT 1 FROM cut1 o JOIN prio p ON o.id = p.sup WHERE o.path = c.path AND p.sub = c.id)" if mode == "droid" else "cut1"
-    return f"""WITH {_scored(mode in ("single", "conclusive", "positive"))},
+    return f"""WITH {_scored(mode in ("single", "conclusive", "positive"), "hits" if mode in ("comprehensive", "exhaustive") else "gated")},
     ranked AS (SELECT *, max(confidence) OVER w AS top, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, id) AS rn, bool_or(has_ext) OVER w AS e, bool_or(has_mime) OVER w AS m, bool_or(has_text) OVER w AS x FROM scored WINDOW w AS (PARTITION BY path)),
     listed AS (SELECT path, array_to_string(list(id ORDER BY rn), ', ') AS ids, array_to_string(list(id ORDER BY rn) FILTER (WHERE confidence = top), ', ') AS tops, count(*) FILTER (WHERE confidence = top) AS n_top,
       count(*) FILTER (WHERE (top <= 2 OR confidence = top) AND NOT (id = 'd/5' AND top < 4) AND id = 'd/5') AS n_fit FROM ranked GROUP BY path),
@@ -271,7 +304,7 @@ def _mode(mode: str) -> str:
     cut1 AS (SELECT * FROM judged WHERE CASE WHEN lost OR tied THEN rn = 1 WHEN weak THEN fits ELSE {cut} END),
     final AS (SELECT * FROM {last})
     SELECT f.path, CAST(coalesce(row_number() OVER (PARTITION BY f.path ORDER BY rn), 1) AS INTEGER) AS rank, CASE WHEN id IS NULL OR lost OR tied THEN 'UNKNOWN' ELSE id END AS id,
-      CASE WHEN id IS NULL OR lost OR tied THEN 0 ELSE confidence END AS confidence,
+      CASE WHEN id IS NULL OR lost OR tied THEN 0 ELSE confidence END AS confidence, CASE WHEN id IS NULL OR lost OR tied THEN '' ELSE basis END AS basis,
       CASE WHEN id IS NULL THEN 'no match' WHEN lost THEN 'no match; possibilities based on ' || kinds || ' are ' || ids WHEN tied THEN 'multiple matches ' || tops
         ELSE concat_ws('; ', CASE WHEN confidence <= 4 THEN 'match on ' || {words("has_ext", "has_mime", "has_text")} || ' only' END, CASE WHEN NOT has_ext THEN 'extension mismatch' END, CASE WHEN NOT has_mime AND mime != '' THEN 'MIME mismatch' END) END AS warning
     FROM files f LEFT JOIN final c ON f.path = c.path"""
@@ -295,13 +328,16 @@ def oracle_sql():
             f AS (SELECT path, all_mimes[CAST(file_no % len(all_mimes) + 1 AS INTEGER)] AS mime, (file_no // len(all_mimes)) % 2 AS phase FROM named, m)
             SELECT path, ns, id, CAST(phase AS INTEGER) AS phase FROM f JOIN r USING (mime)""",
         "byte_predicates": f"WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, {pred} FROM x",
-        "byte_hits": f"WITH {_BYTES} SELECT * FROM bytes",
-        "byte_basis": f"""WITH {_BYTES} SELECT b.path, id, sig_no, 'byte match at ' || CASE WHEN id = 'd/1' AND sig_no = 1 THEN '0, 12 (signature 1/2)'
-              WHEN id = 'd/1' THEN '[[0 3] [' || (size - length(regexp_extract(h, '{_hx("warning :")}((?:..){{0,2}})$', 1)) // 2 - 9) || ' 9]] (signature 2/2)'
-              WHEN id = 'd/2' THEN octet_length(encode(t[1:position('fmt/' IN t) - 1])) || ', 4'
-              WHEN id = 'd/4' THEN '0, ' || length(regexp_extract(h, '^(?:..){{4}}((?:..){{0,40}}?){_hx("e")}', 1)) // 2 + 5
-              ELSE length(regexp_extract(h, '^((?:..){{0,120}}?)(?:{"".join(f"(?:{a:02X}|{a - 32:02X})" for a in b"signature")})', 1)) // 2 || ', 9' END AS basis
-            FROM bytes b JOIN files f USING (path)""",
+        "byte_hits": f"WITH {_BYTES} SELECT path, id, sig_no, sig_total, phase, \"offset\" FROM bytes",
+        "byte_basis": f"WITH {_BYTES} SELECT path, id, sig_no, basis FROM bytes",
+        "byte_basis_many": rf"""WITH {_BYTES}, k AS (SELECT unnest(range({N_MANY})) AS k), m AS (SELECT k, hex(encode(lpad(CAST(k AS VARCHAR), 4, '0'))) AS lit FROM k),
+            c AS (SELECT path, size, k, lit, CASE k % 4 WHEN 2 THEN greatest(size - 64, 0) WHEN 3 THEN 50 ELSE 0 END AS low, h FROM files JOIN m ON contains(h, lit)),
+            p AS (SELECT *, CASE WHEN regexp_matches(h[low * 2 + 1:], '^(?:..)*?' || lit) THEN low + length(regexp_extract(h[low * 2 + 1:], '^((?:..)*?)' || lit, 1)) // 2 END AS place FROM c)
+            SELECT path, id, sig_no, "offset", basis FROM bytes
+            UNION ALL SELECT path, 'n/' || lpad(CAST(k AS VARCHAR), 4, '0'), 1, CASE WHEN k % 4 = 2 THEN size - place ELSE place + 4 END, 'byte match at ' || place || ', 4' FROM p WHERE place IS NOT NULL AND (k % 4 != 1 OR place <= 200)""",
+        "identify_gated": f'WITH {_HITS} SELECT path, id, matcher, sig_no, phase, CAST("offset" AS BIGINT) AS "offset", basis FROM gated',
+        "identify_loc": """SELECT doc_id || '.riff' AS path, 1 AS rank, CASE WHEN doc_id % 2 = 1 THEN 'l/1' ELSE 'l/2' END AS id, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE 1 END AS confidence,
+            CASE WHEN doc_id % 2 = 1 THEN 'extension match riff; fourCC matches bext' ELSE 'extension match riff' END AS basis, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'match on extension only' END AS warning FROM documents""",
         "text_class": f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents) SELECT doc_id, {_CLASS} AS class FROM x",
         "xml_root": """WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 4 AS k, 'urn:' || coalesce(lang, 'none') AS ns FROM documents)
             SELECT path, 'x/1' AS id, CASE WHEN k = 0 THEN 1 ELSE 0 END AS phase FROM k WHERE k IN (0, 1)
@@ -310,7 +346,7 @@ def oracle_sql():
         **{f"identify_{m}": _mode(m) for m in ("single", "conclusive", "positive", "comprehensive", "exhaustive", "droid")},
         "mimeinfo_rank": f"""WITH {_HITS},
             named AS (SELECT path, CASE id WHEN 'd/1' THEN 'application/yaml' WHEN 'd/2' THEN 'text/x-note' WHEN 'd/3' THEN 'text/x-log' WHEN 'd/4' THEN 'text/x-german' ELSE 'text/plain' END AS id, matcher,
-                CASE WHEN id = 'd/1' AND sig_no = 2 THEN 60 WHEN id IN ('d/2', 'd/3') THEN 40 ELSE 50 END AS weight FROM hits WHERE matcher != 1
+                CASE WHEN id = 'd/1' AND sig_no = 2 THEN 60 WHEN id IN ('d/2', 'd/3') THEN 40 ELSE 50 END AS weight FROM hits WHERE matcher != 1 AND NOT (matcher = 6 AND path IN (SELECT path FROM bytes))
               UNION ALL SELECT path, regexp_replace(mime, ';[^;]*$', ''), 1, 0 FROM files WHERE mime != ''),
             cand AS (SELECT path, id, bool_or(matcher = 1) AS m, bool_or(matcher = 6) AS x, coalesce(max(weight) FILTER (WHERE matcher = 5), 0) AS magic, CASE WHEN bool_or(matcher = 0) THEN 50 ELSE 0 END AS glob_w FROM named GROUP BY path, id),
             keyed AS (SELECT *, [CAST((m AND magic > 0) OR (magic > 0 AND glob_w > 0) OR (m AND x) OR (x AND glob_w > 0) AS INTEGER), magic, CAST(m AS INTEGER), glob_w, CAST(x AS INTEGER), CAST(x AND id = 'text/plain' AS INTEGER)] AS k FROM cand),

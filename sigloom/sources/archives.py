@@ -236,6 +236,7 @@ def expand(files: DataFrame, kinds: tuple = KINDS, max_depth: int | None = None,
 
 
 # -- containers ------------------------------------------------------------------------------------------------------
+ZIP = b"PK\x03\x04"
 OLE2 = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 
 
@@ -295,25 +296,6 @@ def ole2_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield prefix + name, body[:length]
 
 
-def container_entries(files: DataFrame) -> DataFrame:
-    """path, ctype (ZIP or OLE2), entry_no, entry, content of the containers among the files; broken ones give nothing."""
-    schema = pa.schema([("path", pa.string()), ("ctype", pa.string()), ("entry_no", pa.int32()), ("entry", pa.string()), ("content", pa.binary())])
-
-    def each(path, content):
-        try:
-            if content[:4] == b"PK\x03\x04":
-                for i, (name, _, data) in enumerate(zip_entries(content)):
-                    yield path, "ZIP", i, name, data
-            else:
-                for i, (name, data) in enumerate(ole2_entries(content)):
-                    yield path, "OLE2", i, name, data
-        except Exception:  # noqa: BLE001
-            return
-
-    held = (F.octet_length("content") >= 8) & (F.startswith("content", F.lit(bytearray(b"PK\x03\x04"))) | F.startswith("content", F.lit(bytearray(OLE2))))
-    return _flat_map(files.where(held).select("path", "content"), each, "path string, ctype string, entry_no int, entry string, content binary", schema)
-
-
 def riff_chunks(data: bytes) -> list[str]:
     """Form type, chunk ids and LIST types of a RIFF file, in order, each once."""
     out: list[str] = []
@@ -337,14 +319,3 @@ def riff_chunks(data: bytes) -> list[str]:
         add(data[8:12])
         walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
     return out
-
-
-def riff_codes(files: DataFrame) -> DataFrame:
-    """path, pos, fourcc of the RIFF files."""
-    schema = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("fourcc", pa.string())])
-
-    def each(path, content):
-        for i, code in enumerate(riff_chunks(content)):
-            yield path, i, code
-
-    return _flat_map(files.select("path", "content"), each, "path string, pos int, fourcc string", schema)

@@ -22,7 +22,7 @@ RELATIONS = {
     "xmls": "root string, xmlns string",
     "fourccs": "fourcc string",
     "texts": "is_default boolean",
-    "byte_sigs": "sig_no int, sig_total int, regexes array<string>, phase int, side string, lit_off int, lit binary, weight int, spans array<string>",
+    "byte_sigs": "sig_no int, sig_total int, regexes array<string>, phase int, side string, lit_off int, lits array<binary>, weight int, searches array<struct<regex: string, low: int, high: int, bound: int, from_end: boolean>>",
     "containers": "ctype string, sig_no int, sig_total int, n_parts int",
     "parts": "ctype string, sig_no int, part_no int, entry string, is_glob boolean, regexes array<string>",
     "priorities": "superior string",
@@ -47,20 +47,22 @@ class Catalog:
     containers: list = field(default_factory=list)
     parts: list = field(default_factory=list)
     priorities: list = field(default_factory=list)
+    #: byte_sigs rows of a catalogue that was saved: compiled, so they match, but can be rewritten no more
+    stored: list = field(default_factory=list)
 
     # -- composition -------------------------------------------------------------------------------------------------
     def ids(self) -> set:
         """(ns, id) of everything the catalogue knows."""
-        return {r[:2] for rel in (self.infos, self.globs, self.mimes, self.xmls, self.fourccs, self.texts, self.signatures, self.containers) for r in rel}
+        return {r[:2] for rel in (self.infos, self.globs, self.mimes, self.xmls, self.fourccs, self.texts, self.signatures, self.containers, self.stored) for r in rel}
 
     def join(self, other: "Catalog") -> "Catalog":
         """Union: the other's infos override, everything else is merged without repeats."""
         infos = {r[:2]: r for r in self.infos} | {r[:2]: r for r in other.infos}
         merged = {n: list(dict.fromkeys([*getattr(self, n), *getattr(other, n)])) for n in ("globs", "mimes", "xmls", "fourccs", "texts", "signatures", "containers", "parts", "priorities")}
-        return replace(self, infos=list(infos.values()), **merged)
+        return replace(self, infos=list(infos.values()), stored=self.stored + [r for r in other.stored if r not in self.stored], **merged)
 
     def _where(self, keep) -> "Catalog":
-        rels = ("infos", "globs", "mimes", "xmls", "fourccs", "texts", "signatures", "containers", "parts")
+        rels = ("infos", "globs", "mimes", "xmls", "fourccs", "texts", "signatures", "containers", "parts", "stored")
         return replace(self, **{n: [r for r in getattr(self, n) if keep(r[1])] for n in rels}, priorities=[r for r in self.priorities if keep(r[1]) and keep(r[2])])
 
     def limit(self, ids) -> "Catalog":
@@ -73,13 +75,13 @@ class Catalog:
 
     def without(self, *relations: str) -> "Catalog":
         """Blank relations: name, mime, xml, byte, container, riff, text, priority."""
-        names = {"name": ["globs"], "mime": ["mimes"], "xml": ["xmls"], "byte": ["signatures"], "container": ["containers", "parts"], "riff": ["fourccs"], "text": ["texts"], "priority": ["priorities"]}
+        names = {"name": ["globs"], "mime": ["mimes"], "xml": ["xmls"], "byte": ["signatures", "stored"], "container": ["containers", "parts"], "riff": ["fourccs"], "text": ["texts"], "priority": ["priorities"]}
         return replace(self, **{n: [] for r in relations for n in names[r]})
 
     def no_doubles(self) -> "Catalog":
         """Drop byte signatures of the ids that own container signatures."""
         held = {r[:2] for r in self.containers}
-        return replace(self, signatures=[r for r in self.signatures if r[:2] not in held])
+        return replace(self, signatures=[r for r in self.signatures if r[:2] not in held], stored=[r for r in self.stored if r[:2] not in held])
 
     def with_mirrors(self) -> "Catalog":
         """Add the signatures whose wild tail is sought from the end."""
@@ -119,9 +121,9 @@ class Catalog:
         total, seen, out = Counter(r[:2] for r in self.signatures), Counter(), []
         for ns, i, s, weight in sorted(self.signatures, key=lambda r: r[:2]):
             seen[ns, i] += 1
-            side, off, lit = s.literal() or ("none", 0, b"")
-            out.append((ns, i, seen[ns, i], total[ns, i], s.regexes(), s.phase(), side, off, bytearray(lit), weight, s.spans()))
-        return out
+            side, off, lits = s.literal() or ("none", 0, [])
+            out.append((ns, i, seen[ns, i], total[ns, i], s.regexes(), s.phase(), side, off, [bytearray(x) for x in lits], weight, s.searches()))
+        return out + self.stored
 
     # -- inspection --------------------------------------------------------------------------------------------------
     def inspect(self, ident: str) -> dict:
@@ -134,6 +136,10 @@ class Catalog:
         return "digraph {\n" + "".join(f'  "{sub}" -> "{sup}"\n' for _, sub, sup in sorted(self.priorities)) + "}\n"
 
     # -- tables ------------------------------------------------------------------------------------------------------
+    def owners(self, *relations: str) -> set:
+        """(ns, id) of the formats that have rows in any of the relations; ``signatures`` stands for compiled ones too."""
+        return {tuple(r[:2]) for n in relations for r in (*getattr(self, n), *(self.stored if n == "signatures" else ()))}
+
     def rows(self, relation: str) -> list:
         return self.compiled() if relation == "byte_sigs" else getattr(self, relation)
 
@@ -146,9 +152,21 @@ class Catalog:
         spark.createDataFrame([(self.ns, self.details, self.multi, self.zip_default)], "ns string, details string, multi string, zip_default string").write.mode("overwrite").parquet(f"{path}/identifiers")
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a saved catalogue."""
-    return {n: spark.read.parquet(f"{path}/{n}") for n in (*RELATIONS, "identifiers")}
+#: Rows of one relation that are taken back to the driver at most.
+MAX_ROWS = 2_000_000
+
+
+def load(spark: SparkSession, path: str) -> Catalog:
+    """A saved catalogue, ready to identify with. Its byte signatures are compiled: what rewrites them needs the vocabulary again."""
+    plain = lambda x: [plain(v) for v in x] if isinstance(x, list) else tuple(map(plain, x)) if isinstance(x, tuple) else x
+    head = spark.read.parquet(f"{path}/identifiers").first()
+    held = {}
+    for n in RELATIONS:
+        rows = spark.read.parquet(f"{path}/{n}").limit(MAX_ROWS + 1).collect()
+        if len(rows) > MAX_ROWS:
+            raise ValueError(f"{n} has more than {MAX_ROWS} rows")
+        held["stored" if n == "byte_sigs" else n] = [tuple(map(plain, r)) for r in sorted(rows, key=lambda r: repr(tuple(r)))]
+    return Catalog(head.ns, head.details, head.multi, head.zip_default, **held)
 
 
 def combined(*catalogs: Catalog) -> list[Catalog]:

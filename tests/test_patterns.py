@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sigloom.operators.matchers import ByteMatcher
+from sigloom.sources.catalog import Catalog
 from sigloom.functions.frames import BOF, EOF, PREV, SUCC, Frame, Run, Signature
 from sigloom.functions.patterns import Alt, AnyMask, Cat, IgnoreCase, Mask, Masked, Not, Range, Seq, big, host, int8, little, self_overlap, shown
 from sigloom.sources.expressions import NotationError, parse_items, signature_of
@@ -94,8 +96,24 @@ def test_compiled_run_is_the_naive_one(parts, data, from_end):
     assert found(run.regex(True), data) == run.matches(data)
     lit = run.literal()
     if lit and run.matches(data):
-        side, off, b = lit
-        assert {"bof": data[off : off + len(b)], "eof": data[len(data) - off - len(b) : len(data) - off], "any": b if b in data else None}[side] == b
+        side, off, keys = lit
+        part = {"head": data[:off], "tail": data[max(0, len(data) - off) :], "any": data}.get(side)
+        assert any(b in part if part is not None else b == (data[off : off + len(b)] if side == "bof" else data[len(data) - off - len(b) : len(data) - off]) for b in keys)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(LEAF, st.integers(0, 2), st.one_of(st.none(), st.integers(0, 2))), min_size=1, max_size=3), DATA, st.booleans())
+def test_one_pass_finds_what_the_naive_interpreter_finds(parts, data, from_end):
+    frames = [Frame(p, (SUCC if i < len(parts) - 1 else EOF) if from_end else (PREV if i else BOF), low, None if more is None else low + more) for i, (p, low, more) in enumerate(parts)]
+    sig = Signature(tuple(frames))
+    got = list(ByteMatcher(Catalog("n", signatures=[("n", "i", sig, 0)]).compiled()).hits(data))
+    assert bool(got) == sig.matches(data)
+
+
+def test_zeros_are_no_key():
+    assert Signature((Frame(T(b"\0\0\0\0"), BOF),)).literal() is None
+    assert Signature((Frame(T(b"\0\0"), BOF), Frame(T(b"a\0"), PREV, 0, 3))).literal() == ("head", 7, [b"a\0"])
+    assert Signature((Frame(Alt((T(b"ab"), T(b"cd"))), BOF, 1, 1),)).literal() == ("bof", 1, [b"ab", b"cd"])
 
 
 def test_notation():

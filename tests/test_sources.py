@@ -90,8 +90,10 @@ def test_ordered_dominance(spark):
 
 def test_catalogs(spark, pictures, tmp_path):
     pictures.save(spark, str(tmp_path / "cat"))
-    tables = load(spark, str(tmp_path / "cat"))
-    assert tables["byte_sigs"].count() == len(pictures.signatures) and tables["priorities"].count() == 1
+    again = load(spark, str(tmp_path / "cat"))
+    assert len(again.stored) == len(pictures.signatures) and len(again.priorities) == 1 and again.ids() == pictures.ids()
+    same = held(spark, ("a.gif", "", GIF), ("b.png", "", PNG), ("c.pdf", "", b"?"), ("d", "", b""))
+    assert {tuple(r) for r in identify(same, [again]).collect()} == {tuple(r) for r in identify(same, [pictures]).collect()}
     assert pictures.without("byte", "name").signatures == [] and pictures.without("name").globs == []
     assert "fmt/3\" -> \"fmt/4" in pictures.priority_graph()
     assert pictures.inspect("fmt/11")["globs"] == [("ext", "png", 0, 50)]
@@ -215,7 +217,8 @@ def test_containers(spark):
     assert dict(archives.ole2_entries(o))["Store/Inner"] == b"two" * 2000
     df = held(spark, ("a.zip", "", z.getvalue()), ("b.doc", "", o), ("broken.zip", "", b"PK\x03\x04broken"), ("short", "", b"PK\x03\x04"))
     got = {r.path: r.basis for r in matchers.container_hits(df, [c]).collect()}
-    assert got == {"a.zip": "container name mimetype with byte match; name content.xml with name only", "b.doc": "container name Part1 with name only"}
+    assert got == {"a.zip": "container name mimetype with byte match; name content.xml with name only (signature 1/2)", "b.doc": "container name Part1 with name only (signature 2/2)"}
+    assert {r.path for r in identify(df, [c]).where("errors like 'container error:%'").collect()} == {"broken.zip"}
 
 
 def test_zip_default_and_archive_ids(spark):
