@@ -8,6 +8,10 @@ from sigloom.operators import drift, hierarchy, hotkeys, nested, orphans, reject
 from sigloom.session import table as T
 
 
+def p4_table(child: str):
+    return lambda s, d: nested.report_table(T(s, d, "report_json"), child).drop("more")
+
+
 def queries():
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
@@ -18,9 +22,8 @@ def queries():
         "p3_found": lambda s, d: hierarchy.report_hierarchy(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
         "p3_descendants": lambda s, d: hierarchy.descendants(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
         "p4_found": lambda s, d: nested.report_children(T(s, d, "report_json")),
-        "p4_byte_sequences": lambda s, d: nested.report_table(T(s, d, "report_json"), "byte_sequence"),
-        "p4_relations": lambda s, d: nested.report_table(T(s, d, "report_json"), "relation"),
-        "p4_identifiers": lambda s, d: nested.report_table(T(s, d, "report_json"), "identifier"),
+        **{f"p4_{child.removesuffix('y') + 'ies' if child.endswith('y') else child + 's'}": p4_table(child) for child in nested.MEMBERS},
+        "p4_links": lambda s, d: nested.table_links(T(s, d, "report_json")),
         "p5_found": lambda s, d: hotkeys.heavy_ids(T(s, d, "identifications"), T(s, d, "scan_files")),
         "p5_id_results": lambda s, d: hotkeys.id_results(T(s, d, "identifications"), T(s, d, "scan_files")).select("ident_id", "n_rows", "n_files", "n_listed", "listed_bytes", F.col("pair_rows").cast("bigint").alias("pair_rows"), F.col("pair_bytes").cast("string").alias("pair_bytes")),
         "p5_class_rollup": lambda s, d: hotkeys.class_rollup(T(s, d, "identifications"), T(s, d, "scan_files"), T(s, d, "format_registry")).withColumn("pair_rows", F.col("pair_rows").cast("bigint")),
@@ -170,6 +173,14 @@ def oracle_sql():
             x ->> '$.Endianness' AS endianness, x ->> '$.Hex' AS hex, x ->> '$.IndirectLoc' AS indirectloc FROM rows2""",
         "p4_relations": f"WITH {_JSON} SELECT DISTINCT rec_no, CAST(pos AS INTEGER) AS pos, x ->> '$.Typ' AS typ, x ->> '$.Id' AS id FROM rows1 WHERE kind = 'relation'",
         "p4_identifiers": f"WITH {_JSON} SELECT DISTINCT rec_no, CAST(pos AS INTEGER) AS pos, x ->> '$.Typ' AS typ, x ->> '$.Id' AS id FROM rows1 WHERE kind = 'identifier'",
+        "p4_reports": f"WITH {_JSON} SELECT DISTINCT rec_no, o ->> '$.Id' AS id, o ->> '$.Name' AS name, o ->> '$.Version' AS version, o ->> '$.Description' AS description FROM good",
+        "p4_signatures": f"WITH {_JSON} SELECT DISTINCT rec_no, CAST(pos AS INTEGER) AS pos, x ->> '$.Note' AS note FROM rows1 WHERE kind = 'signature'",
+        "p4_extensions": f"""WITH {_JSON}, e AS (SELECT rec_no, json_extract(o, '$.Extensions') AS m FROM good), l AS (SELECT rec_no, CASE json_type(m) WHEN 'ARRAY' THEN json_extract(m, '$[*]') WHEN 'VARCHAR' THEN [m] ELSE [] END AS l FROM e)
+            SELECT DISTINCT rec_no, CAST(pos AS INTEGER) AS pos, x ->> '$' AS value FROM (SELECT rec_no, unnest(l) AS x, unnest(range(len(l))) AS pos FROM l) WHERE x ->> '$' IS NOT NULL""",
+        "p4_links": f"""WITH {_JSON}, k AS (SELECT DISTINCT rec_no, kind, pos, -1 AS sub_pos FROM rows1 UNION SELECT rec_no, 'byte_sequence', pos, sub_pos FROM rows2
+              UNION SELECT rec_no, 'extension', i, -1 FROM (SELECT rec_no, unnest(range(CAST(CASE json_type(m) WHEN 'ARRAY' THEN json_array_length(m) WHEN 'VARCHAR' THEN 1 ELSE 0 END AS BIGINT))) AS i FROM (SELECT rec_no, json_extract(o, '$.Extensions') AS m FROM good)))
+            SELECT t.child_table, t.parent_table, count(k.rec_no) AS n_rows, count(DISTINCT CASE WHEN parent_table = 'signature' THEN k.rec_no || '/' || pos ELSE CAST(k.rec_no AS VARCHAR) END) AS n_parents, 0::BIGINT AS n_lost
+            FROM (VALUES ('signature', 'report'), ('byte_sequence', 'signature'), ('relation', 'report'), ('identifier', 'report'), ('extension', 'report')) AS t(child_table, parent_table) LEFT JOIN k ON k.kind = t.child_table GROUP BY 1, 2""",
         "p5_found": f"WITH {_IDS} SELECT ident_id FROM seen WHERE n_rows * 100 >= 3 * (SELECT count(*) FROM once)",
         "p5_id_results": f"WITH {_IDS} SELECT ident_id, n_rows, n_files, n_listed, CAST(listed_bytes AS BIGINT) AS listed_bytes, CAST(n_rows * n_listed AS BIGINT) AS pair_rows, CAST(n_rows * listed_bytes AS VARCHAR) AS pair_bytes FROM results",
         "p5_class_rollup": f"""WITH {_IDS}, reg AS (SELECT lower(trim(ident_id)) AS ident_id, min(format_class) AS format_class FROM format_registry GROUP BY 1)

@@ -128,6 +128,26 @@ def test_nested_edges(spark):
     assert [(r.rec_no, r.id) for r in nested.report_table(df, "relation").where("id is not null").orderBy("rec_no").collect()] == [(0, "1"), (13, "éé")]
 
 
+def test_long_texts_are_walked_without_holding_triples():
+    texts = [*JSON, '{"Signatures": [{"ByteSequences": [{"Hex": "1"}], "ByteSequences": {"Hex": "2", "Hex": "3"}}], "a": {"b": 1, "b": [2, {"c": 3}]}, "a": 5}', '{"Signatures": "[{\\"Note\\": 1, \\"Note\\": 2}]"}', '{"a": [1, 2', '{"Relations": [{}], "Relations": null}']
+    for t in filter(None, texts):
+        assert list(nested.streamed(t, nested.REPORT, held=0)) == (nested.triples(t, nested.REPORT) or [])
+    big = '{"Signatures": [' + ",".join('{"ByteSequences": [{"Hex": "%d"}]}' % i for i in range(60_000)) + "]}"
+    assert len(big) > nested.HELD and sum(1 for t in nested.streamed(big, nested.REPORT) if t[2] == "object") == 120_001
+
+
+def test_all_members_of_all_tables(spark):
+    text = '{"Id": 7, "Owner": {"Name": "n", "Tags": ["a", null, "b"]}, "Extensions": ["x", "y"], "Signatures": {"Note": "s", "Extra": [[1]], "ByteSequences": {"Hex": "AB", "Odd": true}}, "Relations": [{"Typ": "t"}, {}]}'
+    df = spark.createDataFrame([(1, text), (1, text), (2, '{"Extensions": "z"}'), (3, "[]")], "rec_no bigint, payload string")
+    got = {n: sorted(tuple(r) for r in t.collect()) for n, t in nested.flat_tables(df).items()}
+    assert got["report"] == [(1, "7", None, None, None, '{"Owner.Name":"n","Owner.Tags[*]@0":"a","Owner.Tags[*]@2":"b"}'), (2, None, None, None, None, None)]
+    assert got["signature"] == [(1, 0, "s", '{"Extra[*][*]@0,0":"1"}')]
+    assert got["byte_sequence"] == [(1, 0, 0, None, None, None, None, "AB", None, '{"Odd":"true"}')]
+    assert got["relation"] == [(1, 0, "t", None, None), (1, 1, None, None, None)] and got["identifier"] == []
+    assert got["extension"] == [(1, 0, "x", None), (1, 1, "y", None), (2, 0, "z", None)]
+    assert all(r.n_lost == 0 for r in nested.table_links(df).collect())
+
+
 def test_hot_keys_join_is_exact(spark):
     """The eager aggregate equals the join that is never built."""
     idents = [(i, i % 40, ["HOT ", "hot", "a", "b", None][i % 5], "x") for i in range(300)] * 2
