@@ -51,10 +51,14 @@ def id_results(idents: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def heavy_ids(idents: DataFrame, files: DataFrame, percent: int = 3) -> DataFrame:
-    """ident_id of each id with at least ``percent`` of all identifications."""
-    states = cut(id_results(idents, files).select("ident_id", "n_rows"))
-    total = states.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("t"))
-    return states.where((F.col("n_rows") > 0) & (F.col("n_rows") * 100 >= total.scalar() * percent)).select("ident_id")
+    """ident_id of each id with at least ``percent`` of all identifications.
+
+    Out of the results of every id (joined states with their multiplied counts, cut: one row per id), whose row counts
+    roll up to the total.
+    """
+    results = cut(id_results(idents, files))
+    total = results.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("t"))
+    return results.where((F.col("n_rows") > 0) & (F.col("n_rows") * 100 >= total.scalar() * percent)).select("ident_id")
 
 
 def class_rollup(idents: DataFrame, files: DataFrame, registry: DataFrame) -> DataFrame:

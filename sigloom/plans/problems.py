@@ -32,6 +32,7 @@ def queries():
         "p6_union_schema": lambda s, d: drift.union_schema(T(s, d, "scan_heads")),
         "p6_heads": lambda s, d: drift.unified_heads(T(s, d, "scan_heads")),
         "p7_found": lambda s, d: orphans.orphan_references(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
+        "p7_tables": lambda s, d: orphans.domain_orphans(*(T(s, d, n) for n in ("related_formats", "report_snapshots", "scan_files", "scan_heads", "identifications", "format_registry"))),
         "p7_counts": lambda s, d: orphans.orphan_counts(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
     }
 
@@ -199,5 +200,19 @@ def oracle_sql():
               FROM (SELECT scan_no, i, trim(ns[i + 1] ->> '$[0]') AS space, trim(unnest(names)) AS name, unnest(range(len(names))) AS k FROM (SELECT scan_no, i, ns, CASE WHEN json_type(g) = 'ARRAY' THEN CAST(g AS VARCHAR[]) ELSE string_split(g ->> '$', ',') END AS names FROM each1)) WHERE name != '' GROUP BY scan_no)
             SELECT o.scan_no, collection, scanned, v.version, lower(h.name) AS hash_column, coalesce(l.fields, '') AS fields FROM once o LEFT JOIN v USING (scan_no) LEFT JOIN hashed h USING (scan_no) LEFT JOIN listed l USING (scan_no)""",
         "p7_found": f"WITH {_ORPHANS} SELECT rel_no, snap_no, orphan_kind FROM orphan",
+        "p7_tables": r"""WITH refs AS (
+              SELECT 'related_formats' AS child_table, 'report_snapshots' AS parent_table, rel_no AS r, CAST(related_id AS VARCHAR) AS key, snap_no AS period FROM related_formats
+              UNION ALL SELECT 'scan_files', 'scan_heads', file_no, CAST(scan_no AS VARCHAR), year(loaded_at) * 100 + month(loaded_at) FROM scan_files
+              UNION ALL SELECT 'identifications', 'scan_files', ident_no, CAST(file_no AS VARCHAR), year(loaded_at) * 100 + month(loaded_at) FROM identifications
+              UNION ALL SELECT 'identifications', 'format_registry', ident_no, nullif(lower(trim(ident_id)), 'unknown'), year(loaded_at) * 100 + month(loaded_at) FROM identifications),
+            once AS (SELECT child_table, parent_table, unnest(min({'period': period, 'key': key})) FROM refs WHERE key IS NOT NULL GROUP BY child_table, parent_table, r),
+            held AS (SELECT DISTINCT 'report_snapshots' AS parent_table, CAST(report_id AS VARCHAR) AS key, snap_no AS period FROM report_snapshots WHERE report_id IS NOT NULL AND snap_no IS NOT NULL
+              UNION SELECT 'scan_heads', CAST(scan_no AS VARCHAR), year(arrived_at) * 100 + month(arrived_at) FROM scan_heads WHERE scan_no IS NOT NULL AND arrived_at IS NOT NULL
+              UNION SELECT 'scan_files', CAST(file_no AS VARCHAR), year(loaded_at) * 100 + month(loaded_at) FROM scan_files WHERE file_no IS NOT NULL AND loaded_at IS NOT NULL
+              UNION SELECT 'format_registry', lower(trim(ident_id)), 0 FROM format_registry WHERE ident_id IS NOT NULL),
+            span AS (SELECT parent_table, key, min(period) AS lo, max(period) AS hi FROM held GROUP BY 1, 2),
+            judged AS (SELECT o.*, h.key IS NULL AND NOT (o.parent_table != 'report_snapshots' AND coalesce(lo < o.period, false)) AS lost, CASE WHEN lo < o.period THEN 'deleted' WHEN hi > o.period THEN 'late' ELSE 'missing' END AS orphan_kind
+              FROM once o LEFT JOIN held h ON h.parent_table = o.parent_table AND h.key = o.key AND h.period = o.period LEFT JOIN span s ON s.parent_table = o.parent_table AND s.key = o.key)
+            SELECT child_table, parent_table, CAST(period AS INTEGER) AS period, orphan_kind, count(*) AS n_refs, count(DISTINCT key) AS n_keys FROM judged WHERE lost GROUP BY 1, 2, 3, 4""",
         "p7_counts": f"WITH {_ORPHANS} SELECT 'report_snapshots' AS parent_table, snap_no, orphan_kind, count(*) AS n_refs, count(DISTINCT related_id) AS n_keys FROM orphan GROUP BY snap_no, orphan_kind",
     }
