@@ -12,6 +12,12 @@ def p4_table(child: str):
     return lambda s, d: nested.report_table(T(s, d, "report_json"), child).drop("more")
 
 
+def p6_heads(s, d):
+    """The unified heads; lists as text, for comparison."""
+    x = drift.unified_heads(T(s, d, "scan_heads"))
+    return x.select(*(F.array_join(c, "," if c == "fields" else "|").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in x.dtypes))
+
+
 def queries():
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
@@ -30,7 +36,7 @@ def queries():
         "p6_found": lambda s, d: drift.head_changes(T(s, d, "scan_heads")).select("scan_no", "item", "change_kind"),
         "p6_log": lambda s, d: drift.head_changes(T(s, d, "scan_heads")).orderBy("scan_no", "item", "change_kind"),
         "p6_union_schema": lambda s, d: drift.union_schema(T(s, d, "scan_heads")),
-        "p6_heads": lambda s, d: drift.unified_heads(T(s, d, "scan_heads")),
+        "p6_heads": p6_heads,
         "p7_found": lambda s, d: orphans.orphan_references(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
         "p7_tables": lambda s, d: orphans.domain_orphans(*(T(s, d, n) for n in ("related_formats", "report_snapshots", "scan_files", "scan_heads", "identifications", "format_registry"))),
         "p7_counts": lambda s, d: orphans.orphan_counts(T(s, d, "related_formats"), T(s, d, "report_snapshots")),
@@ -144,7 +150,7 @@ orphan AS (
 
 
 def _typ(c: str) -> str:
-    return f"CASE {c} WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN 'object' ELSE {c} END"
+    return f"CASE {c} WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'double' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'BOOLEAN' THEN 'bool' ELSE {c} END"
 
 
 def oracle_sql():
@@ -192,13 +198,16 @@ def oracle_sql():
               CASE WHEN NOT fresh AND NOT gone AND old_type IS DISTINCT FROM new_type THEN 'retyped' END]) AS kind FROM compared) WHERE kind IS NOT NULL""",
         "p6_log": f"""WITH {_HEADS}, x AS (SELECT scan_no, item, unnest([CASE WHEN fresh THEN 'added' END, CASE WHEN gone THEN 'removed' END, CASE WHEN NOT fresh AND NOT gone AND old_name != new_name THEN 'renamed' END,
               CASE WHEN NOT fresh AND NOT gone AND old_type IS DISTINCT FROM new_type THEN 'retyped' END]) AS change_kind, old_name, new_name, {_typ("old_type")} AS old_type, {_typ("new_type")} AS new_type FROM compared)
-            SELECT * FROM x WHERE change_kind IS NOT NULL""",
-        "p6_union_schema": f"""WITH {_HEADS} SELECT item, CASE WHEN count(DISTINCT typ) = 1 THEN {_typ("min(typ)")} ELSE 'text' END AS union_type, count(DISTINCT i.scan_no) AS n_scans, count(DISTINCT name) AS n_names, min(scanned) AS first_scanned, max(scanned) AS last_scanned
-            FROM items i JOIN once USING (scan_no) GROUP BY item""",
+            SELECT *, CASE WHEN old_type IS NULL THEN new_type WHEN new_type IS NULL OR old_type = new_type THEN old_type WHEN old_type IN ('int', 'long', 'double') AND new_type IN ('int', 'long', 'double') THEN greatest(old_type, new_type) ELSE 'text' END AS union_type FROM x WHERE change_kind IS NOT NULL""",
+        "p6_union_schema": f"""WITH {_HEADS}, more AS (SELECT scan_no, 'head.' || k AS item, k AS name, json_type(o, '$.' || k) AS typ FROM (SELECT scan_no, o, unnest(json_keys(o)) AS k FROM once WHERE json_type(o) = 'OBJECT')
+              WHERE k NOT IN ('program', 'version', 'program_version', 'fields', 'hash_header') AND json_type(o, '$.' || k) != 'NULL')
+            SELECT item, CASE WHEN count(DISTINCT typ) = 1 THEN {_typ("min(typ)")} ELSE 'text' END AS union_type, count(DISTINCT i.scan_no) AS n_scans, count(DISTINCT name) AS n_names, min(scanned) AS first_scanned, max(scanned) AS last_scanned
+            FROM (SELECT * FROM items UNION ALL SELECT * FROM more) i JOIN once USING (scan_no) GROUP BY item""",
         "p6_heads": f"""WITH {_HEADS}, v AS (SELECT scan_no, CASE WHEN typ = 'ARRAY' THEN array_to_string(CAST(json_extract(o, '$.' || name) AS VARCHAR[]), '.') ELSE o ->> ('$.' || name) END AS version FROM version JOIN once USING (scan_no)),
             listed AS (SELECT scan_no, array_to_string(list(space || '.' || CASE name WHEN 'ns' THEN 'namespace' WHEN 'identifier' THEN 'id' WHEN 'ID' THEN 'id' WHEN 'warn' THEN 'warning' ELSE name END ORDER BY i, k), ',') AS fields
               FROM (SELECT scan_no, i, trim(ns[i + 1] ->> '$[0]') AS space, trim(unnest(names)) AS name, unnest(range(len(names))) AS k FROM (SELECT scan_no, i, ns, CASE WHEN json_type(g) = 'ARRAY' THEN CAST(g AS VARCHAR[]) ELSE string_split(g ->> '$', ',') END AS names FROM each1)) WHERE name != '' GROUP BY scan_no)
-            SELECT o.scan_no, collection, scanned, v.version, lower(h.name) AS hash_column, coalesce(l.fields, '') AS fields FROM once o LEFT JOIN v USING (scan_no) LEFT JOIN hashed h USING (scan_no) LEFT JOIN listed l USING (scan_no)""",
+            SELECT o.scan_no, collection, scanned, v.version, lower(h.name) AS hash_column, coalesce(l.fields, '') AS fields,
+              o.o ->> '$.signature' AS signature, o.o ->> '$.results' AS results, o.o ->> '$.scandate' AS scandate, o.o ->> '$.created' AS created, array_to_string(CAST(json_extract(o.o, '$.identifiers[*]') AS VARCHAR[]), '|') AS identifiers FROM once o LEFT JOIN v USING (scan_no) LEFT JOIN hashed h USING (scan_no) LEFT JOIN listed l USING (scan_no)""",
         "p7_found": f"WITH {_ORPHANS} SELECT rel_no, snap_no, orphan_kind FROM orphan",
         "p7_tables": r"""WITH refs AS (
               SELECT 'related_formats' AS child_table, 'report_snapshots' AS parent_table, rel_no AS r, CAST(related_id AS VARCHAR) AS key, snap_no AS period FROM related_formats

@@ -163,10 +163,11 @@ def test_hot_keys_join_is_exact(spark):
     assert {r.ident_id for r in hotkeys.heavy_ids(a, b, 40).collect()} == {"hot"}
 
 
-def test_previous_in_two_levels(spark):
+@pytest.mark.parametrize("ranges", [1, 7, None])
+def test_previous_in_two_levels(spark, ranges):
     rows = [("a", i * 7 % 100, i) for i in range(100)] + [("b", 1, 500)]
     df = spark.createDataFrame(rows, "k string, t int, val int")
-    got = {(r.k, r.t): r.previous for r in drift.with_previous(df, "k", ["t"], F.expr("t div 10"), "val").collect()}
+    got = {(r.k, r.t): r.previous for r in drift.with_previous(df, "k", ["t"], "val", ranges).collect()}
     order = sorted(r[1:] for r in rows if r[0] == "a")
     assert got == {("a", t): (order[i - 1][1] if i else None) for i, (t, _) in enumerate(order)} | {("b", 1): None}
 
@@ -186,6 +187,25 @@ def test_drift_edges(spark):
     three = {(i, "removed") for i in ("version", "hash", "fields", "p.namespace", "p.id", "q.id")}
     assert got == {(2, *x) for x in two} | {(3, *x) for x in three}
     assert {r.scan_no: r.version for r in drift.unified_heads(df).collect()}[2] == "1.1.0"
+    assert result(drift.head_changes(df, 5).select("scan_no", "item", "change_kind")) == got
+
+
+def test_lattice_and_cast(spark):
+    heads = ['{"a": 1, "b": true, "c": [1, "x"], "d": {"k": 1}, "e": 1.5, "f": 3, "scan_no": "own", "it\'s": 1, "version": 2}', '{"a": 3000000000, "b": false, "c": ["y"], "d": {"k": 2}, "e": 2, "f": "t"}', '{"a": null, "b": null, "f": [3], "it\'s": 2}', "no json", None]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "scan_no bigint, head_json string").selectExpr("scan_no", "'c' as collection_code", "timestamp'2030-01-01' + make_dt_interval(cast(scan_no as int)) as scanned", "timestamp'2030-01-01' as arrived_at", "head_json")
+    union = {r["item"]: r.union_type for r in drift.union_schema(df).collect()}
+    assert union == {"head.a": "long", "head.b": "bool", "head.c": "list", "head.d": "object", "head.e": "double", "head.f": "text", "head.scan_no": "text", "head.it's": "int", "version": "int"}
+    x = drift.unified_heads(df)
+    types = dict(x.dtypes)
+    assert types["a"] == "bigint" and types["b"] == "boolean" and types["c"] == "array<string>" and types["e"] == "double" and types["f"] == types["d"] == "string" and types["it's"] == "int"
+    rows = {r.scan_no: r for r in x.collect()}
+    assert (rows[0].a, rows[1].a, rows[2].a) == (1, 3000000000, None) and rows[0].c == ["1", "x"] and rows[0].d == '{"k":1}' and (rows[0].f, rows[1].f, rows[2].f) == ("3", "t", "[3]")
+    assert rows[0].head_scan_no == "own" and rows[0]["it's"] == 1 and rows[2]["it's"] == 2 and rows[3].a is None and rows[0].version == 2 and len(rows) == 5
+    with pytest.raises(ValueError, match="long form"):
+        drift.unified_heads(df, 3)
+    assert {(r.scan_no, r["item"]) for r in drift.head_changes(df).where("change_kind = 'retyped'").collect()} == set()
+    lub = lambda *t: spark.range(1).select(drift.fold(F.array(*map(F.lit, t)))).first()[0]
+    assert [lub("int", "double", "long"), lub("int", "bool"), lub("list", "object"), lub("list"), lub("int", "long"), lub("text", "int")] == ["double", "text", "text", "list", "long", "text"]
 
 
 def test_orphans_with_hot_keys(spark):
