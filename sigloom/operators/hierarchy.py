@@ -7,8 +7,8 @@ way, and exact paths are put together from both parts. A walk that meets itself
 without having met a splitter belongs to a splitterless loop and is taken out
 on the spot, so every round doubles only what still moves: the number of rounds
 is the logarithm of the longest stretch, not the depth. Each round is one
-shuffle join whose right side has one row per node, so a node with very many
-children is a skewed left side, which adaptive execution splits.
+shuffle join whose right side has one row per node; pointers that very many
+walkers share are joined by broadcast instead.
 
 Defined results: a node with several parents keeps the smallest; null ends are
 ignored; repeated links count once; an empty table gives no rows.
@@ -16,6 +16,8 @@ ignored; repeated links count once; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from sigloom.session import cut, squeezed
 #: One node in so many is a splitter.
 SPLITTER_RATE = 8
 SEPARATOR = "/"
+#: Walkers at one pointer that a shuffle join takes as they are.
+HOT_ROWS = 200_000
 
 
 def is_splitter(c: Column, rate: int) -> Column:
@@ -42,28 +46,40 @@ def _settled(x: DataFrame, stop: Column) -> DataFrame:
     return x.select("node", "ptr", "seg", F.when(met, "loop").when(stop, "done").otherwise("active").alias("st"), (met & F.array_contains(turn, F.col("node"))).alias("on_ring"))
 
 
-def jump(start: DataFrame, stop) -> DataFrame:
+def jump(start: DataFrame, stop, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pointer jumping until no walker is active: node, ptr, seg, st, on_ring.
 
-    ``stop(ptr)`` tells the pointers to stop at; a pointer without a row of its own is a root and stops too.
+    ``stop(ptr)`` tells the pointers to stop at; a pointer without a row of its own is a root and stops too. Walkers that
+    have settled are written once and only read from then on. After doubling, whole subtrees point at one node: pointers
+    of more walkers than ``hot_rows`` and a thousandth of all are at most a thousand, so theirs are broadcast.
     """
     state = cut(start)
-    while not state.where("st = 'active'").isEmpty():
-        ahead = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("seg").alias("s2"))
-        moving = state.where("st = 'active'").select("node", "ptr", "seg").join(ahead, "ptr", "left")
-        moved = moving.select("node", F.coalesce("p2", "ptr").alias("ptr"), F.when(F.col("p2").isNull(), F.col("seg")).otherwise(F.concat("s2", "seg")).alias("seg"), F.col("p2").isNull().alias("at_root"))
-        state = cut(state.where("st != 'active'").unionByName(_settled(moved, F.col("at_root") | stop(F.col("ptr")))))
-    return state
-
-
-def solve(links: DataFrame, rate: int = SPLITTER_RATE) -> DataFrame:
+    parts = []
+    while True:
+        parts.append(state.where("st != 'active'"))
+        moving = state.where("st = 'active'").select("node", "ptr", "seg")
+        n, most = moving.groupBy("ptr").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+        if not n:
+            return reduce(DataFrame.unionByName, parts)
+        ahead = reduce(DataFrame.unionByName, [*parts, state.where("st = 'active'")]).select(F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("seg").alias("s2"))
+        if most > max(hot_rows, n // 1000):
+            hot = F.broadcast(moving.groupBy("ptr").count().where(F.col("count") > max(hot_rows, n // 1000)).select("ptr"))
+            led = moving.join(hot, "ptr", "left_semi").join(F.broadcast(ahead.join(hot, "ptr", "left_semi")), "ptr", "left")
+            met = led.unionByName(moving.join(hot, "ptr", "left_anti").join(ahead, "ptr", "left"))
+        else:
+            met = moving.join(ahead, "ptr", "left")
+        moved = met.select("node", F.coalesce("p2", "ptr").alias("ptr"), F.when(F.col("p2").isNull(), F.col("seg")).otherwise(F.concat("s2", "seg")).alias("seg"), F.col("p2").isNull().alias("at_root"))
+        state = cut(_settled(moved, F.col("at_root") | stop(F.col("ptr"))))
+
+
+def solve(links: DataFrame, rate: int = SPLITTER_RATE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """links (child, parent: bigint) -> node, root, path (array from root to node), state (tree, cycle, below_cycle)."""
     splits = lambda c: is_splitter(c, rate)
     links = cut(links.where("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("ptr")))
-    walked = jump(_settled(links.select("node", "ptr", F.array("node").alias("seg")), splits(F.col("ptr"))), splits)
+    walked = jump(_settled(links.select("node", "ptr", F.array("node").alias("seg")), splits(F.col("ptr"))), splits, hot_rows)
     # the reduced graph: only splitters, each pointing at its next splitter or root
     again = F.when((F.col("st") == "done") & splits(F.col("ptr")), "active").otherwise(F.col("st"))
-    solved = jump(walked.where(splits(F.col("node"))).withColumn("st", again), lambda _: F.lit(False))
+    solved = jump(walked.where(splits(F.col("node"))).withColumn("st", again), lambda _: F.lit(False), hot_rows)
     # every node of a loop with splitters lies on the walk of one of its splitters
     on_walk = walked.join(solved.where("on_ring").select("node"), "node", "left_semi").select(F.explode("seg").alias("node"))
     rings = walked.where("on_ring").select("node").union(on_walk).distinct().withColumn("ring", F.lit(True))

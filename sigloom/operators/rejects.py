@@ -95,16 +95,26 @@ def sound(widths: list[int] | None) -> Column:
     return ladder
 
 
-def reason() -> Column:
-    """The first broken part of a line that is not sound, by ever longer prefixes of the row pattern."""
+def prefix_patterns(width: int) -> list[tuple[str, str]]:
+    """(reason, pattern) of a schema, each taking in more than the one before: a record of any fields, of the schema's number, then its typed fields one by one."""
+    lead = [(r, r"\A" + ",".join(LEADING[: k + 1])) for k, r in enumerate(REASONS[2:])]
+    return [("quoting", RECORD), ("column_count", rf"\A{FIELD}(?:,{FIELD}){{{width - 1}}}\z"), *lead[: min(width, 3)]]
+
+
+def reason(widths: list[int] | None) -> Column:
+    """The first of the schema's prefix patterns that a line does not match."""
     line, width = F.col("line"), F.col("width")
-    return (
-        F.when(~line.rlike(RECORD), "quoting")
-        .when(width.isNull() | (n_fields(line) != width), "column_count")
-        .when(~line.rlike(rf"\A{NAME}"), "filename")
-        .when(~line.rlike(rf"\A{NAME},{SIZE}"), "filesize")
-        .otherwise("modified")
-    )
+    found = F.lit(None).cast("string")
+    for at in reversed(range(2, len(REASONS))):
+        typed = dict(prefix_patterns(3))[REASONS[at]]
+        found = F.when((width > at - 2) & ~line.rlike(typed), REASONS[at]).otherwise(found)
+    if widths is None:
+        counted = F.regexp_like(line, F.concat(F.lit(rf"\A{FIELD}(?:,{FIELD}){{"), (width - 1).cast("string"), F.lit(r"}\z")))
+    else:
+        counted = F.lit(False)
+        for w in widths:
+            counted = F.when(width == w, line.rlike(dict(prefix_patterns(w))["column_count"])).otherwise(counted)
+    return F.when(~line.rlike(RECORD), "quoting").when(width.isNull() | ~F.coalesce(counted, F.lit(False)), "column_count").otherwise(found)
 
 
 def classified(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> DataFrame:
@@ -115,7 +125,8 @@ def classified(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> DataFrame:
     heads = header_widths(lines)
     found = [r.width for r in heads.select("width").distinct().limit(max_schemas + 1).collect()]
     x = plain_lines(lines).where("line_no is distinct from 1").join(small(heads, MAX_SCANS), "scan_no", "left")
-    return x.withColumn("reason", F.when(~sound(sorted(found) if len(found) <= max_schemas else None), reason()))
+    widths = sorted(found) if len(found) <= max_schemas else None
+    return x.withColumn("reason", F.when(~sound(widths), reason(widths)))
 
 
 def rejected(lines: DataFrame, max_schemas: int = MAX_SCHEMAS) -> DataFrame:

@@ -94,13 +94,14 @@ def test_rejects_edges(spark):
     assert by['a,"12",2024-01-01T23:59:59.123456789+14:00,,x'].mod_utc == "2024-01-01 09:59:59"
 
 
+@pytest.mark.parametrize("hot_rows", [0, hierarchy.HOT_ROWS])
 @pytest.mark.parametrize("rate", [1, 2, 3, 8, 10**6])
-def test_hierarchies_of_all_shapes(spark, rate):
+def test_hierarchies_of_all_shapes(spark, rate, hot_rows):
     """Chains, trees, loops with and without splitters, tails below loops; every rate of splitters gives the same."""
     links = [(i + 1, i) for i in range(1, 70)] + [(100 + i, 1 + i % 9) for i in range(40)]
     links += [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(300 + i, 200 + i) for i in range(5)] + [(400, 301), (500, 500), (501, 500), (600, 601), (601, 600)]
     df = spark.createDataFrame([*links, *links, (None, 3), (3, None)], "child bigint, parent bigint")
-    x = hierarchy.solve(df, rate).selectExpr("node", "coalesce(root, -1)", "case when path is null then -1 else size(path) - 1 end", "coalesce(array_join(path, '/'), '')", "state")
+    x = hierarchy.solve(df, rate, hot_rows).selectExpr("node", "coalesce(root, -1)", "case when path is null then -1 else size(path) - 1 end", "coalesce(array_join(path, '/'), '')", "state")
     assert result(x) == brute.p3(set(links))
 
 
