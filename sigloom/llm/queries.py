@@ -14,6 +14,7 @@ def queries():
         "p9_found": lambda s, d: leakage.leaked_items(T(s, d, "documents"), T(s, d, "eval_items")),
         "p9_near": lambda s, d: leakage.leaked_items(T(s, d, "documents"), T(s, d, "eval_items"), substitutions=1),
         "p10_found": lambda s, d: lookalike.lookalike_pairs(T(s, d, "documents")),
+        "p10_classes": lambda s, d: lookalike.lookalike_classes(T(s, d, "documents")),
         "p10_forms": lambda s, d: lookalike.consistent(T(s, d, "documents")),
     }
 

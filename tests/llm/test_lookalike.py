@@ -1,6 +1,8 @@
 """The consistent form, the automaton against the table, and the pairs against brute force."""
 
 import itertools
+import random
+import unicodedata
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -28,7 +30,8 @@ def test_form():
 def test_form_is_stable_and_tokens_are_the_table(text):
     form = table_form(text)
     assert table_form(form) == form
-    assert lookalike.Former(["abc", "file", "cat", "e", "a"]).text(text) == form
+    spelling, folded = lookalike.Former(["abc", "file", "cat", "e", "a", "се", "Сор"]).text(text)
+    assert folded == form == table_form(spelling)
 
 
 @settings(max_examples=200, deadline=None)
@@ -44,15 +47,70 @@ def test_automaton_is_the_edit_distance(token, vocabulary, budget):
 
     near = sorted((distance(token, w), w) for w in vocabulary)
     expected = near[0][1] if near and near[0][0] <= budget else None
-    assert lookalike.Trie(vocabulary).match(token, budget) == expected
+    assert lookalike.Trie(sorted(vocabulary)).match(token, budget) == expected
 
 
 def test_automaton_costs_nothing_for_lookalikes():
     trie = lookalike.Trie(["file", "cat", "ñ", "СССР"])
-    assert trie.match("ﬁle") == "file" and trie.match("с​ａt") == "cat" and trie.match("ñ") == "ñ" and trie.match("dog") is None
+    assert trie.match("ﬁle") == "file" and trie.match("с\u200bａt") == "cat" and trie.match("n\u0303") == "ñ" and trie.match("dog") is None
     assert trie.match("cet") is None and trie.match("cet", 1) == "cat"
 
 
+def test_automaton_decides_what_the_table_cannot():
+    trie = lookalike.Trie(["привет", "hello", "cop", "сор", "Iris", "lily"])
+    assert trie.match("пpивeт") == "привет"  # Latin p and e in a Russian word
+    assert trie.match("he\u04c0\u04c0o") == "hello" and trie.match("\u04c0ris") == "Iris"  # one sign, two Latin letters
+    assert trie.match("сор") == "сор" and trie.match("cop") == "cop" and trie.match("соp") == "сор"  # the fewest changes of script
+    former = lookalike.Former(["привет", "hello"])
+    assert former.token("пpивeт")[0] == "привет" != table_form("пpивeт") and former.token("пpивeт")[1] == former.token("привет")[1]
+    assert former.token("слово") == ("слово", table_form("слово")) and former.token("wоrd") == ("word", "word")
+
+
+#: Letters drawn like Latin ones by their names in the standard, apart from the tables of the package.
+BY_NAME = {
+    "CYRILLIC SMALL LETTER ": {"a": "A", "e": "IE", "o": "O", "p": "ER", "c": "ES", "y": "U", "x": "HA", "i": "BYELORUSSIAN-UKRAINIAN I", "j": "JE", "s": "DZE"},
+    "CYRILLIC CAPITAL LETTER ": {"A": "A", "B": "VE", "E": "IE", "K": "KA", "M": "EM", "H": "EN", "O": "O", "P": "ER", "C": "ES", "T": "TE", "X": "HA", "S": "DZE", "J": "JE"},
+    "GREEK CAPITAL LETTER ": {"A": "ALPHA", "B": "BETA", "E": "EPSILON", "Z": "ZETA", "H": "ETA", "I": "IOTA", "K": "KAPPA", "M": "MU", "N": "NU", "O": "OMICRON", "P": "RHO", "T": "TAU", "Y": "UPSILON", "X": "CHI"},
+    "GREEK SMALL LETTER ": {"o": "OMICRON"},
+}
+TWINS = [(latin, unicodedata.lookup(prefix + name)) for prefix, names in BY_NAME.items() for latin, name in names.items()]
+INVISIBLE = [unicodedata.lookup(n) for n in ("ZERO WIDTH SPACE", "ZERO WIDTH NON-JOINER", "ZERO WIDTH JOINER", "WORD JOINER", "SOFT HYPHEN", "ZERO WIDTH NO-BREAK SPACE", "LEFT-TO-RIGHT MARK", "VARIATION SELECTOR-16")]
+SPACES = [unicodedata.lookup(n) for n in ("NO-BREAK SPACE", "EN SPACE", "THIN SPACE", "IDEOGRAPHIC SPACE", "NARROW NO-BREAK SPACE")]
+
+
+def disguised(text, rng):
+    """A text that looks the same, by rules that use no table of the package."""
+    out = []
+    for c in text:
+        twins = [t for a, t in TWINS if a == c]
+        if rng.random() < 0.2 and twins:
+            c = rng.choice(twins)
+        elif rng.random() < 0.1 and "!" <= c <= "~":
+            c = chr(ord(c) + 0xFEE0)
+        elif rng.random() < 0.3 and c == " ":
+            c = rng.choice(SPACES)
+        elif rng.random() < 0.5 and ord(c) > 127:
+            c = unicodedata.normalize("NFD", c)
+        out.append(c + (rng.choice(INVISIBLE) if rng.random() < 0.05 else ""))
+    return "".join(out)
+
+
+def test_disguised_texts_are_found(spark):
+    """All of 300 disguised texts are in the class of their original and no other; near texts are not."""
+    rng = random.Random(11)
+    words_ = ["Report", "office", "naïve", "Example", "KHz", "jpeg", "type", "café", "A", "x", "SIP", "123"]
+    plain = sorted({" ".join(rng.choice(words_) for _ in range(rng.randint(1, 12))) + f" {i}" for i in range(300)})
+    docs = [(i, t) for i, t in enumerate(plain)] + [(1000 + i, disguised(t, rng)) for i, t in enumerate(plain)] + [(2000 + i, t.swapcase()) for i, t in enumerate(plain)] + [(3000 + i, t.replace("é", "e").replace("ï", "i") + ".") for i, t in enumerate(plain)]
+    expected = {(i, 1000 + i) for i, t in enumerate(plain) if docs[len(plain) + i][1] != t}
+    assert len(expected) > 250
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert result(lookalike.lookalike_pairs(df)) == expected
+    classes = defaultdict(set)
+    for r in lookalike.lookalike_classes(df).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert {tuple(sorted(c)) for c in classes.values()} == expected
+
+
 def brute(docs):
     by = defaultdict(set)
     for k, text in docs:
