@@ -84,21 +84,32 @@ def read_back(texts) -> DataFrame:
     return results.parse(texts).select("filename", "filesize", R.id_text(F.transform("matches", lambda m: m["id"])).alias("ids"), results.is_known(F.col("matches")).alias("known"))
 
 
+#: The time in the archives that are built, and the levels of the deep ones.
+WHEN = (2024, 1, 2, 3, 4, 6)
+DEEP = 12
+
+
 # -- archives built from the documents ------------------------------------------------------------------------------------
 def _packed(kind: str, k: int, text: str) -> bytes:
     data, out = (text or "").encode(), io.BytesIO()
     if kind == "zip":
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr("folder/", "")
-            z.writestr("folder/a.txt", data)
-            z.writestr("b.md", data[:10])
+            z.writestr(zipfile.ZipInfo("folder/", WHEN), "")
+            z.writestr(zipfile.ZipInfo("folder/a.txt", WHEN), data)
+            z.writestr(zipfile.ZipInfo("b.md", WHEN), data[:10])
     elif kind == "tar":
         with tarfile.open(fileobj=out, mode="w") as t:
             info = tarfile.TarInfo("a.txt")
-            info.size = len(data)
+            info.size, info.mtime = len(data), 1_704_164_646
             t.addfile(info, io.BytesIO(data))
     elif kind == "gzip":
         out.write(gzip.compress(data, mtime=0))
+    elif kind == "multi.gz":
+        return gzip.compress(data[:10], mtime=1_704_164_646) + gzip.compress(data[10:], mtime=0)
+    elif kind == "deep":
+        for _ in range(DEEP):
+            data = gzip.compress(data, mtime=0)
+        return data
     elif kind == "nested":
         return gzip.compress(_packed("tar", k, text), mtime=0)
     elif kind == "warc":
@@ -132,10 +143,15 @@ def packed_files(s, d, kind: str) -> DataFrame:
     return T(s, d, "documents").select("doc_id", "text").mapInArrow(run, "path string, content binary")
 
 
-def unpacked(kind: str):
+def unpacked(kind: str, **options):
+    """Everything in the archives; length and hash of what is no archive itself."""
+
     def query(s, d):
-        x = archives.expand(packed_files(s, d, kind)).where("depth > 0")
-        return x.select("path", "mime", "length", F.md5("content").alias("md5"), "depth", F.coalesce("error", F.lit("")).alias("error"))
+        x = archives.expand(packed_files(s, d, kind), **options).where("depth > 0")
+        if kind not in ("nested", "deep"):
+            return x.select("path", "mime", "length", "modified", F.md5("content").alias("md5"), "depth", F.coalesce("error", F.lit("")).alias("error"))
+        leaf = ~(F.startswith("content", F.lit(bytearray(b"\x1f\x8b"))) | (F.substring("content", 258, 5) == F.lit(bytearray(b"ustar"))))
+        return x.select("path", F.when(leaf, F.col("length")).alias("length"), F.when(leaf, F.md5("content")).alias("md5"), "depth", F.coalesce("error", F.lit("")).alias("error"))
 
     return query
 
@@ -205,7 +221,9 @@ def queries():
         "checksums": checksums,
         "checksum_crc_sha512": lambda s, d: T(s, d, "documents").select("doc_id", *(scalars.checksum(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), k).alias(k) for k in ("crc", "sha512"))),
         "uri_escape": uri_query,
-        **{f"unpack_{k}": unpacked(k) for k in ("zip", "tar", "gzip", "nested", "warc", "arc")},
+        **{f"unpack_{k}": unpacked(k) for k in ("zip", "tar", "gzip", "nested", "deep", "warc", "arc")},
+        "unpack_multi_gzip": unpacked("multi.gz"),
+        "unpack_selected": unpacked("nested", kinds=("gzip", "zip")),
         "riff_codes": lambda s, d: riff_hits(packed_files(s, d, "riff"), [riff_catalog()]).select("path", "id", "basis"),
         "container_parts": lambda s, d: container_hits(packed_files(s, d, "container"), [container_catalog()]).select("path", "id", "basis"),
     }
@@ -244,7 +262,7 @@ def oracle_sql():
     compare = f"WITH {_results('a', False)}, {_results('b', True)}, c AS (SELECT coalesce(a.filename, b.filename) AS path, coalesce({_text('a.ids')}, 'MISSING') AS r1, coalesce({_text('b.ids')}, 'MISSING') AS r2 FROM a FULL JOIN b ON a.filename = b.filename)"
     read = f"WITH {_results('a', False)} SELECT filename, filesize, {_text('ids')} AS ids, {_KNOWN} AS known FROM a"
     doc = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
-    out = lambda path, mime, body, depth=1: f"SELECT {path} AS path, {mime} AS mime, octet_length(encode({body})) AS length, md5({body}) AS md5, CAST({depth} AS INTEGER) AS depth, '' AS error FROM d"
+    out = lambda path, mime, body, depth=1, when="": f"SELECT {path} AS path, {mime} AS mime, octet_length(encode({body})) AS length, '{when}' AS modified, md5({body}) AS md5, CAST({depth} AS INTEGER) AS depth, '' AS error FROM d"
     return {
         "priority_edges": f"WITH {_EDGES} SELECT sub, sup FROM edges",
         "priority_closure": f"WITH RECURSIVE {_EDGES}, up(sub, sup) AS (SELECT sub, sup FROM edges UNION SELECT up.sub, e.sup FROM up JOIN edges e ON up.sup = e.sub) SELECT DISTINCT sub, sup FROM up WHERE sub != sup",
@@ -286,11 +304,17 @@ def oracle_sql():
         "checksums": "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "uri_escape": r"""WITH n AS (SELECT DISTINCT filename FROM scan_files WHERE filename IS NOT NULL), e AS (SELECT filename, replace(replace(url_encode(filename), '%2F', '/'), '%3A', ':') AS escaped FROM n)
             SELECT filename, escaped, 'file:/' || regexp_replace(escaped, '^/+', '') AS uri FROM e""",
-        "unpack_zip": f"WITH d AS ({doc}), b AS (SELECT doc_id, encode(t) AS e FROM d) SELECT doc_id || '.zip#folder/a.txt' AS path, '' AS mime, octet_length(e) AS length, md5(e) AS md5, 1 AS depth, '' AS error FROM b UNION ALL SELECT doc_id || '.zip#b.md', '', least(octet_length(e), 10), md5(unhex(hex(e)[1:20])), 1, '' FROM b",
-        "unpack_tar": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.tar#a.txt', '']), chr(39) * 2, 't')}",
+        "unpack_zip": f"WITH d AS ({doc}), b AS (SELECT doc_id, encode(t) AS e FROM d) SELECT doc_id || '.zip#folder/a.txt' AS path, '' AS mime, octet_length(e) AS length, '2024-01-02T03:04:06Z' AS modified, md5(e) AS md5, 1 AS depth, '' AS error FROM b UNION ALL SELECT doc_id || '.zip#b.md', '', least(octet_length(e), 10), '2024-01-02T03:04:06Z', md5(unhex(hex(e)[1:20])), 1, '' FROM b",
+        "unpack_tar": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.tar#a.txt', '']), chr(39) * 2, 't', 1, '2024-01-02T03:04:06Z')}",
+        "unpack_multi_gzip": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.multi.gz#', ' || doc_id || ', '.multi', '']), chr(39) * 2, 't', 1, '2024-01-02T03:04:06Z')}",
+        "unpack_nested": f"""WITH d AS ({doc}), g AS (SELECT doc_id || '.nested#' || doc_id || '.nested' AS path, t FROM d) SELECT path, NULL::BIGINT AS length, NULL AS md5, 1 AS depth, '' AS error FROM g
+            UNION ALL SELECT path || '#a.txt', octet_length(encode(t)), md5(t), 2, '' FROM g""",
+        "unpack_selected": f"SELECT doc_id || '.nested#' || doc_id || '.nested' AS path, NULL::BIGINT AS length, NULL AS md5, 1 AS depth, '' AS error FROM ({doc})",
+        "unpack_deep": f"""WITH d AS ({doc}) SELECT doc_id || repeat('.deep#' || doc_id, CAST(k AS INTEGER)) || '.deep' AS path, CASE WHEN k = {DEEP} THEN octet_length(encode(t)) END AS length, CASE WHEN k = {DEEP} THEN md5(t) END AS md5,
+            CAST(k AS INTEGER) AS depth, '' AS error FROM d, (SELECT unnest(range(1, {DEEP} + 1)) AS k)""",
         "unpack_gzip": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.gzip#', ' || doc_id']), chr(39) * 2, 't')}",
-        "unpack_warc": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.warc#20240102030405/http://example.org/', ' || doc_id']), chr(39) + 'text/plain' + chr(39), 't')}",
-        "unpack_arc": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.arc#20240102030405/http://example.org/', ' || doc_id']), chr(39) + 'text/plain' + chr(39), 't')}",
+        "unpack_warc": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.warc#20240102030405/http://example.org/', ' || doc_id']), chr(39) + 'text/plain' + chr(39), 't', 1, '2024-01-02T03:04:05Z')}",
+        "unpack_arc": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.arc#20240102030405/http://example.org/', ' || doc_id']), chr(39) + 'text/plain' + chr(39), 't', 1, '2024-01-02T03:04:05Z')}",
         "riff_codes": """SELECT doc_id || '.riff' AS path, 'r/1' AS id, 'fourCC matches WAVE' AS basis FROM documents UNION ALL SELECT doc_id || '.riff', 'r/3', 'fourCC matches ISFT' FROM documents
             UNION ALL SELECT doc_id || '.riff', 'r/2', 'fourCC matches bext' FROM documents WHERE doc_id % 2 = 1""",
         "container_parts": """SELECT doc_id || '.container' AS path, 'c/1' AS id, 'container name mimetype with byte match; name part1.xml with name only' AS basis FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 = 1

@@ -1,7 +1,10 @@
-"""Archives and containers opened in Arrow stages: zip, tar, gzip, ARC, WARC, OLE2 and RIFF.
+"""Archives and containers: zip, tar, gzip, ARC, WARC, OLE2 and RIFF.
 
-Each is a flat map from (path, content) rows to entry rows; nothing is
-shuffled, and a broken archive gives its error as a row instead of failing.
+``expand`` is one Arrow stage from file rows to file rows: every archive is
+opened where it is met, whatever the depth, so nothing is shuffled or written
+between the levels. Of each level one entry is held at a time, and rows leave
+in batches bounded by their bytes. A broken archive gives its error as a row
+instead of failing.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,9 +53,12 @@ def identified_archives(files: DataFrame, results: DataFrame, kinds: tuple = KIN
     """The files whose first archive id among their results is of a chosen kind, with that kind."""
     found = results.select("path", "rank", archive_class(F.col("id"), kinds).alias("kind")).where("kind is not null").groupBy("path").agg(F.min_by("kind", "rank").alias("kind"))
     return files.join(found, "path")
-ENTRY = "path string, mime string, length bigint, content binary, error string, parent string, depth int"
-#: Entries that go into one Arrow batch at most.
-BATCH = 64
+
+
+ENTRY = "path string, mime string, length bigint, modified string, content binary, error string, parent string, depth int"
+#: Rows and bytes of one Arrow batch at most (a single larger entry is a batch of its own).
+BATCH, BATCH_BYTES = 256, 1 << 25
+FOLDER = object()
 
 
 def kind_of(data: bytes) -> str | None:
@@ -70,30 +76,36 @@ def kind_of(data: bytes) -> str | None:
     return None
 
 
-def kind_column(content: Column) -> Column:
-    """``kind_of`` as an expression."""
-    starts = lambda b: F.startswith(content, F.lit(bytearray(b)))
-    tar = F.substring(content, 258, 5) == F.lit(bytearray(b"ustar"))
-    return F.when(starts(b"PK\x03\x04"), "zip").when(starts(b"\x1f\x8b"), "gzip").when(tar, "tar").when(starts(b"filedesc://"), "arc").when(starts(b"WARC/"), "warc")
+def _iso(seconds: float | None) -> str:
+    return datetime.fromtimestamp(seconds, UTC).strftime("%Y-%m-%dT%H:%M:%SZ") if seconds else ""
+
 
+def _stamp(digits: str) -> str:
+    """14 digits as a time."""
+    return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z" if len(digits) == 14 else ""
 
-def zip_entries(data: bytes) -> Iterator[tuple[str, str, bytes]]:
-    """(name, mime, content) of the files in the order of the central directory; a NUL tail of a name is cut."""
+
+def zip_entries(data: bytes) -> Iterator[tuple]:
+    """(name, mime, modified, content) in the order of the central directory; a NUL tail of a name is cut."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
-            if not info.is_dir():
-                yield info.filename.split("\0")[0], "", z.read(info)
+            when = "%04d-%02d-%02dT%02d:%02d:%02dZ" % info.date_time
+            yield info.filename.split("\0")[0], "", when, FOLDER if info.is_dir() else z.read(info)
 
 
-def tar_entries(data: bytes):
+def tar_entries(data: bytes) -> Iterator[tuple]:
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
         for m in t:
-            if m.isfile():
-                yield m.name, "", t.extractfile(m).read()
+            if m.isfile() or m.isdir():
+                yield m.name, "", _iso(m.mtime), FOLDER if m.isdir() else t.extractfile(m).read()
+
 
+#: Extensions that the name of what a gzip holds loses.
+GZIP_EXTENSIONS = (".gz", ".z", ".gzip", ".zip")
 
-def gzip_entries(data: bytes, path: str = ""):
-    """The one child, of all members: named by the first header, else by the archive's name without its extension.
+
+def gzip_entries(data: bytes, path: str = "") -> Iterator[tuple]:
+    """The one child, of all members: named by the first header, else as the archive, without an extension of gzip files.
 
     What follows the last whole member and is none is an error after the child.
     """
@@ -105,7 +117,7 @@ def gzip_entries(data: bytes, path: str = ""):
         name = data[at : data.index(b"\0", at)].decode("latin-1")
     if not name:
         base = re.split(r"[/\\#]", path)[-1]
-        name = os.path.splitext(base)[0] or base
+        name = os.path.splitext(base)[0] if os.path.splitext(base)[1] in GZIP_EXTENSIONS else base
     out, rest, broken = [], data, None
     while rest and broken is None:
         member = zlib.decompressobj(31)
@@ -119,7 +131,7 @@ def gzip_entries(data: bytes, path: str = ""):
             out.append(got)
             rest = member.unused_data.lstrip(b"\0")
     if out:
-        yield name, "", b"".join(out)
+        yield name, "", _iso(int.from_bytes(data[4:8], "little")), b"".join(out)
     if broken is not None:
         raise broken
 
@@ -134,7 +146,7 @@ def _body(block: bytes) -> tuple[str, bytes]:
 
 
 def warc_entries(data: bytes):
-    """Payload records (response, resource, conversion, metadata left out): date/URL, declared type, payload."""
+    """Payload records (response, resource, conversion, metadata left out): date/URL, declared type, time, payload."""
     at = 0
     while at < len(data):
         m = re.compile(rb"WARC/[0-9.]+\r\n").match(data, at)
@@ -150,11 +162,11 @@ def warc_entries(data: bytes):
         if fields.get("warc-type") in ("response", "resource", "conversion"):
             mime, body = _body(block)
             stamp = re.sub(r"[^0-9]", "", fields.get("warc-date", ""))[:14]
-            yield f"{stamp}/{fields.get('warc-target-uri', '').strip('<>')}", mime or ("" if fields.get("warc-type") == "response" else fields.get("content-type", "")), body
+            yield f"{stamp}/{fields.get('warc-target-uri', '').strip('<>')}", mime or ("" if fields.get("warc-type") == "response" else fields.get("content-type", "")), _stamp(stamp), body
 
 
 def arc_entries(data: bytes):
-    """URL records: date/URL, declared type, payload."""
+    """URL records: date/URL, declared type, time, payload."""
     at, first = 0, True
     while at < len(data):
         if data[at : at + 1] == b"\n":
@@ -167,7 +179,7 @@ def arc_entries(data: bytes):
         at = end + 1 + size
         if not first:
             mime, body = _body(block)
-            yield f"{parts[2]}/{parts[0]}", mime or parts[3], body
+            yield f"{parts[2]}/{parts[0]}", mime or parts[3], _stamp(parts[2]), body
         first = False
 
 
@@ -175,64 +187,62 @@ def open_archive(kind: str, data: bytes, path: str):
     return gzip_entries(data, path) if kind == "gzip" else {"zip": zip_entries, "tar": tar_entries, "arc": arc_entries, "warc": warc_entries}[kind](data)
 
 
-def _arrow(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
+def trim_web_path(path: str) -> str:
+    """A path of a web archive without a last part that only repeats its folder's name without extension (an unpacked .warc.gz)."""
+    folder, _, last = path.rpartition("/")
+    return folder if folder and last == os.path.splitext(folder.rpartition("/")[2])[0] else path
 
-def _flat_map(df: DataFrame, each, schema: str, arrow: pa.Schema) -> DataFrame:
-    """Rows from each(row) for every row of (path, content, depth)."""
 
-    def run(batches):
-        rows = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                for out in each(*row):
-                    rows.append(out)
-                    if len(rows) >= BATCH:
-                        yield _arrow(arrow, rows)
-                        rows = []
-        if rows:
-            yield _arrow(arrow, rows)
+_ENTRY = pa.schema([("path", pa.string()), ("mime", pa.string()), ("length", pa.int64()), ("modified", pa.string()), ("content", pa.binary()), ("error", pa.string()), ("parent", pa.string()), ("depth", pa.int32())])
 
-    return df.mapInArrow(run, schema)
 
+def expand(files: DataFrame, kinds: tuple = KINDS, max_depth: int | None = None, separator: str = "#", folders: bool = False) -> DataFrame:
+    """The files and everything inside their archives, at any depth: rows of ENTRY.
 
-_ENTRY = pa.schema([("path", pa.string()), ("mime", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string()), ("parent", pa.string()), ("depth", pa.int32())])
-
-
-def expand_once(files: DataFrame, kinds: tuple = KINDS, separator: str = "#") -> DataFrame:
-    """The direct children of the archives among the files, as file rows."""
+    An archive is told by its first bytes, or, for the files themselves, by their column ``kind`` if there is one (null:
+    no archive). Archives of other kinds than ``kinds`` stay closed; those at ``max_depth``, if given, too, and say so in
+    their error. ``folders`` adds the folders that archives name (no content, length -1).
+    """
+    have = set(files.columns)
 
-    def each(path, content, depth):
-        kind = kind_of(content)
-        if kind not in kinds:
-            return
+    def below(path: str, content: bytes, depth: int, kind: str | None):
+        """(row, whether it is an archive's error) of what an archive holds, level by level as it is met."""
+        inner = trim_web_path(path) if separator == "/" and kind in ("arc", "warc") else path
         try:
-            for name, mime, data in open_archive(kind, content, path):
-                yield f"{path}{separator}{name}", mime, len(data), data, None, path, depth + 1
+            for name, mime, modified, data in open_archive(kind, content, path):
+                if data is FOLDER:
+                    if folders:
+                        yield f"{inner}{separator}{name}", mime, -1, modified, None, None, path, depth + 1
+                else:
+                    yield from opened(f"{inner}{separator}{name}", mime, modified, data, path, depth + 1, kind_of(data))
         except Exception as e:  # noqa: BLE001 - a broken archive is a row, not a failure
-            yield f"{path}{separator}", "", 0, None, f"archive error: {e}"[:200], path, depth + 1
-
-    return _flat_map(files.where(kind_column(F.col("content")).isNotNull()).select("path", "content", F.col("depth").cast("int").alias("depth")), each, ENTRY, _ENTRY)
+            yield f"{inner}{separator}", "", 0, "", None, f"archive error: {e}", path, depth + 1
 
+    def opened(path, mime, modified, content, parent, depth, kind):
+        closed = kind in kinds and max_depth is not None and depth >= max_depth
+        yield path, mime, None if content is None else len(content), modified, content, f"archive error: not opened, {max_depth} levels are the limit" if closed else None, parent, depth
+        if kind in kinds and not closed:
+            yield from below(path, content, depth, kind)
 
-def expand(files: DataFrame, kinds: tuple = KINDS, max_depth: int | None = None, separator: str = "#") -> DataFrame:
-    """The files and everything inside their archives, at any depth; archives at ``max_depth``, if given, stay closed and say so in their error."""
-    from sigloom.session import cut
+    def run(batches):
+        rows, size = [], 0
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+        for batch in batches:
+            for path, mime, modified, content, kind in zip(*batch.columns):
+                content = content.as_py()
+                told = kind.as_py() if "kind" in have else kind_of(content or b"")
+                for row in opened(path.as_py(), mime.as_py(), modified.as_py(), content, None, 0, told if content is not None else None):
+                    rows.append(row)
+                    size += len(row[4] or b"")
+                    if len(rows) >= BATCH or size >= BATCH_BYTES:
+                        yield batch_of()
+                        rows, size = [], 0
+        if rows:
+            yield batch_of()
 
-    have = set(files.columns)
-    top = files.select("path", F.col("mime") if "mime" in have else F.lit("").alias("mime"), F.octet_length("content").cast("bigint").alias("length"), "content", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    level, done, n = top, [], 0
-    while max_depth is None or n < max_depth:
-        below = cut(expand_once(level, kinds, separator))
-        if below.isEmpty():
-            break
-        done.append(level)
-        level, n = below, n + 1
-    else:
-        closed = F.when(kind_column(F.col("content")).isin(*kinds), F.lit(f"archive error: not opened, {max_depth} levels are the limit"))
-        level = level.withColumn("error", F.coalesce("error", closed))
-    return reduce(DataFrame.unionByName, [*done, level])
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    kind = F.col("kind") if "kind" in have else F.lit(None).cast("string")
+    return files.select("path", text("mime").alias("mime"), text("modified").alias("modified"), "content", kind.alias("kind")).mapInArrow(run, ENTRY)
 
 
 # -- containers ------------------------------------------------------------------------------------------------------
