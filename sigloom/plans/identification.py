@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from sigloom.functions.frames import BOF, EOF, PREV, Frame, Signature
 from sigloom.operators import matchers
 from sigloom.operators.identify import identify
 from sigloom.operators.resolve import gated, resolve_mime, scored, waiting
-from sigloom.session import spread
+from sigloom.session import cut, shared_path, spread
 from sigloom.session import table as T
-from sigloom.sources import registry
-from sigloom.sources.catalog import Catalog
+from sigloom.sources import registry, results
+from sigloom.sources.catalog import Catalog, load
 
 NS = "demo"
 
@@ -210,6 +212,29 @@ def library_files(s, d) -> DataFrame:
     return packed_files(s, d, "riff").withColumn("mime", F.lit(""))
 
 
+def saved_catalog(s, d) -> DataFrame:
+    """Identification with a catalogue that was saved and loaded again."""
+    path = shared_path(s, "catalogue")
+    demo().save(s, path)
+    return identify(doc_files(s, d), [load(s, path)]).select("path", "rank", "id", "confidence", "basis", "warning")
+
+
+def written_results(s, d) -> DataFrame:
+    """Files scanned, identified, written in three layouts as part files and read back: layout, filename, filesize, format, ids, known."""
+    files = doc_files(s, d).withColumn("length", F.octet_length("content").cast("bigint"))
+    infos = demo().frames(s)["infos"]
+    found = cut(results.from_identification(files, identify(files, [demo()]), infos))
+    out = []
+    for name in ("csv", "yaml", "json"):
+        path = shared_path(s, name)
+        head = {"signature": "demo"}
+        {"csv": lambda p: results.write_csv(found, [NS], p), "yaml": lambda p: results.write_yaml(found, head, [(NS, "demo")], p), "json": lambda p: results.write_json(found, head, p)}[name](path)
+        back = results.read(s, path)
+        ids = F.array_join(F.array_sort(F.transform("matches", lambda m: m["id"])), ";")
+        out.append(back.select(F.lit(name).alias("layout"), "filename", "filesize", F.array_join(F.array_sort(F.transform("matches", lambda m: m["format"])), ";").alias("format"), ids.alias("ids"), results.is_known(F.col("matches")).alias("known"), "errors"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def glob_files(s, d) -> DataFrame:
     """scan_files' names, some of them shaped for the globs."""
     name = F.when(F.pmod("file_no", F.lit(5)) == 0, F.concat(F.lit("a/README-"), F.col("file_no").cast("string"))).when(F.pmod("file_no", F.lit(5)) == 1, F.concat(F.lit("b\\x"), F.col("file_no").cast("string"), F.lit(".note"))).otherwise(F.coalesce("filename", F.lit("")))
@@ -235,6 +260,8 @@ def queries():
         "byte_basis": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "basis"),
         "byte_basis_many": lambda s, d: matchers.byte_hits(doc_files(s, d), [many()]).select("path", "id", "sig_no", "offset", "basis"),
         "byte_notation": notation,
+        "catalog_saved": saved_catalog,
+        "results_written": written_results,
         "identify_gated": lambda s, d: gated(matchers.all_hits(doc_files(s, d), [demo()]), [demo()]).where("id is not null").select("path", "id", "matcher", "sig_no", "phase", "offset", "basis"),
         "identify_loc": lambda s, d: identify(library_files(s, d), [library_demo()]).select("path", "rank", "id", "confidence", "basis", "warning"),
         "text_class": lambda s, d: T(s, d, "documents").select("doc_id", scalars.text_class(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("class")),
@@ -335,6 +362,9 @@ def oracle_sql():
             p AS (SELECT *, CASE WHEN regexp_matches(h[low * 2 + 1:], '^(?:..)*?' || lit) THEN low + length(regexp_extract(h[low * 2 + 1:], '^((?:..)*?)' || lit, 1)) // 2 END AS place FROM c)
             SELECT path, id, sig_no, "offset", basis FROM bytes
             UNION ALL SELECT path, 'n/' || lpad(CAST(k AS VARCHAR), 4, '0'), 1, CASE WHEN k % 4 = 2 THEN size - place ELSE place + 4 END, 'byte match at ' || place || ', 4' FROM p WHERE place IS NOT NULL AND (k % 4 != 1 OR place <= 200)""",
+        "catalog_saved": _mode("conclusive"),
+        "results_written": f"""WITH r AS ({_mode("conclusive")}), g AS (SELECT path, array_to_string(list_sort(list(id)), ';') AS ids, array_to_string(list_sort(list(CASE id WHEN 'd/1' THEN 'Results' WHEN 'd/2' THEN 'Registry note' WHEN 'd/3' THEN 'Signature note' WHEN 'd/4' THEN 'German text' WHEN 'd/5' THEN 'Plain text' ELSE '' END)), ';') AS format FROM r GROUP BY path),
+            {_FILES.strip()} SELECT l.layout, path AS filename, CAST(size AS BIGINT) AS filesize, format, ids, ids != 'UNKNOWN' AS known, '' AS errors FROM g JOIN files USING (path), (VALUES ('csv'), ('yaml'), ('json')) AS l(layout)""",
         "identify_gated": f'WITH {_HITS} SELECT path, id, matcher, sig_no, phase, CAST("offset" AS BIGINT) AS "offset", basis FROM gated',
         "identify_loc": """SELECT doc_id || '.riff' AS path, 1 AS rank, CASE WHEN doc_id % 2 = 1 THEN 'l/1' ELSE 'l/2' END AS id, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE 1 END AS confidence,
             CASE WHEN doc_id % 2 = 1 THEN 'extension match riff; fourCC matches bext' ELSE 'extension match riff' END AS basis, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'match on extension only' END AS warning FROM documents""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,22 @@ def checkpoint_folder(sc) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``checkpoint_folder``."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below ``checkpoint_folder``."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_folder(sc))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that is written and read again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``shared_folder``."""
+    shared_folder(df.sparkSession)
     # new column identities, so that a cut table can be joined and united with itself
     return df.checkpoint(eager=True).select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
 

@@ -1,8 +1,11 @@
 """Results files: readers of six layouts, writers of four, replay.
 
 The canonical table is RESULTS: one row per object with its matches as an
-array. Readers parse one file per row of ``wholetext`` input; an own CSV, which
-may be large, is read by Spark's CSV reader line by line.
+array. Readers parse one file per row of ``wholetext`` input, so a results file
+is one task; the writers make part files, bounded by the partitions, each of
+which is a whole results file of its layout. What cannot be read is a row with
+the reason in ``errors``: a file that is broken from some place on, or a CSV row
+of too few columns.
 """
 
 from __future__ import annotations
@@ -56,6 +59,11 @@ def parse_csv(text: str):
     last = None
     for r in rows:
         if len(r) < len(head):
+            if last:
+                yield tuple(last)
+            last = None
+            if r:
+                yield r[0], None, "", f"results row error: {len(r)} of {len(head)} columns", "", []
             continue
         found = [_match(**{ALIAS.get(head[i], head[i]): r[i] for i in range(a, b)}) for a, b in groups if r[a]]
         if last and last[0] == r[0]:
@@ -158,8 +166,20 @@ def parse_fido(text: str):
 PARSERS = {"csv": parse_csv, "json": parse_json, "yaml": parse_yaml, "droid": parse_droid, "droid_list": parse_droid_list, "fido": parse_fido}
 
 
+def parsed(text: str | None):
+    """The files a results file tells of, then its error, if any."""
+    parser = PARSERS.get(layout(text or ""))
+    if parser is None:
+        yield "", None, "", "results file error: no known layout", "", []
+        return
+    try:
+        yield from parser(text)
+    except (ValueError, KeyError, IndexError, AttributeError, TypeError, csv.Error) as e:
+        yield "", None, "", f"results file error: {e}", "", []
+
+
 def parse(texts: DataFrame) -> DataFrame:
-    """RESULTS of a table (source, text) of whole results files, whatever their layouts; broken ones give nothing."""
+    """RESULTS of a table (source, text) of whole results files, whatever their layouts."""
 
     def arrow(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RESULTS)], schema=_RESULTS)
@@ -168,14 +188,11 @@ def parse(texts: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parser = PARSERS.get(layout(text or ""))
-                try:
-                    rows += [(source, i, *r) for i, r in enumerate(parser(text))] if parser else []
-                except (ValueError, KeyError, csv.Error):
-                    continue
-                if len(rows) >= BATCH:
-                    yield arrow(rows)
-                    rows = []
+                for i, r in enumerate(parsed(text)):
+                    rows.append((source, i, *r))
+                    if len(rows) >= BATCH:
+                        yield arrow(rows)
+                        rows = []
         if rows:
             yield arrow(rows)
 
@@ -215,17 +232,38 @@ def csv_rows(results: DataFrame, namespaces: list[str]) -> DataFrame:
     return x.select(*file, "row", *cols)
 
 
-def json_document(results: DataFrame, head: dict) -> DataFrame:
-    """One JSON line per file in the own layout (all strings escaped), and ``head`` as the members before ``files``."""
+def _files_of(lines: DataFrame, path: str, first: str, last: str | None = None, joiner: str = "") -> None:
+    """Text part files of the column ``value``: every part begins with ``first``, ends with ``last``, and has ``joiner`` before all values but its first."""
+    schema = pa.schema([("value", pa.string())])
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([first])], schema=schema)
+        begun = False
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([v if not (begun or i) else joiner + v for i, v in enumerate(values)], pa.string())], schema=schema)
+            begun = begun or bool(values)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last])], schema=schema)
+
+    lines.select("value").mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def json_lines(results: DataFrame) -> DataFrame:
+    """seq, value: the JSON object of each file in the own layout; all strings are escaped."""
     m = F.transform("matches", lambda m: F.struct(*(m[f].alias(f) for f in FIELDS)))
-    line = F.to_json(F.struct("filename", "filesize", "modified", "errors", m.alias("matches")))
-    return results.select("seq", line.alias("value"))
+    return results.select("seq", F.to_json(F.struct("filename", "filesize", "modified", "errors", m.alias("matches"))).alias("value"))
+
 
+def write_json(results: DataFrame, head: dict, path: str) -> None:
+    """The JSON layout as part files, each with ``head`` as the members before ``files``."""
+    _files_of(json_lines(results), path, json.dumps(head, ensure_ascii=False)[:-1] + ',"files":[', "]}", ",")
 
-def write_json(results: DataFrame, head: dict) -> str:
-    """The whole JSON document of a bounded result (a report for people), files in order."""
-    files = ",".join(r.value for r in json_document(results, head).orderBy("seq").toLocalIterator())
-    return json.dumps(head, ensure_ascii=False)[:-1] + ',"files":[' + files + "]}\n"
+
+def write_yaml(results: DataFrame, head: dict, identifiers: list[tuple[str, str]], path: str) -> None:
+    """The YAML layout as part files."""
+    docs = yaml_documents(results).select(F.regexp_replace("value", r"\n\z", "").alias("value"))
+    _files_of(docs, path, yaml_head(head, identifiers).removesuffix("\n"))
 
 
 def yaml_documents(results: DataFrame) -> DataFrame:
@@ -272,16 +310,28 @@ def droid_rows(results: DataFrame, hash_name: str = "md5") -> DataFrame:
 
 
 def from_identification(files: DataFrame, resolved: DataFrame, infos: DataFrame) -> DataFrame:
-    """RESULTS of identification output: files (path, length), resolved rows and the catalogue's infos."""
+    """RESULTS of identification output: files (path; length, modified, error, hash if there), resolved rows and the catalogue's infos.
+
+    seq is derived from the path, as a running number would need a global order.
+    """
+    have = set(files.columns)
+    own = lambda c, t: F.col(c).cast(t) if c in have else F.lit(None).cast(t)
     r = resolved.join(infos.select("ns", "id", F.col("name").alias("format"), "version", F.col("mime").alias("type")), ["ns", "id"], "left")
     m = F.struct("ns", "rank", F.struct("ns", "id", F.coalesce("format", F.lit("")).alias("format"), F.coalesce("version", F.lit("")).alias("version"), F.coalesce("type", F.lit("")).alias("mime"), "basis", "warning").alias("m"))
-    g = r.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: x["m"]).alias("matches"))
-    return files.select("path", F.col("length").alias("filesize")).join(g, "path", "left").select(F.lit("scan").alias("source"), F.lit(0).cast("bigint").alias("seq"), F.col("path").alias("filename"), "filesize", F.lit("").alias("modified"), F.lit("").alias("errors"), F.lit("").alias("hash"), "matches")
+    told = F.max("errors").alias("told") if "errors" in resolved.columns else F.lit("").alias("told")
+    g = r.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: x["m"]).alias("matches"), told)
+    slim = files.select("path", own("length", "bigint").alias("filesize"), F.coalesce(own("modified", "string"), F.lit("")).alias("modified"), own("error", "string").alias("error"), F.coalesce(own("hash", "string"), F.lit("")).alias("hash"))
+    errors = F.concat_ws("; ", F.nullif("error", F.lit("")), F.nullif("told", F.lit("")))
+    return slim.join(g, "path", "left").select(F.lit("scan").alias("source"), F.xxhash64("path").alias("seq"), F.col("path").alias("filename"), "filesize", "modified", errors.alias("errors"), "hash", "matches")
 
 
 def write_csv(results: DataFrame, namespaces: list[str], path: str) -> None:
-    """The CSV layout as a folder of part files."""
-    csv_rows(results, namespaces).drop("seq", "row").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The CSV layout as part files: the file's columns, then a group of columns per namespace, under one header."""
+    rows = csv_rows(results, namespaces)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    columns = [c for c in rows.columns if c not in ("seq", "row")]
+    head = ["filename", "filesize", "modified", "errors", *(["namespace", *FIELDS[1:]] * len(namespaces))]
+    _files_of(rows.select(F.concat_ws(",", *map(quoted, columns)).alias("value")), path, ",".join(head))
 
 
-__all__ = ["read", "parse", "layout", "csv_rows", "json_document", "write_json", "yaml_documents", "yaml_head", "droid_rows", "from_identification", "write_csv", "is_known", "has_warning"]
+__all__ = ["read", "parse", "layout", "csv_rows", "json_lines", "write_json", "write_yaml", "yaml_documents", "yaml_head", "droid_rows", "from_identification", "write_csv", "is_known", "has_warning"]

@@ -273,6 +273,10 @@ def test_results_layouts(spark):
     ]
     df = spark.createDataFrame(texts, "source string, text string")
     assert [results.layout(t) for _, t in texts] == [s for s, _ in texts]
+    bad = [("cut", '{"files": ['), ("short", 'filename,filesize,modified,errors,namespace,id,basis\na,1\nb,2,,,p,fmt/1,\n')]
+    told = {(r.source, r.filename): r.errors for r in results.parse(spark.createDataFrame(bad + texts[-1:], "source string, text string")).collect()}
+    assert told["cut", ""].startswith("results file error") and told["short", "a"] == "results row error: 2 of 7 columns" and told["short", "b"] == "" and "layout" in told["unknown", ""]
+    df = df.where("source != 'unknown'")
     got = {(r.source, r.filename): r for r in results.parse(df).collect()}
     ids = {k: [m.id for m in r.matches] for k, r in got.items()}
     assert ids == {("csv", "a,1"): ["fmt/1", "fdd1", "fmt/2"], ("csv", "b"): ["UNKNOWN", ""], ("json", "a\nb"): ["fmt/1"], ("yaml", "it's"): ["fmt/1", "UNKNOWN"], ("droid", "/d/a"): ["fmt/1", "fmt/2"], ("droid", "/d/b"): ["UNKNOWN"], ("droid_list", "/a,b/c"): ["fmt/1", "fmt/2"], ("droid_list", "/d"): ["UNKNOWN"], ("fido", "/a"): ["fmt/1", "fmt/2"], ("fido", "/b"): ["UNKNOWN"]}
@@ -286,14 +290,16 @@ def test_written_results_read_back(spark, tmp_path):
     m = [("p", "fmt/1", "One", "1", "m/1", "byte match at 0, 4", ""), ("p", "fmt/2", "Two, \"2\"", "", "", "", "it's odd")]
     rows = [("s", 0, "a\nb \"q\"", 5, "2024-01-01T00:00:00Z", "", "", m), ("s", 1, "plain.txt", None, "", "bad", "", [])]
     df = spark.createDataFrame(rows, results.RESULTS)
-    whole = results.write_json(df, {"signature": "x", "identifiers": [{"name": "p"}]})
+    results.write_json(df, {"signature": "x", "identifiers": [{"name": "p"}]}, str(tmp_path / "json"))
+    results.write_yaml(df.repartition(3), {"signature": "x"}, [("p", "d")], str(tmp_path / "yaml"))
+    results.write_csv(df, ["p"], str(tmp_path / "csv"))
     yaml = results.yaml_head({"signature": "x"}, [("p", "d")]) + "".join(r.value for r in results.yaml_documents(df).orderBy("seq").collect())
     assert 'filename : "a\\nb \\"q\\""' in yaml
-    for text in (whole, yaml):
-        back = results.parse(spark.createDataFrame([("x", text)], "source string, text string")).orderBy("seq").collect()
+    whole = results.parse(spark.createDataFrame([("x", yaml)], "source string, text string"))
+    for found in (whole, *(results.read(spark, str(tmp_path / k)) for k in ("json", "yaml", "csv"))):
+        back = found.orderBy("filename").collect()
         assert [(r.filename, r.filesize, r.errors) for r in back] == [(r[2], r[3], r[5]) for r in rows]
         assert [tuple(x) for x in back[0].matches] == m
-    results.write_csv(df, ["p"], str(tmp_path / "csv"))
     droid = {(r.FILE_PATH, r.PUID): r for r in results.droid_rows(df).collect()}
     assert len(droid) == 3 and droid["plain.txt", None].FORMAT_COUNT == 0 and droid["plain.txt", None].STATUS == "bad"
 
