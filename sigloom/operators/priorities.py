@@ -9,7 +9,9 @@ are no edges; loops are allowed; a node is never its own superior.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.session import cut
@@ -20,15 +22,22 @@ def clean(edges: DataFrame) -> DataFrame:
     return edges.where("sub is not null and sup is not null and sub != sup and cast(sub as string) != '' and cast(sup as string) != ''").select("sub", "sup").distinct()
 
 
+def grown(start: DataFrame, step) -> DataFrame:
+    """``start`` and all rows that ``step`` (fresh rows -> rows) leads to. Every row is written once, in the round that finds it."""
+    parts = [start]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        fresh = cut(step(parts[-1]).distinct().join(known, start.columns, "left_anti"))
+        if fresh.isEmpty():
+            return known
+        parts.append(fresh)
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """All (sub, sup) pairs joined by a chain of edges."""
+    """All (sub, sup) pairs joined by a chain of edges. Loops make this quadratic in their nodes, as every pair of them is a row."""
     e = cut(clean(edges))
-    known, fresh = e, e
-    while not fresh.isEmpty():
-        step = fresh.alias("a").join(e.alias("b"), F.col("a.sup") == F.col("b.sub")).select(F.col("a.sub").alias("sub"), F.col("b.sup").alias("sup")).where("sub != sup").distinct()
-        fresh = cut(step.join(known, ["sub", "sup"], "left_anti"))
-        known = cut(known.unionByName(fresh))
-    return known
+    after = e.select(F.col("sub").alias("sup"), F.col("sup").alias("next"))
+    return grown(e, lambda fresh: fresh.join(after, "sup").select("sub", F.col("next").alias("sup")).where("sub != sup"))
 
 
 def apply(hits: DataFrame, edges: DataFrame, group: str = "grp") -> DataFrame:
@@ -65,17 +74,28 @@ def relation_edges(related: DataFrame) -> DataFrame:
     return clean(x)
 
 
+def read_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(set, member) of sets files: JSON objects from a set's name to its list of members."""
+    df = spark.read.text(path, wholetext=True)
+    sets = F.from_json("value", "map<string, array<string>>")
+    return df.select(F.explode(sets).alias("set", "members")).select("set", F.explode("members").alias("member"))
+
+
 def expand_sets(members: DataFrame, wanted: list[str]) -> DataFrame:
-    """(set, member) of the wanted sets with members that are @sets expanded, whatever the depth and the loops."""
+    """(set, member) of the wanted sets with members that are @sets expanded, whatever the depth and the loops.
+
+    A set that is named and exists nowhere is an error, as in a list that misses formats without telling.
+    """
     member = F.regexp_extract("member", r"^\s*(\S+)", 1)
     rows = cut(members.select("set", member.alias("member")).where("member != ''").distinct())
-    fresh = cut(rows.where(F.col("set").isin(wanted)))
-    known = fresh
-    while not fresh.where("member like '@%'").isEmpty():
-        step = fresh.where("member like '@%'").select("set", F.expr("substring(member, 2)").alias("inner")).join(rows.withColumnRenamed("set", "inner"), "inner").select("set", "member").distinct()
-        fresh = cut(step.join(known, ["set", "member"], "left_anti"))
-        known = cut(known.unionByName(fresh))
-    return known.where("member not like '@%'")
+    inner = rows.withColumnRenamed("set", "inner")
+    start = cut(rows.where(F.col("set").isin(wanted)))
+    out = grown(start, lambda fresh: fresh.where("member like '@%'").select("set", F.expr("substring(member, 2)").alias("inner")).join(inner, "inner").select("set", "member"))
+    named = out.where("member like '@%'").select(F.expr("substring(member, 2)").alias("set")).union(members.sparkSession.createDataFrame([(w,) for w in wanted], "set string"))
+    lost = [r.set for r in named.distinct().join(rows.select("set"), "set", "left_anti").orderBy("set").limit(10).collect()]
+    if lost:
+        raise ValueError(f"unknown sets: {', '.join(lost)}")
+    return out.where("member not like '@%'")
 
 
 def format_order(c) -> list:

@@ -317,6 +317,18 @@ def test_priorities_and_sets(spark):
     assert [r.id for r in ids.orderBy(*priorities.format_order("id")).collect()] == ["fmt/2", "fmt/95", "fmt/354", "x-fmt/3", "x-fmt/20", "fdd1"]
 
 
+def test_sets_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"wood": ["oak", "ash tree", "@fruit"], "fruit": ["pear", "@wood"]}))
+    (tmp_path / "b.json").write_text(json.dumps({"stone": ["flint", "@gems"]}))
+    sets = priorities.read_sets(spark, str(tmp_path))
+    assert {tuple(r) for r in priorities.expand_sets(sets, ["wood"]).collect()} == {("wood", m) for m in ("oak", "ash", "pear")}
+    for wanted in (["stone"], ["paper"]):
+        with pytest.raises(ValueError, match="unknown sets: (gems|paper)"):
+            priorities.expand_sets(sets, wanted)
+
+
 def test_releases(spark, tmp_path):
     note = '<release_note><release_date>{d}</release_date><release_outline type="{k}"><format><puid type="fmt">{p}</puid></format><format><puid type="fmt">9</puid></format></release_outline></release_note>'
     (tmp_path / "n.xml").write_text("<release_notes>" + note.format(d="1 January 2010", k="new", p=1) + note.format(d="5 May 2010", k="updated", p=2) + note.format(d="6 May 2011", k="signatures", p=3) + "</release_notes>")
