@@ -48,6 +48,13 @@ BINDINGS = [
     ("http://x/Q2", "Two", None, "two", None, "http://x/Q8815", None, None, "http://x/Q35436009", "4", "magic"),
     ("http://x/Q3", "Three", None, None, "a/three", "http://x/Q98056564", "Source", "no date", None, "-1", "ab.{4}cd"),
     ("http://x/Q4", "Four", "fmt/9", None, None, "http://x/Q5532625", "Source", None, "http://x/Q77", None, "{0000}"),
+    ("http://x/Q6", "Six", None, "six", None, "http://x/Q82828", "Source", "2020-01-01", "http://x/Q1148480", "0", "61"),
+    ("http://x/Q6", "Six", None, "six", None, "http://x/Q82828", "Source", "2020-01-01", "http://x/Q1148480", "2", "62"),
+    ("http://x/Q7", "Seven", None, None, None, "http://x/Q82828", "", "2020-01-01", None, "x", "0x71"),
+    ("http://x/Q7", "Seven", None, None, None, "http://x/Q82828", "Source", None, None, "1", "72"),
+    ("http://x/Q7", "Seven", None, None, None, "http://x/Q82828", "Source", None, None, "1", "\\x73"),
+    ("http://x/Q8", "Eight", None, None, None, "http://x/Q82828", "Source", "2020", "http://x/Q35436009", "1", "81"),
+    ("http://x/Q8", "Eight", None, None, None, "http://x/Q8815", "Source", "2020", "http://x/Q1148480", "1", "end"),
     ("http://x/Q5", "Five", "fmt/5", "five", None, None, None, None, None, None, None),
 ]
 COLUMNS = "uri string, uriLabel string, puid string, extension string, mimetype string, encoding string, referenceLabel string, date string, relativity string, offset string, sig string"
@@ -140,6 +147,19 @@ def _list(rows: list) -> str:
     return ", ".join("(" + ", ".join(map(quote, [r] if isinstance(r, str) else r)) + ")" for r in rows)
 
 
+_LINKED = rf"""v AS (SELECT * FROM (VALUES {_list(BINDINGS)}) AS v(uri, name, puid, extension, mimetype, encoding, reference, date, relativity, "offset", sig)),
+    e AS (SELECT *, regexp_extract(uri, '[^/]*$') AS id, CASE regexp_extract(encoding, '[^/]*$') WHEN 'Q82828' THEN 'hexadecimal' WHEN 'Q98056596' THEN 'hexadecimal' WHEN 'Q8815' THEN 'ascii' WHEN 'Q5532625' THEN 'guid' WHEN 'Q98056564' THEN 'perl' WHEN 'Q35432091' THEN 'pronom' ELSE 'unknown' END AS enc,
+      CASE WHEN relativity IS NULL THEN 'BOF' WHEN relativity LIKE '%Q35436009' THEN 'BOF' WHEN relativity LIKE '%Q1148480' THEN 'EOF' END AS rel, regexp_replace(regexp_replace(sig, '\s', '', 'g'), '\\x|0x', '', 'g') AS bare FROM v),
+    b AS (SELECT *, CASE enc WHEN 'guid' THEN NULL WHEN 'pronom' THEN sig WHEN 'ascii' THEN hex(encode(sig)) WHEN 'perl' THEN upper(regexp_replace(regexp_replace(regexp_replace(sig, '\\x', '', 'g'), '\.\{{(\d+)\}}', '{{\1}}', 'g'), '\s', '', 'g')) ELSE CASE WHEN regexp_full_match(bare, '([0-9A-Fa-f]{{2}})+') THEN upper(bare) END END AS notation FROM e),
+    n AS (SELECT id, count(DISTINCT [sig, coalesce("offset", ''), coalesce(encoding, ''), coalesce(relativity, '')]) AS n, count(DISTINCT relativity) AS places, count(DISTINCT sig) AS sigs, count(DISTINCT coalesce(encoding, '')) AS encodings, count(DISTINCT enc) AS encs, count(DISTINCT rel) AS sides,
+      count(DISTINCT [sig, coalesce("offset", ''), coalesce(encoding, ''), relativity]) FILTER (WHERE relativity IS NOT NULL) AS stated, bool_or(rel IS NULL OR notation IS NULL) AS broken, count(DISTINCT CASE WHEN rel = 'EOF' THEN notation END) AS ends FROM b WHERE sig IS NOT NULL GROUP BY id),
+    sound AS (SELECT id, NOT broken AND (n = 2 AND (places = 2 OR sigs = 2) OR (n <= 2 OR encodings = 1 AND places <= 1) AND (stated = 0 OR stated = n)) AND ends <= 1 AND NOT (sides = 2 AND encs > 1) AS sound FROM n),
+    s AS (SELECT b.*, sound FROM b JOIN sound USING (id) WHERE sig IS NOT NULL),
+    lint AS (SELECT id AS uri, 'no encoding' AS code, false AS critical FROM s WHERE sound AND enc = 'unknown' UNION ALL SELECT id, 'no relativity', false FROM s WHERE sound AND relativity IS NULL UNION ALL SELECT id, 'bad offset', false FROM s WHERE sound AND "offset" IS NOT NULL AND try_cast("offset" AS INTEGER) IS NULL
+      UNION ALL SELECT id, 'no offset', false FROM s WHERE sound AND "offset" IS NULL UNION ALL SELECT id, 'no provenance', false FROM s WHERE sound AND coalesce(reference, '') = '' UNION ALL SELECT id, 'no provenance date', false FROM s WHERE sound AND coalesce(date, '') = ''
+      UNION ALL SELECT id, 'bad heuristic', true FROM s WHERE NOT sound UNION ALL SELECT id, 'unknown relativity', false FROM s WHERE NOT sound AND rel IS NULL UNION ALL SELECT id, 'bad sequence', false FROM s WHERE NOT sound AND notation IS NULL)"""
+
+
 def oracle_sql():
     return {
         "droid_priorities": _values("fmt/1|fmt/2", "fmt/1|fmt/4", "fmt/2|fmt/4"),
@@ -157,10 +177,14 @@ def oracle_sql():
         "library_matches": _values("0:fdd1", "2:fdd2", "3:fdd3"),
         "library_priorities": _values("fdd1|fdd2"),
         "library_borrowed": _values("fdd1", "fdd2", "fdd3"),
-        "linked_records": "SELECT * FROM (VALUES ('Q1', 'One', 'fmt/1,fmt/2', 'one', '4142@BOF0,5A@EOF0'), ('Q2', 'Two', '', 'two', '6D61676963@BOF4'), ('Q3', 'Three', '', '', 'AB{4}CD@BOF-1'), ('Q4', 'Four', 'fmt/9', '', '-@BOF0'), ('Q5', 'Five', 'fmt/5', 'five', '')) AS v(uri, name, puids, extensions, signatures)",
-        "linked_lint": "SELECT * FROM (VALUES ('Q2', 'no provenance', false), ('Q3', 'no relativity', false), ('Q3', 'bad offset', true), ('Q3', 'bad date', false), ('Q4', 'unknown relativity', true), ('Q4', 'no offset', false), ('Q4', 'bad signature', true)) AS v(uri, code, critical)",
-        "linked_summary": "SELECT 5::BIGINT AS n_records, 3::BIGINT AS with_puid, 3::BIGINT AS with_extension, 2::BIGINT AS with_mime, 4::BIGINT AS with_signature, 1::BIGINT AS with_several_puids, 7::BIGINT AS n_findings, 3::BIGINT AS n_critical",
-        "sets_inline": "SELECT * FROM (VALUES ('v', 'a'), ('v', 'b'), ('v', 'c'), ('v', 'd'), ('x', 'z')) AS v(set, member)",
+        "linked_records": f"""WITH {_LINKED} SELECT b.id AS uri, max(name) AS name, coalesce(array_to_string(list_sort(list(DISTINCT puid)), ','), '') AS puids, coalesce(array_to_string(list_sort(list(DISTINCT lower(extension))), ','), '') AS extensions,
+            coalesce(array_to_string(list_transform(list_sort(list(DISTINCT [notation, rel, coalesce(CAST(try_cast("offset" AS INTEGER) AS VARCHAR), '0'), coalesce(reference, ''), coalesce(date, '')]) FILTER (WHERE sig IS NOT NULL AND sound)), lambda x: x[1] || '@' || x[2] || x[3]), ','), '') AS signatures FROM b LEFT JOIN sound USING (id) GROUP BY b.id""",
+        "linked_lint": f"WITH {_LINKED} SELECT DISTINCT * FROM lint",
+        "linked_summary": f"""WITH {_LINKED}, r AS (SELECT b.id, count(DISTINCT puid) AS p, count(extension) AS e, count(mimetype) AS m, bool_or(coalesce(sound, false)) AS s FROM b LEFT JOIN sound USING (id) GROUP BY b.id), l AS (SELECT DISTINCT * FROM lint)
+            SELECT count(*) AS n_records, count(*) FILTER (WHERE p > 0) AS with_puid, count(*) FILTER (WHERE e > 0) AS with_extension, count(*) FILTER (WHERE m > 0) AS with_mime, count(*) FILTER (WHERE s) AS with_signature, count(*) FILTER (WHERE p > 1) AS with_several_puids,
+              (SELECT count(*) FROM l) AS n_findings, (SELECT count(*) FILTER (WHERE critical) FROM l) AS n_critical FROM r""",
+        "sets_inline": f"""WITH RECURSIVE m AS (SELECT set, regexp_extract(member, '^\\s*(\\S+)', 1) AS member FROM (VALUES {_list(INLINE_SETS)}) AS v(set, member)), up AS (SELECT set, member FROM m WHERE set IN ('v', 'x') UNION SELECT up.set, m.member FROM up JOIN m ON up.member = '@' || m.set)
+            SELECT set, member FROM up WHERE NOT starts_with(member, '@')""",
         "names_inline": rf"""WITH n AS (SELECT * FROM (VALUES {_list(NAMES)}) AS v(name)), p AS (SELECT name, CASE WHEN regexp_matches(name, '(^|[/#])https?://') THEN regexp_extract(name, '(?:^|[/#])https?://[^/?#]*([^?#]*)', 1) ELSE name END AS path FROM n),
             b AS (SELECT name, regexp_extract(regexp_replace(path, '[/\\]+$', ''), '[^/\\]*$') AS base FROM p) SELECT name, base, lower(regexp_extract(base, '\.([^.]*)$', 1)) AS ext FROM b""",
         "closure_inline": f"""WITH RECURSIVE e AS (SELECT DISTINCT sub, sup FROM (VALUES {_list(CHAIN)}) AS v(sub, sup) WHERE sub != sup AND sub != '' AND sup != ''),

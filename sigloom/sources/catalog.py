@@ -47,6 +47,8 @@ class Catalog:
     containers: list = field(default_factory=list)
     parts: list = field(default_factory=list)
     priorities: list = field(default_factory=list)
+    #: (ns, id, text): what a build had to leave out
+    notes: list = field(default_factory=list)
     #: byte_sigs rows of a catalogue that was saved: compiled, so they match, but can be rewritten no more
     stored: list = field(default_factory=list)
 
