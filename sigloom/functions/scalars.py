@@ -63,10 +63,6 @@ def archive_uri(kind: Column, parent: Column, inner: Column) -> Column:
     return F.concat(kind, F.lit(":"), parent, F.lit("!/"), uri_escape(inner))
 
 
-def archive_path(parent: Column, inner: Column, separator: str = "#") -> Column:
-    return F.concat(parent, F.lit(separator), inner)
-
-
 def parent_folder(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]?[^/\\]*$", "")
 
@@ -77,9 +73,15 @@ def evidence(basis: Column) -> Column:
 
 
 def version_numbers(c: Column) -> Column:
-    """a.b.c as three ints; missing or broken parts are 0."""
-    parts = F.split(c, r"\.")
-    return F.array(*(F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in range(3)))
+    """a.b.c as three ints, 0.0.0 for the empty text; null unless there are exactly three numbers."""
+    parts = F.transform(F.split(c, r"\."), lambda p: p.try_cast("int"))
+    whole = (F.size(parts) == 3) & F.forall(parts, lambda p: p.isNotNull())
+    return F.when(c == "", F.array(F.lit(0), F.lit(0), F.lit(0))).when(whole, parts)
+
+
+def decoded_path(c: Column) -> Column:
+    """A path that was given as URL-safe base64; null where it is none."""
+    return F.try_to_binary(F.translate(c, "-_", "+/"), F.lit("base64")).cast("string")
 
 
 def rfc3339(c: Column) -> Column:
@@ -97,10 +99,6 @@ def label(name: Column, version: Column) -> Column:
     return F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif(version, F.lit("")))
 
 
-def last_part(c: Column) -> Column:
-    return F.substring_index(c, "/", -1)
-
-
 def path_folders(path: Column) -> Column:
     """All folders above a path, outermost first."""
     parts = F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]")

@@ -171,6 +171,21 @@ def uri_query(s, d):
     return names.select("filename", scalars.uri_escape(F.col("filename")).alias("escaped"), scalars.file_uri(F.col("filename")).alias("uri"))
 
 
+def path_helpers(s, d):
+    """Per file: its folders, the URI of an entry were it a zip, its time, and its name out of URL-safe base64."""
+    f = T(s, d, "scan_files").where("filename is not null").select("file_no", "filename", "modified").distinct()
+    name = F.col("filename")
+    coded = F.translate(F.base64(F.encode(name, "UTF-8")), "+/\r\n", "-_")
+    uri = scalars.archive_uri(F.lit("zip"), scalars.file_uri(name), F.lit("a b/ü.txt"))
+    return f.select("file_no", "filename", F.array_join(scalars.path_folders(name), "|").alias("folders"), uri.alias("uri"), scalars.rfc3339(F.col("modified")).alias("modified"), scalars.decoded_path(coded).alias("decoded"))
+
+
+def version_helpers(s, d):
+    """Per format: its label and the numbers of its version."""
+    r = T(s, d, "format_registry")
+    return r.select("ident_id", scalars.label(F.col("format_name"), F.col("format_version")).alias("label"), F.array_join(scalars.version_numbers(F.concat(F.coalesce("format_version", F.lit("")), F.lit(".0.1"))), ".").alias("numbers"))
+
+
 def checksums(s, d):
     content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return T(s, d, "documents").select("doc_id", *(scalars.checksum(content, k).alias(k) for k in ("md5", "sha1", "sha256")))
@@ -221,6 +236,8 @@ def queries():
         "checksums": checksums,
         "checksum_crc_sha512": lambda s, d: T(s, d, "documents").select("doc_id", *(scalars.checksum(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), k).alias(k) for k in ("crc", "sha512"))),
         "uri_escape": uri_query,
+        "path_helpers": path_helpers,
+        "version_helpers": version_helpers,
         **{f"unpack_{k}": unpacked(k) for k in ("zip", "tar", "gzip", "nested", "deep", "warc", "arc")},
         "unpack_multi_gzip": unpacked("multi.gz"),
         "unpack_selected": unpacked("nested", kinds=("gzip", "zip")),
@@ -304,6 +321,10 @@ def oracle_sql():
         "checksums": "SELECT doc_id, md5(coalesce(text, '')) AS md5, sha1(coalesce(text, '')) AS sha1, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "uri_escape": r"""WITH n AS (SELECT DISTINCT filename FROM scan_files WHERE filename IS NOT NULL), e AS (SELECT filename, replace(replace(url_encode(filename), '%2F', '/'), '%3A', ':') AS escaped FROM n)
             SELECT filename, escaped, 'file:/' || regexp_replace(escaped, '^/+', '') AS uri FROM e""",
+        "path_helpers": r"""WITH n AS (SELECT DISTINCT file_no, filename, modified FROM scan_files WHERE filename IS NOT NULL), e AS (SELECT *, 'file:/' || regexp_replace(replace(replace(url_encode(replace(filename, '\', '/')), '%2F', '/'), '%3A', ':'), '^/+', '') AS uri, string_split_regex(regexp_replace(filename, '[/\\]+$', ''), '[/\\]') AS parts FROM n)
+            SELECT file_no, filename, array_to_string(list_transform(range(1, greatest(len(parts) - 1, 1) + 1), lambda i: array_to_string(parts[1:i], '/')), '|') AS folders, 'zip:' || uri || '!/a%20b/%C3%BC.txt' AS uri, strftime(modified, '%Y-%m-%dT%H:%M:%S') || 'Z' AS modified, filename AS decoded FROM e""",
+        "version_helpers": r"""SELECT ident_id, concat_ws(' ', nullif(format_name, ''), nullif(format_version, '')) AS label,
+            CASE WHEN regexp_full_match(coalesce(format_version, '') , '[+-]?\d+') AND try_cast(format_version AS INTEGER) IS NOT NULL THEN try_cast(format_version AS INTEGER) || '.0.1' END AS numbers FROM format_registry""",
         "unpack_zip": f"WITH d AS ({doc}), b AS (SELECT doc_id, encode(t) AS e FROM d) SELECT doc_id || '.zip#folder/a.txt' AS path, '' AS mime, octet_length(e) AS length, '2024-01-02T03:04:06Z' AS modified, md5(e) AS md5, 1 AS depth, '' AS error FROM b UNION ALL SELECT doc_id || '.zip#b.md', '', least(octet_length(e), 10), '2024-01-02T03:04:06Z', md5(unhex(hex(e)[1:20])), 1, '' FROM b",
         "unpack_tar": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.tar#a.txt', '']), chr(39) * 2, 't', 1, '2024-01-02T03:04:06Z')}",
         "unpack_multi_gzip": f"WITH d AS ({doc}) {out(chr(39).join(['doc_id || ', '.multi.gz#', ' || doc_id || ', '.multi', '']), chr(39) * 2, 't', 1, '2024-01-02T03:04:06Z')}",

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.functions.frames import Signature
+from sigloom.functions.patterns import Seq
 
 #: relation -> columns of its rows after (ns, id)
 RELATIONS = {
@@ -110,9 +111,26 @@ class Catalog:
         return replace(self, priorities=out)
 
     def implicit_priorities(self) -> list[tuple]:
-        """(ns, id, superior) where a signature of id lies inside one of superior."""
-        sigs = self.signatures
-        return sorted({(a[0], a[1], b[1]) for a in sigs for b in sigs if a[0] == b[0] and a[1] != b[1] and b[2].contains(a[2]) and not a[2].contains(b[2])})
+        """(ns, id, superior) where a signature of id lies inside one of superior.
+
+        A signature that lies inside another has its longest literal inside one of the other's, so only the pairs that an
+        automaton over these literals finds are compared.
+        """
+        from sigloom.operators.matchers import Keys
+
+        literals = [[f.pattern.data.decode("latin-1") for f in s.frames if isinstance(f.pattern, Seq)] for _, _, s, _ in self.signatures]
+        by: dict[str, list[int]] = {}
+        for n, own in enumerate(literals):
+            if own:
+                by.setdefault(max(own, key=len), []).append(n)
+        keys, out = Keys(by), set()
+        for n, own in enumerate(literals):
+            outer = self.signatures[n]
+            for m in {m for text in own for key in keys.held(text) for m in by[key]}:
+                inner = self.signatures[m]
+                if inner[0] == outer[0] and inner[1] != outer[1] and outer[2].contains(inner[2]) and not inner[2].contains(outer[2]):
+                    out.add((inner[0], inner[1], outer[1]))
+        return sorted(out)
 
     def missing_priorities(self) -> list[tuple]:
         known = set(self.closed_priorities().priorities)
@@ -133,6 +151,22 @@ class Catalog:
         pick = lambda rel: [r[2:] for r in rel if r[1] == ident]
         return {n: pick(getattr(self, n)) for n in ("infos", "globs", "mimes", "xmls", "fourccs", "texts", "containers", "parts", "priorities")} | {"byte_sigs": [s.regexes() for _, i, s, _ in self.signatures if i == ident]}
 
+    def recognise(self, relation: str, index: int) -> str:
+        """What row number ``index`` of a relation stands for, as ``ns: id (signature n/m)``; ``not recognised`` beyond its end."""
+        rows = self.rows(relation)
+        if not 0 <= index < len(rows):
+            return "not recognised"
+        r = rows[index]
+        return f"{r[0]}: {r[1]}" + (f" (signature {r[2]}/{r[3]})" if relation == "byte_sigs" else "")
+
+    def blame(self, text: bytes) -> list[str]:
+        """Which byte signatures are candidates for a content by their keys, and which of them match: the way to find what costs or misleads."""
+        from sigloom.operators.matchers import ByteMatcher
+
+        m = ByteMatcher(self.compiled())
+        hit = {h[:3] for h in m.hits(text)}
+        return [self.recognise("byte_sigs", n) + (" matches" if tuple(m.sigs[n][:3]) in hit else " is a candidate") for n in sorted(m.candidates(text.decode("latin-1")))]
+
     def priority_graph(self) -> str:
         """The priorities in the notation of graph drawing tools."""
         return "digraph {\n" + "".join(f'  "{sub}" -> "{sup}"\n' for _, sub, sup in sorted(self.priorities)) + "}\n"

@@ -78,14 +78,18 @@ PRESETS = {
     "freedesktop": ("freedesktop",),
     "wikidata": ("linked",),
     "archivematica": ("registry",),
-    "deluxe": ("registry", "tika", "freedesktop", "library"),
+    "deluxe": ("registry", "tika", "freedesktop", "library", "linked"),
 }
+# The vocabularies of further formats a preset adds to its first one.
+EXTENSIONS = {"archivematica": ("archivematica-fmt2.xml", "archivematica-fmt3.xml", "archivematica-fmt4.xml", "archivematica-fmt5.xml")}
 
 
 def preset(name: str, vocabularies: dict[str, Catalog], options: BuildOptions | None = None) -> list[Catalog]:
-    """The catalogues of a preset from the vocabularies at hand."""
+    """The catalogues of a preset from the vocabularies at hand, its extensions under their file names."""
     o = options or BuildOptions()
-    return combined(*(apply(vocabularies[v], o) for v in PRESETS[name]))
+    more = tuple(vocabularies[e] for e in EXTENSIONS.get(name, ()))
+    first, *rest = PRESETS[name]
+    return combined(apply(vocabularies[first], replace(o, extensions=(*o.extensions, *more))), *(apply(vocabularies[v], o) for v in rest))
 
 
 #: The letters and words of log options.

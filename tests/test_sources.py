@@ -115,8 +115,13 @@ def test_build_options():
     assert all(r[0] == "own" for r in x.globs)
     extended = apply(d, BuildOptions(extensions=(Catalog("e", "more", globs=[("e", "e/1", "ext", "x", 0, 50)]),)))
     assert ("pronom", "e/1", "ext", "x", 0, 50) in extended.globs
-    both = preset("deluxe", {"registry": d, "tika": Catalog("tika"), "freedesktop": Catalog("freedesktop"), "library": Catalog("loc")})
-    assert [c.ns for c in both] == ["pronom", "tika", "freedesktop", "loc"] and set(PRESETS) >= {"default", "wikidata"}
+    both = preset("deluxe", {"registry": d, "tika": Catalog("tika"), "freedesktop": Catalog("freedesktop"), "library": Catalog("loc"), "linked": Catalog("wikidata")})
+    assert [c.ns for c in both] == ["pronom", "tika", "freedesktop", "loc", "wikidata"] and set(PRESETS) >= {"default", "wikidata"}
+    more = {f"archivematica-fmt{n}.xml": Catalog("e", globs=[("e", f"fmt{n}", "ext", "x", 0, 50)]) for n in range(2, 6)}
+    (one,) = preset("archivematica", {"registry": d, **more})
+    assert {r[1] for r in one.globs if r[3] == "x"} == {"fmt2", "fmt3", "fmt4", "fmt5"}
+    assert d.recognise("byte_sigs", 0) == "pronom: fmt/1 (signature 1/1)" and d.recognise("byte_sigs", 99) == "not recognised"
+    assert d.blame(bytes.fromhex("89504E470102AE426082")) == ["pronom: fmt/1 (signature 1/1) matches", "pronom: fmt/2 (signature 1/1) is a candidate"]
     assert log_options("e, w,fmt/1,@set") == ({"error", "warning"}, ["fmt/1", "@set"])
 
 
@@ -383,6 +388,9 @@ def test_files_and_stream(spark, pictures, tmp_path):
     (tmp_path / "list.txt").write_text(f"{d}/a.png\n\n")
     assert files.listed(spark, str(tmp_path / "list.txt")).count() == 1
     assert files.single(spark, "x.png", PNG).first().length == len(PNG)
+    listed = spark.createDataFrame([(str(d / "a.png"),), (f"file://{d}/none",), (str(d),), (f"file:{tmp_path}/in/empty",)], "path string")
+    told = {r.path.rsplit("/", 1)[-1]: (r.error, r.content and bytes(r.content)) for r in files.read_listed(listed).collect()}
+    assert told == {"a.png": (None, PNG), "none": ("no such file", None), "deep": ("not a regular file", None), "empty": ("empty source", b"")}
     q = identify_stream(arriving(spark, str(tmp_path / "in")), [pictures], str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     got = {r.path.rsplit("/", 1)[-1]: r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
