@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.operators import priorities
+from sigloom.session import table as T
 from sigloom.sources import library, linked, mimeinfo, registry
 from sigloom.sources.catalog import Catalog
 
@@ -84,6 +85,17 @@ def _documents():
     return [ET.fromstring(d) for d in LIBRARY]
 
 
+def implicit(s, d) -> DataFrame:
+    """Which names of formats, and first words of names, lie inside others, taken as byte signatures of the formats."""
+    from sigloom.functions.frames import BOF, Frame, Signature
+    from sigloom.functions.patterns import Seq
+
+    names = T(s, d, "format_registry").select("ident_id", F.trim("format_name").alias("name")).where("ident_id is not null and name != ''").distinct().collect()
+    held = {(r.ident_id, r["name"]) for r in names} | {("w/" + r["name"].split(" ")[0], r["name"].split(" ")[0]) for r in names}
+    c = Catalog("p", signatures=[("p", i, Signature((Frame(Seq(t.encode()), BOF, 0, None),)), 0) for i, t in sorted(held)])
+    return s.createDataFrame([(f"{a}|{b}",) for _, a, b in c.implicit_priorities()], "row string")
+
+
 def bindings(s) -> DataFrame:
     return s.createDataFrame(BINDINGS, COLUMNS)
 
@@ -121,7 +133,7 @@ def queries():
         "catalog_join": _rows(lambda: sorted(i for _, i in d.join(Catalog("pronom", infos=[("pronom", "fmt/1", "Other", "", "", ""), ("pronom", "fmt/7", "New", "", "", "")])).ids())),
         "catalog_limit": shown(d.limit(["fmt/1", "fmt/2"]), "priorities", 1, 2),
         "catalog_exclude": _rows(lambda: sorted(i for _, i in d.exclude(["fmt/2"]).ids())),
-        "implicit_priorities": _rows(lambda: [f"{a}|{b}" for _, a, b in Catalog("p", signatures=[("p", i, s, 0) for (_, i, s, _) in d.signatures]).implicit_priorities()]),
+        "implicit_priorities": implicit,
         "mimeinfo_magic": shown(m, "byte_sigs", 1, 2, 3, 9),
         "mimeinfo_globs": shown(m, "globs", 1, 2, 3, 5),
         "mimeinfo_matches": matches_of(m, DEMOS),
@@ -170,7 +182,8 @@ def oracle_sql():
         "catalog_join": _values("fmt/1", "fmt/2", "fmt/3", "fmt/4", "fmt/7"),
         "catalog_limit": _values("fmt/1|fmt/2"),
         "catalog_exclude": _values("fmt/1", "fmt/3", "fmt/4"),
-        "implicit_priorities": "SELECT * FROM (VALUES ('x')) AS v(row) WHERE false",
+        "implicit_priorities": """WITH n AS (SELECT ident_id AS id, trim(format_name) AS lit FROM format_registry WHERE ident_id IS NOT NULL AND trim(format_name) != ''), l AS (SELECT * FROM n UNION SELECT 'w/' || split_part(lit, ' ', 1), split_part(lit, ' ', 1) FROM n)
+            SELECT DISTINCT a.id || '|' || b.id AS row FROM l a JOIN l b ON contains(b.lit, a.lit) AND a.lit != b.lit AND a.id != b.id""",
         "mimeinfo_magic": _values("application/x-demo|1|2|50", "application/x-demo|2|2|50", "application/xml|1|1|40", "image/svg+xml|1|1|39"),
         "mimeinfo_globs": _values("text/plain|ext|txt|50", "application/xml|ext|xml|50", "image/svg+xml|ext|svg|60", "application/x-demo|glob|README*|50"),
         "mimeinfo_matches": _values("0:application/x-demo", "1:application/x-demo", "2:application/x-demo", "4:application/xml", "4:image/svg+xml"),
