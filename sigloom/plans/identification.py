@@ -309,20 +309,34 @@ gated AS (SELECT * FROM hits WHERE matcher != 6 OR path NOT IN (SELECT path FROM
 _PRIO = "prio AS (SELECT * FROM (VALUES ('d/2', 'd/1'), ('d/3', 'd/2'), ('d/3', 'd/1')) AS v(sub, sup))"
 
 
-def _scored(dominance: bool, base: str = "hits") -> str:
-    kept = f"kept AS (SELECT h.* FROM {base} h WHERE NOT EXISTS (SELECT 1 FROM {base} o JOIN prio p ON o.id = p.sup WHERE o.path = h.path AND p.sub = h.id))" if dominance else f"kept AS (SELECT * FROM {base})"
-    return f"""{_HITS}, {_PRIO}, {kept},
+def _kept(dominance: str | None, base: str) -> str:
+    """The hits that dominance leaves: by set, by the order of the hits (a fold, hit by hit), or all."""
+    if dominance == "set":
+        return f"kept AS (SELECT h.* FROM {base} h WHERE NOT EXISTS (SELECT 1 FROM {base} o JOIN prio p ON o.id = p.sup WHERE o.path = h.path AND p.sub = h.id))"
+    if dominance is None:
+        return f"kept AS (SELECT * FROM {base})"
+    return f"""ord AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY matcher, phase, "offset", sig_no, id) AS rn FROM {base} WHERE matcher = 5),
+    weak_ids AS (SELECT path, list(DISTINCT id) AS weak FROM {base} WHERE matcher < 2 GROUP BY path), sups AS (SELECT sub AS id, list(sup) AS sups FROM prio GROUP BY sub),
+    ready AS (SELECT o.path, o.rn, o.id, coalesce(sups, []::VARCHAR[]) AS sups, coalesce(weak, []::VARCHAR[]) AS weak FROM ord o LEFT JOIN sups USING (id) LEFT JOIN weak_ids w ON w.path = o.path),
+    fold(path, n, wait, this, taken) AS (SELECT DISTINCT path, 0::BIGINT, NULL::VARCHAR[], '', false FROM ord
+      UNION ALL SELECT path, rn, CASE WHEN k THEN sups ELSE wait END, CASE WHEN k THEN id ELSE this END, k FROM (SELECT f.path, r.rn, r.id, sups, wait, this, wait IS NULL OR list_contains(wait, r.id) OR (list_contains(weak, r.id) AND NOT list_contains(sups, this)) AS k
+        FROM fold f JOIN ready r ON r.path = f.path AND r.rn = f.n + 1)),
+    kept AS (SELECT * FROM {base} WHERE matcher != 5 UNION ALL SELECT o.* EXCLUDE (rn) FROM ord o JOIN fold f ON f.path = o.path AND f.n = o.rn WHERE taken)"""
+
+
+def _scored(dominance: str | None, base: str = "hits") -> str:
+    return f"""{_HITS}, {_PRIO}, {_kept(dominance, base)},
     each1 AS (SELECT *, CASE matcher WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 6 THEN 4 ELSE 8 * row_number() OVER (PARTITION BY path, matcher NOT IN (0, 1, 6) ORDER BY matcher, phase, "offset", sig_no, id) END AS score FROM kept),
     scored AS (SELECT path, id, CAST(sum(score) AS INTEGER) AS confidence, bool_or(matcher = 0) AS has_ext, bool_or(matcher = 1) AS has_mime, bool_or(matcher = 6) AS has_text, bool_or(matcher = 5) AS has_strong,
       array_to_string(list(basis ORDER BY matcher, phase, "offset", sig_no, id, basis), '; ') AS basis FROM each1 GROUP BY path, id)"""
 
 
-def _mode(mode: str) -> str:
+def _mode(mode: str, dominance: str = "set") -> str:
     cut = {"single": "rn = 1", "conclusive": "confidence = top", "positive": "confidence >= 8 OR rn = 1", "comprehensive": "confidence >= 8 OR rn = 1", "exhaustive": "true", "droid": "confidence >= 8 OR rn = 1"}[mode]
     weak = "false" if mode == "exhaustive" else "top <= 4"
     words = lambda a, b, c: f"(SELECT CASE len(l) WHEN 0 THEN '' WHEN 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[-1] END FROM (SELECT list_filter([CASE WHEN {a} THEN 'extension' END, CASE WHEN {b} THEN 'MIME' END, CASE WHEN {c} THEN 'text' END], lambda x: x IS NOT NULL) AS l))"
     last = "cut1 c WHERE NOT EXISTS (SELECT 1 FROM cut1 o JOIN prio p ON o.id = p.sup WHERE o.path = c.path AND p.sub = c.id)" if mode == "droid" else "cut1"
-    return f"""WITH {_scored(mode in ("single", "conclusive", "positive"), "hits" if mode in ("comprehensive", "exhaustive") else "gated")},
+    return f"""WITH RECURSIVE {_scored(dominance if mode in ("single", "conclusive", "positive") else None, "hits" if mode in ("comprehensive", "exhaustive") else "gated")},
     ranked AS (SELECT *, max(confidence) OVER w AS top, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, id) AS rn, bool_or(has_ext) OVER w AS e, bool_or(has_mime) OVER w AS m, bool_or(has_text) OVER w AS x FROM scored WINDOW w AS (PARTITION BY path)),
     listed AS (SELECT path, array_to_string(list(id ORDER BY rn), ', ') AS ids, array_to_string(list(id ORDER BY rn) FILTER (WHERE confidence = top), ', ') AS tops, count(*) FILTER (WHERE confidence = top) AS n_top,
       count(*) FILTER (WHERE (top <= 2 OR confidence = top) AND NOT (id = 'd/5' AND top < 4) AND id = 'd/5') AS n_fit FROM ranked GROUP BY path),
@@ -372,7 +386,9 @@ def oracle_sql():
         "xml_root": """WITH k AS (SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 4 AS k, 'urn:' || coalesce(lang, 'none') AS ns FROM documents)
             SELECT path, 'x/1' AS id, CASE WHEN k = 0 THEN 1 ELSE 0 END AS phase FROM k WHERE k IN (0, 1)
             UNION ALL SELECT path, 'x/2', 0 FROM k WHERE k = 0 AND ns = 'urn:en' UNION ALL SELECT path, 'x/3', 2 FROM k WHERE k IN (0, 2) AND ns = 'urn:de' UNION ALL SELECT path, 'x/4', 0 FROM k WHERE k = 2 AND ns = 'urn:en'""",
-        "score_aggregate": f"WITH {_scored(False)} SELECT * FROM scored",
+        "score_aggregate": f"WITH {_scored(None)} SELECT * FROM scored",
+        "waitset_fold": f"WITH RECURSIVE {_HITS}, {_PRIO}, {_kept('ordered', 'hits')} SELECT path, id, matcher, sig_no, phase FROM kept",
+        "identify_ordered": _mode("conclusive", "ordered"),
         **{f"identify_{m}": _mode(m) for m in ("single", "conclusive", "positive", "comprehensive", "exhaustive", "droid")},
         "mimeinfo_rank": f"""WITH {_HITS},
             named AS (SELECT path, CASE id WHEN 'd/1' THEN 'application/yaml' WHEN 'd/2' THEN 'text/x-note' WHEN 'd/3' THEN 'text/x-log' WHEN 'd/4' THEN 'text/x-german' ELSE 'text/plain' END AS id, matcher,
