@@ -202,6 +202,18 @@ def log_counts(s, d):
     return r.agg(n(results.is_known(m), "known"), n(~results.is_known(m), "unknown"), n(results.has_warning(m), "warned"), n(F.col("errors") != "", "failed"))
 
 
+def droid_projection(s, d) -> DataFrame:
+    """The DROID layout of the files, with the path of the row that PARENT_ID names in place of the two numbers."""
+    x = results.droid_rows(scan_results(s, d))
+    owners = x.select(F.col("ID").alias("PARENT_ID"), F.col("FILE_PATH").alias("parent_path")).distinct()
+    y = x.join(owners, "PARENT_ID", "left").drop("ID", "PARENT_ID").withColumn("FORMAT_COUNT", F.col("FORMAT_COUNT").cast("bigint"))
+    return y.select(*(F.col(c).alias(c.lower()) for c in y.columns))
+
+
+def compared_by(key: str):
+    return lambda s, d: R.compare([scan_results(s, d), scan_results(s, d, True)], key).select("key", "r1", "r2")
+
+
 def release_notes(s, d):
     """Release notes told by the snapshots: a report is new in its first, updated in later ones."""
     x = T(s, d, "report_snapshots").where("report_id is not null").select("snap_date", "report_id").distinct()
@@ -220,18 +232,19 @@ def queries():
         "sets_expand": lambda s, d: priorities.expand_sets(set_members(s, d), ["all_pronom", "all_loc"]),
         "format_order": lambda s, d: T(s, d, "format_registry").select("ident_id", F.row_number().over(_order()).cast("bigint").alias("place")),
         "extension_sets": lambda s, d: R.extension_sets(T(s, d, "format_registry")).select("set", F.array_join("members", ",").alias("members")),
-        "family_sets": lambda s, d: families(s, d).select("set", F.size("members").cast("bigint").alias("n"), F.array_min("members").alias("first")),
-        "release_stats": lambda s, d: registry.release_stats(release_notes(s, d)).drop("n_signatures"),
+        "family_sets": lambda s, d: families(s, d).select("set", F.array_join("members", ",").alias("members")),
+        "release_stats": lambda s, d: registry.release_stats(release_notes(s, d)),
         "format_chart": lambda s, d: R.chart(T(s, d, "identifications").groupBy("ident_no").agg(F.min("ns").alias("ns"), F.lower(F.trim(F.min("ident_id"))).alias("id")).where("id is not null and ns is not null")),
         "log_counts": log_counts,
         "compare_results": lambda s, d: R.compare([scan_results(s, d), scan_results(s, d, True)]).select("path", "r1", "r2"),
         "compare_by_hash": lambda s, d: R.compare([scan_results(s, d).where("hash != ''"), scan_results(s, d, True).where("hash != ''")], "hash").select("key", "r1", "r2"),
+        **{f"compare_by_{k}": compared_by(k) for k in ("name", "name_size", "name_modified", "name_hash")},
         "compare_matches": lambda s, d: R.compare([scan_results(s, d), scan_results(s, d, True)], differences=False).select("path", "r1", "r2"),
         "results_json_read": lambda s, d: read_back(json_files(s, d)),
         "results_yaml_read": lambda s, d: read_back(yaml_files(s, d)),
         "results_csv_read": lambda s, d: read_back(csv_files(s, d)),
-        "csv_projection": lambda s, d: results.csv_rows(scan_results(s, d), ["pronom"]).select("seq", F.col("row").cast("bigint").alias("row"), "filename", "id", "basis"),
-        "droid_projection": lambda s, d: results.droid_rows(scan_results(s, d)).select(F.col("FILE_PATH").alias("file_path"), F.col("NAME").alias("name"), F.col("TYPE").alias("type"), F.col("METHOD").alias("method"), F.col("STATUS").alias("status"), F.col("EXT").alias("ext"), F.col("FORMAT_COUNT").cast("bigint").alias("format_count"), F.col("PUID").alias("puid")),
+        "csv_projection": lambda s, d: results.csv_rows(scan_results(s, d), ["pronom"]).withColumn("row", F.col("row").cast("bigint")),
+        "droid_projection": droid_projection,
         "reply_text": lambda s, d: R.fpr_reply(scan_results(s, d)),
         "checksums": checksums,
         "checksum_crc_sha512": lambda s, d: T(s, d, "documents").select("doc_id", *(scalars.checksum(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), k).alias(k) for k in ("crc", "sha512"))),
@@ -264,14 +277,15 @@ induced AS (SELECT sub, sup FROM edges WHERE sub IN (SELECT id FROM chosen) AND
 def _results(name: str, changed: bool) -> str:
     ids = "CASE WHEN file_no % 7 = 2 THEN ids[1:1] ELSE ids END" if changed else "ids"
     where = "WHERE file_no % 10 != 3" if changed else ""
-    return f"""{name} AS (SELECT file_no AS seq, concat_ws('/', CAST(file_no AS VARCHAR), x.filename) AS filename, x.filesize AS filesize, coalesce(x.errors, '') AS errors, lower(coalesce(x.hash_value, '')) AS hash, list_transform(coalesce({ids.replace('ids', 'x.ids')}, []), lambda i: coalesce(i, '')) AS ids
-      FROM (SELECT file_no, max({{'filename': filename, 'filesize': filesize, 'errors': errors, 'hash_value': hash_value, 'ids': ids}}) AS x FROM (SELECT * FROM scan_files) GROUP BY file_no) {where})"""
+    return f"""{name} AS (SELECT file_no AS seq, concat_ws('/', CAST(file_no AS VARCHAR), x.filename) AS filename, x.filesize AS filesize, coalesce(x.errors, '') AS errors, lower(coalesce(x.hash_value, '')) AS hash, coalesce(strftime(x.modified, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(x.modified) % 1000000 = 0 THEN '' ELSE rtrim('.' || lpad(CAST(microsecond(x.modified) % 1000000 AS VARCHAR), 6, '0'), '0') END, '') AS modified, list_transform(coalesce({ids.replace('ids', 'x.ids')}, []), lambda i: coalesce(i, '')) AS ids
+      FROM (SELECT file_no, max({{'filename': filename, 'filesize': filesize, 'errors': errors, 'hash_value': hash_value, 'ids': ids, 'modified': modified}}) AS x FROM (SELECT * FROM scan_files) GROUP BY file_no) {where})"""
 
 
 def _text(ids: str) -> str:
     return f"array_to_string(list_sort({ids}), ';')"
 
 
+_NAME = r"regexp_extract(regexp_replace(filename, '[/\\]+$', ''), '[^/\\]*$')"
 _KNOWN = "len(list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN'))) > 0"
 
 
@@ -292,15 +306,19 @@ def oracle_sql():
         "format_order": r"""SELECT ident_id, row_number() OVER (ORDER BY CASE WHEN n IS NULL THEN 2 WHEN starts_with(ident_id, 'x-') THEN 1 ELSE 0 END, n, ident_id) AS place
             FROM (SELECT ident_id, try_cast(regexp_extract(ident_id, '^(?:x-)?fmt/([0-9]+)$', 1) AS BIGINT) AS n FROM format_registry)""",
         "extension_sets": "SELECT ext AS set, array_to_string(list_sort(list(DISTINCT ident_id)), ',') AS members FROM (SELECT lower(trim(unnest(exts))) AS ext, ident_id FROM format_registry) WHERE ext != '' GROUP BY ext",
-        "family_sets": r"""SELECT f AS set, count(DISTINCT member) AS n, min(member) AS first FROM (
+        "family_sets": r"""SELECT f AS set, array_to_string(list_sort(list(DISTINCT member)), ',') AS members FROM (
             SELECT array_to_string(list_transform(string_split_regex(trim(w), '[^A-Za-z0-9]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS f, member FROM (SELECT unnest(string_split_regex(families, '[,;]')) AS w, CAST(report_id AS VARCHAR) AS member FROM report_snapshots))
             WHERE f != '' AND member IS NOT NULL GROUP BY f""",
         "release_stats": """WITH x AS (SELECT DISTINCT snap_date, report_id FROM report_snapshots WHERE report_id IS NOT NULL), f AS (SELECT report_id, min(snap_date) AS first FROM x GROUP BY 1)
-            SELECT CAST(year(snap_date) AS VARCHAR) AS year, count(DISTINCT snap_date) AS n_releases, count(*) FILTER (WHERE snap_date = first) AS n_new, count(*) FILTER (WHERE snap_date != first) AS n_updated FROM x JOIN f USING (report_id) GROUP BY 1""",
+            SELECT CAST(year(snap_date) AS VARCHAR) AS year, count(DISTINCT snap_date) AS n_releases, count(*) FILTER (WHERE snap_date = first) AS n_new, count(*) FILTER (WHERE snap_date != first) AS n_updated, 0::BIGINT AS n_signatures FROM x JOIN f USING (report_id) GROUP BY 1""",
         "format_chart": """WITH o AS (SELECT ident_no, min(ns) AS ns, lower(trim(min(ident_id))) AS id FROM identifications GROUP BY 1), n AS (SELECT ns, id, count(*) AS n FROM o WHERE id IS NOT NULL AND ns IS NOT NULL GROUP BY 1, 2)
             SELECT ns, id, n, repeat('■', greatest(1, CAST(n * 10 // max(n) OVER (PARTITION BY ns) AS INTEGER))) AS bar FROM n""",
         "log_counts": f"WITH {_results('a', False)} SELECT count(*) FILTER (WHERE {_KNOWN}) AS known, count(*) FILTER (WHERE NOT ({_KNOWN})) AS unknown, 0::BIGINT AS warned, count(*) FILTER (WHERE errors != '') AS failed FROM a",
         "compare_results": f"{compare} SELECT * FROM c WHERE r1 != r2",
+        **{f"compare_by_{k}": f"""WITH {_results('a', False)}, {_results('b', True)}, la AS (SELECT {key} AS key, {_text('ids')} AS ids FROM a QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq DESC) = 1),
+            lb AS (SELECT {key} AS key, {_text('ids')} AS ids FROM b QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq DESC) = 1),
+            c AS (SELECT coalesce(la.key, lb.key) AS key, coalesce(la.ids, 'MISSING') AS r1, coalesce(lb.ids, 'MISSING') AS r2 FROM la FULL JOIN lb ON la.key = lb.key) SELECT * FROM c WHERE r1 != r2"""
+            for k, key in (("name", _NAME), ("name_size", f"{_NAME} || coalesce(CAST(filesize AS VARCHAR), '')"), ("name_modified", f"{_NAME} || modified"), ("name_hash", f"{_NAME} || hash"))},
         "compare_matches": f"{compare} SELECT * FROM c WHERE r1 = r2",
         "compare_by_hash": f"""WITH {_results('a', False)}, {_results('b', True)}, la AS (SELECT hash, {_text('ids')} AS ids FROM a WHERE hash != '' QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq DESC) = 1),
             lb AS (SELECT hash, {_text('ids')} AS ids FROM b WHERE hash != '' QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq DESC) = 1),
@@ -308,12 +326,14 @@ def oracle_sql():
         "results_json_read": read,
         "results_yaml_read": read,
         "results_csv_read": f"WITH {_results('a', False)} SELECT filename, filesize, CASE WHEN len(ids) = 0 THEN '' ELSE {_text('ids')} END AS ids, {_KNOWN} AS known FROM a",
-        "csv_projection": f"""WITH {_results('a', False)} SELECT seq, r AS row, filename, coalesce(ids[r + 1], '') AS id, CASE WHEN r < len(ids) THEN 'extension match' ELSE '' END AS basis FROM (SELECT *, unnest(range(greatest(1, len(ids)))) AS r FROM a)""",
-        "droid_projection": rf"""WITH {_results('a', False)}, f AS (SELECT replace(filename, '\', '/') AS p, errors, list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN')) AS k FROM a),
+        "csv_projection": f"""WITH {_results('a', False)} SELECT seq, r AS row, filename, filesize, modified, errors, 'pronom' AS ns, coalesce(ids[r + 1], '') AS id, '' AS format, '' AS version, '' AS mime, CASE WHEN r < len(ids) THEN 'extension match' ELSE '' END AS basis, '' AS warning FROM (SELECT *, unnest(range(greatest(1, len(ids)))) AS r FROM a)""",
+        "droid_projection": rf"""WITH {_results('a', False)}, f AS (SELECT replace(filename, '\', '/') AS p, errors, filesize, modified, hash, list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN')) AS k FROM a),
             dirs AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS p FROM (SELECT parts, unnest(range(1, greatest(len(parts), 2))) AS n FROM (SELECT string_split(p, '/') AS parts FROM f))),
-            base AS (SELECT p, regexp_extract(regexp_replace(p, '[/\\]+$', ''), '[^/\\]*$') AS name, 'File' AS type, errors, k FROM f UNION ALL SELECT p, regexp_extract(p, '[^/]*$'), 'Folder', '', NULL FROM dirs WHERE p != '' AND p NOT IN (SELECT p FROM f))
+            base AS (SELECT p, regexp_extract(regexp_replace(p, '[/\\]+$', ''), '[^/\\]*$') AS name, 'File' AS type, errors, k, filesize, modified, hash FROM f UNION ALL SELECT p, regexp_extract(p, '[^/]*$'), 'Folder', '', NULL, NULL, NULL, NULL FROM dirs WHERE p != '' AND p NOT IN (SELECT p FROM f))
             SELECT p AS file_path, name, type, CASE WHEN type = 'File' AND len(k) > 0 THEN 'Extension' ELSE '' END AS method, CASE WHEN errors != '' THEN errors ELSE 'Done' END AS status,
-              CASE WHEN type = 'File' THEN lower(regexp_extract(name, '\.([^.]*)$', 1)) ELSE '' END AS ext, CASE WHEN type = 'File' THEN CAST(len(k) AS BIGINT) END AS format_count, puid
+              CASE WHEN type = 'File' THEN lower(regexp_extract(name, '\.([^.]*)$', 1)) ELSE '' END AS ext, CASE WHEN type = 'File' THEN CAST(len(k) AS BIGINT) END AS format_count, puid,
+              'file:/' || regexp_replace(replace(replace(url_encode(p), '%2F', '/'), '%3A', ':'), '^/+', '') || CASE WHEN type = 'Folder' THEN '/' ELSE '' END AS uri, filesize AS size, modified AS last_modified, 'false' AS extension_mismatch, hash AS md5_hash,
+              CASE WHEN puid IS NOT NULL THEN '' END AS mime_type, CASE WHEN puid IS NOT NULL THEN '' END AS format_name, CASE WHEN puid IS NOT NULL THEN '' END AS format_version, nullif(regexp_replace(regexp_replace(p, '[/\\]+$', ''), '[/\\]?[^/\\]*$', ''), '') AS parent_path
             FROM (SELECT *, unnest(CASE WHEN len(k) > 0 THEN k ELSE [NULL] END) AS puid FROM base)""",
         "reply_text": f"""WITH {_results('a', False)}, r AS (SELECT filename, CASE WHEN errors != '' AND len(ids) = 0 THEN 'error: failed to scan ' || filename || '; got ' || errors WHEN len(ids) = 0 THEN 'error: scanning ' || filename || ': no formats returned'
             WHEN len(ids) > 1 THEN 'error: multiple formats returned; got ' || array_to_string(ids, ', ') WHEN ids[1] IN ('', 'unknown', 'UNKNOWN') THEN 'error: format unknown; got ' ELSE ids[1] END AS reply FROM a)
