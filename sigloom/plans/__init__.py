@@ -3,6 +3,6 @@
 
 def modules():
     """The modules that hold queries."""
-    from sigloom.plans import identification, problems, resultsets, vocabularies
+    from sigloom.plans import identification, problems, registries, resultsets, vocabularies
 
-    return [problems, identification, resultsets, vocabularies]
+    return [problems, identification, resultsets, registries, vocabularies]
