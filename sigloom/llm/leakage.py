@@ -50,6 +50,8 @@ MAX_SEEDS = 1_000_000
 #: Bits of the filter at most (16 MB).
 MAX_BITS = 1 << 27
 MAX_KEPT = 500_000
+#: Mask of the low bits that are looked at first.
+LOW = (1 << 18) - 1
 #: Odd multipliers of the positions in a window.
 FACTORS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1 for i in range(SPAN)], dtype=np.uint64)
 
@@ -71,7 +73,7 @@ class WordHashes(dict):
         return h
 
     def of(self, ws: list[str]) -> np.ndarray:
-        return np.fromiter((self[w] for w in ws), np.uint64, len(ws))
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 def seeds(hashes: np.ndarray, span: int) -> list[np.ndarray]:
@@ -134,6 +136,10 @@ class TestSide:
                         found[span, k][h].append((at, pos))
         self.windows = {key: dict(by) for key, by in found.items()}
         self.sorted = {key: np.array(sorted(by), dtype=np.uint64) for key, by in found.items()}
+        # by the low bits of a hash: whether any seed has them, so that few hashes need the lookup
+        self.low = {key: np.zeros(LOW + 1, dtype=bool) for key in found}
+        for key, got in self.sorted.items():
+            self.low[key][got & np.uint64(LOW)] = True
 
     def overlaps(self, texts: list[str | None], known: WordHashes) -> list[tuple]:
         """(index of the text, item id, word in the text, word in the item, words, substitutions, longest run, run that is a leak)."""
@@ -144,9 +150,10 @@ class TestSide:
         for span in {s for s, _ in self.sorted}:
             for k, mine in enumerate(seeds(hashes, span)):
                 test = self.sorted[span, k]
-                where = np.searchsorted(test, mine)
+                some = np.flatnonzero(self.low[span, k][mine & np.uint64(LOW)])
+                where = np.searchsorted(test, mine[some])
                 where[where == len(test)] = 0
-                for pos in np.flatnonzero(test[where] == mine).tolist():
+                for pos in some[test[where] == mine[some]].tolist():
                     doc = int(np.searchsorted(ends, pos, side="right"))
                     if pos + span > ends[doc]:
                         continue

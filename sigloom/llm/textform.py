@@ -41,13 +41,33 @@ def _table() -> dict[int, str | None]:
 
 
 TABLE = _table()
+
+
+def _class(codes) -> str:
+    """A character class of code points, by runs."""
+    codes, out, begin = sorted(codes), [], None
+    for a, b in zip(codes, [*codes[1:], None]):
+        begin = a if begin is None else begin
+        if b != a + 1:
+            out.append(re.escape(chr(begin)) + (f"-{re.escape(chr(a))}" if a > begin else ""))
+            begin = None
+    return "".join(out)
+
+
+#: Runs of characters that the table changes: most texts have few, so only these are mapped.
+CHANGED = re.compile(f"[{_class(TABLE)}]+")
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
+def mapped(text: str, table: dict = TABLE) -> str:
+    """A text under the table."""
+    return CHANGED.sub(lambda m: m.group().translate(table), text)
+
+
 def table_form(text: str) -> str:
     """The consistent form by table: decompose, drop the ignorable, replace look-alikes, compose."""
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(TABLE))
+    return unicodedata.normalize("NFKC", mapped(unicodedata.normalize("NFKD", text)))
 
 
 #: The ignorable characters and special blanks alone: what a spelling loses that keeps its script.
@@ -56,7 +76,7 @@ SPECIAL = {cp: to for cp, to in TABLE.items() if chr(cp) not in LOOKALIKES}
 
 def spelled(text: str) -> str:
     """Canonical and compatibility variants as one, ignorable characters gone, special blanks plain; letters keep their script."""
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(SPECIAL))
+    return unicodedata.normalize("NFKC", mapped(unicodedata.normalize("NFKD", text), SPECIAL))
 
 
 def letters_of(word: str) -> str:
@@ -97,7 +117,5 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        if not text.isprintable():
-            text = text.translate(TABLE)
-        return ASCII_WORD.findall(text.lower())
+        return ASCII_WORD.findall(mapped(text).lower())
     return WORD.findall(unicodedata.normalize("NFKC", table_form(text).casefold()))
