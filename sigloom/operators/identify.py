@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from sigloom.operators.matchers import all_hits
 from sigloom.operators.resolve import MODES, resolve, resolve_mime
-from sigloom.session import cut, spread
+from sigloom.session import cut, small, spread
 from sigloom.sources import archives
 from sigloom.sources.catalog import Catalog
 
 
+#: Identified archives up to which their kinds are broadcast; beyond, files and kinds are joined by shuffle.
+MAX_ARCHIVES = 1_000_000
+
+
 @dataclass
 class ScanOptions:
     """What a scan does besides matching."""
@@ -24,6 +28,8 @@ class ScanOptions:
     #: archive kinds to expand, none by default
     expand: tuple = ()
     max_depth: int | None = None
+    #: tell the archives among the files by their identified id instead of their first bytes
+    by_id: bool = False
     #: checksum to add: md5, sha1, sha256, sha512 or crc
     checksum: str | None = None
 
@@ -57,6 +63,9 @@ def scan(files: DataFrame, catalogs: list[Catalog], options: ScanOptions | None
 
     o = options or ScanOptions()
     if o.expand:
+        if o.by_id:
+            found = archives.archive_kinds(identify(files, catalogs, o.mode, o.dominance), o.expand)
+            files = files.join(small(cut(found), MAX_ARCHIVES), "path", "left")
         files = archives.expand(files, o.expand, o.max_depth)
     if o.checksum:
         files = files.withColumn("hash", checksum(F.col("content"), o.checksum))

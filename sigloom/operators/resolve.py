@@ -209,7 +209,9 @@ def resolve_mime(hits: DataFrame, catalogs: list[Catalog], mode: str = "conclusi
     """
     hits = hits.repartition("path")
     globs = relation(hits, catalogs, "globs").groupBy("ns", "id").agg(F.max("weight").alias("glob_w"))
-    magic = relation(hits, catalogs, "byte_sigs").select("ns", "id", "sig_no", F.col("weight").alias("magic_w"))
+    weights = [(r[0], r[1], r[2], r[9]) for c in catalogs for r in c.compiled()]
+    magic = hits.sparkSession.createDataFrame(weights, "ns string, id string, sig_no int, magic_w int")
+    magic = F.broadcast(magic) if len(weights) <= MAX_SIGNATURES else magic
     default = tagged({r[:2] for c in catalogs for r in c.texts if r[2]})
     x = hits.join(globs, ["ns", "id"], "left").join(magic, ["ns", "id", "sig_no"], "left")
     m = F.col("matcher")

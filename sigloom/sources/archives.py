@@ -49,10 +49,14 @@ def archive_class(ident: Column, kinds: tuple = KINDS) -> Column:
     return out
 
 
+def archive_kinds(results: DataFrame, kinds: tuple = KINDS) -> DataFrame:
+    """path, kind of the files whose first archive id among their results is of a chosen kind."""
+    return results.select("path", "rank", archive_class(F.col("id"), kinds).alias("kind")).where("kind is not null").groupBy("path").agg(F.min_by("kind", "rank").alias("kind"))
+
+
 def identified_archives(files: DataFrame, results: DataFrame, kinds: tuple = KINDS) -> DataFrame:
-    """The files whose first archive id among their results is of a chosen kind, with that kind."""
-    found = results.select("path", "rank", archive_class(F.col("id"), kinds).alias("kind")).where("kind is not null").groupBy("path").agg(F.min_by("kind", "rank").alias("kind"))
-    return files.join(found, "path")
+    """The files that are archives of a chosen kind by their results, with that kind."""
+    return files.join(archive_kinds(results, kinds), "path")
 
 
 ENTRY = "path string, mime string, length bigint, modified string, content binary, error string, parent string, depth int"

@@ -22,6 +22,10 @@ REPORT = (
 )
 
 
+#: Reports that are compiled on the driver at most.
+MAX_REPORTS = 200_000
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """One row per format report: puid and the report's members."""
     df = spark.read.format("xml").option("rowTag", "FileFormat").schema(REPORT).load(path)
@@ -46,7 +50,9 @@ def from_reports(reports: DataFrame, ns: str = "pronom", multi: str = "conclusiv
     """A catalogue of the reports. Catalogues are a few thousand formats, so they are compiled on the driver."""
     c = Catalog(ns, "format reports", multi)
     by_id = {}
-    rows = reports.collect()
+    rows = reports.limit(MAX_REPORTS + 1).collect()
+    if len(rows) > MAX_REPORTS:
+        raise ValueError(f"more than {MAX_REPORTS} reports")
     for r in rows:
         by_id[r.FormatID] = r.puid
     for r in rows:

@@ -179,6 +179,19 @@ def test_linked_catalog(spark, tmp_path):
     assert one.matches(b"AB..Z") and not one.matches(b"AB..")
 
 
+def test_own_properties(spark):
+    text = '{"PronomProp": "http://own/entity/Q2", "BofProp": "http://own/entity/Q3", "EofProp": "http://own/entity/Q4"}'
+    encodings, relativities = linked.own_properties(text)
+    assert encodings["Q2"] == "pronom" and "Q35432091" not in encodings and relativities == {"Q3": "BOF", "Q4": "EOF"}
+    with pytest.raises(ValueError, match="BofProp, EofProp"):
+        linked.own_properties('{"PronomProp": "x"}')
+    rows = [("http://own/Q9", None, None, "http://own/entity/Q2", None, None, r, o, "4142", b) for r, o, b in (("http://own/entity/Q3", "0", True), ("http://own/entity/Q4", "7", False))]
+    df = spark.createDataFrame(rows, "uri string, puid string, extension string, encoding string, referenceLabel string, date string, relativity string, offset string, sig string, offsetBlank boolean").selectExpr("*", "'n' as uriLabel", "null as mimetype")
+    (r,) = linked.condense(df, encodings, relativities).collect()
+    assert [(x.notation, x.relativity, x.offset) for x in r.signatures] == [("4142", "BOF", 0), ("4142", "EOF", 7)]
+    assert ("Q9", "blank offset", False) in {tuple(x) for x in linked.lint(df, encodings, relativities).collect()}
+
+
 def ole2(streams: dict[str, bytes]) -> bytes:
     """A small compound file; names with / lie in a storage."""
     free, end, fat_mark = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
@@ -243,6 +256,8 @@ def test_zip_default_and_archive_ids(spark):
     assert kind("TAR") == [None, "tar", None, None, None, None] and kind("gZip")[2] == "gzip" and kind("zip, arc") == ["zip", None, None, "arc", None, None]
     found = archives.identified_archives(df, identify(df, [c]), archives.chosen_kinds("zip"))
     assert [(r.path, r.kind) for r in found.collect()] == [("a.zip", "zip")]
+    opened, _ = scan(df, [c], ScanOptions(expand=("zip",), by_id=True))
+    assert {r.path for r in opened.collect()} == {"a.zip", "a.zip#other", "b.ZIP", "c.zip"}  # b.ZIP is an archive, but is not identified as one
 
 
 def test_archives(spark):
