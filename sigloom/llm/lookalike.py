@@ -44,8 +44,9 @@ MAX_WORDS = 20_000
 #: Distinct tokens a worker remembers.
 MAX_KEPT = 300_000
 #: Blanks that stay blanks in every form, so that the form of a text is that of its parts.
-BLANK = "\t\n\r\x0b\x0c\x85\u2028\u2029" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Zs")
-SPLIT = re.compile(f"([{BLANK}]+)")
+BLANK = "\t\n\r\x0b\x0c\x85\u2028\u2029" + "".join(c for c in map(chr, range(0x21, sys.maxunicode + 1)) if unicodedata.category(c) == "Zs")
+#: What a text is changed in: tokens with anything but printable ASCII, and runs of special blanks. All between stays as it is.
+ODD = re.compile(rf"(?<![^ {BLANK}])[!-~]*+[^!-~ {BLANK}][^ {BLANK}]*+|[{BLANK[6:]}]+")
 #: Words the vocabulary may hold: of one script.
 ONE_SCRIPT = r"^(?:[!-~]{2,40}|" + "|".join(rf"\p{{Is{s}}}{{2,40}}" for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")) + ")$"
 
@@ -145,13 +146,13 @@ class Former:
         """(canonical text, folded form) of a text."""
         if text.isascii() and text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable():
             return text, text
-        parts = SPLIT.split(text)
-        blanks = [table_form(p) for p in parts[1::2]]
-        parts[::2] = map(self.token, parts[::2])
-        out, folded = parts[:], parts[:]
-        out[::2], folded[::2] = [p[0] for p in parts[::2]], [p[1] for p in parts[::2]]
-        out[1::2] = folded[1::2] = blanks
-        return "".join(out), "".join(folded)
+        out, folded, at = [], [], 0
+        for m in ODD.finditer(text):
+            own, key = self.token(m.group())
+            out += (text[at : m.start()], own)
+            folded += (text[at : m.start()], key)
+            at = m.end()
+        return "".join(out) + text[at:], "".join(folded) + text[at:]
 
 
 def vocabulary(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
