@@ -45,11 +45,10 @@ def checksum(content: Column, kind: str) -> Column:
 
 def uri_escape(c: Column) -> Column:
     """Percent-encode all bytes but letters, digits and -_.~/: ."""
-    pairs = F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
-    keep = [b for b in range(128) if chr(b).isalnum() or chr(b) in "-_.~/:"]
-    out = F.regexp_extract_all(pairs, F.lit("%.."), F.lit(0))
-    table = F.create_map(*(x for b in keep for x in (F.lit(f"%{b:02X}"), F.lit(chr(b)))))
-    return F.array_join(F.transform(out, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    out = F.url_encode(c)
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%3A", ":"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(plain))
+    return out
 
 
 def file_uri(path: Column, folder: Column | None = None) -> Column:

@@ -22,22 +22,32 @@ def clean(edges: DataFrame) -> DataFrame:
     return edges.where("sub is not null and sup is not null and sub != sup and cast(sub as string) != '' and cast(sup as string) != ''").select("sub", "sup").distinct()
 
 
-def grown(start: DataFrame, step) -> DataFrame:
-    """``start`` and all rows that ``step`` (fresh rows -> rows) leads to. Every row is written once, in the round that finds it."""
-    parts = [start]
-    while True:
-        known = reduce(DataFrame.unionByName, parts)
-        fresh = cut(step(parts[-1]).distinct().join(known, start.columns, "left_anti"))
-        if fresh.isEmpty():
-            return known
-        parts.append(fresh)
-
-
-def closure(edges: DataFrame) -> DataFrame:
-    """All (sub, sup) pairs joined by a chain of edges. Loops make this quadratic in their nodes, as every pair of them is a row."""
+def grown(parts: list[DataFrame], step, most: int | None = None) -> list[DataFrame]:
+    """``parts`` and all rows that ``step`` (fresh rows -> rows) leads to; the last part is the fresh one.
+
+    Every row is written once, in the round that finds it. With ``most`` the growth pauses once there are more rows; then
+    the last part is not empty.
+    """
+    names, n = parts[0].columns, 0
+    while most is None or n <= most:
+        fresh = cut(step(parts[-1]).distinct().join(reduce(DataFrame.unionByName, parts), names, "left_anti"))
+        more = fresh.count()
+        parts, n = [*parts, fresh], n + more
+        if not more:
+            break
+    return parts
+
+
+def closure(edges: DataFrame, near: int = 16) -> DataFrame:
+    """All (sub, sup) pairs joined by a chain of edges. Loops make this quadratic in their nodes, as every pair of them is a row.
+
+    First the pairs of a few hops, up to ``near`` times as many as there are edges; then every round goes on by as many hops
+    at once, so there are far fewer rounds than the longest chain has edges.
+    """
     e = cut(clean(edges))
-    after = e.select(F.col("sub").alias("sup"), F.col("sup").alias("next"))
-    return grown(e, lambda fresh: fresh.join(after, "sup").select("sub", F.col("next").alias("sup")).where("sub != sup"))
+    on = lambda by: lambda fresh: fresh.join(by.select(F.col("sub").alias("sup"), F.col("sup").alias("next")), "sup").select("sub", F.col("next").alias("sup")).where("sub != sup")
+    first = grown([e], on(e), near * e.count())
+    return reduce(DataFrame.unionByName, grown(first, on(reduce(DataFrame.unionByName, first))))
 
 
 def apply(hits: DataFrame, edges: DataFrame, group: str = "grp") -> DataFrame:
@@ -90,7 +100,8 @@ def expand_sets(members: DataFrame, wanted: list[str]) -> DataFrame:
     rows = cut(members.select("set", member.alias("member")).where("member != ''").distinct())
     inner = rows.withColumnRenamed("set", "inner")
     start = cut(rows.where(F.col("set").isin(wanted)))
-    out = grown(start, lambda fresh: fresh.where("member like '@%'").select("set", F.expr("substring(member, 2)").alias("inner")).join(inner, "inner").select("set", "member"))
+    parts = grown([start], lambda fresh: fresh.where("member like '@%'").select("set", F.expr("substring(member, 2)").alias("inner")).join(inner, "inner").select("set", "member"))
+    out = reduce(DataFrame.unionByName, parts)
     named = out.where("member like '@%'").select(F.expr("substring(member, 2)").alias("set")).union(members.sparkSession.createDataFrame([(w,) for w in wanted], "set string"))
     lost = [r.set for r in named.distinct().join(rows.select("set"), "set", "left_anti").orderBy("set").limit(10).collect()]
     if lost:
