@@ -58,9 +58,11 @@ def jump(start: DataFrame, stop, hot_rows: int = HOT_ROWS) -> DataFrame:
     while True:
         parts.append(state.where("st != 'active'"))
         moving = state.where("st = 'active'").select("node", "ptr", "seg")
-        n, most = moving.groupBy("ptr").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+        n = moving.count()
         if not n:
             return reduce(DataFrame.unionByName, parts)
+        # no pointer is crowded if there are not even so many walkers
+        most = moving.groupBy("ptr").count().agg(F.max("count")).first()[0] if n > hot_rows else n
         ahead = reduce(DataFrame.unionByName, [*parts, state.where("st = 'active'")]).select(F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("seg").alias("s2"))
         if most > max(hot_rows, n // 1000):
             hot = F.broadcast(moving.groupBy("ptr").count().where(F.col("count") > max(hot_rows, n // 1000)).select("ptr"))

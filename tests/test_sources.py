@@ -56,6 +56,12 @@ def held(spark, *rows):
     return spark.createDataFrame([(p, m, bytearray(c)) for p, m, c in rows], "path string, mime string, content binary")
 
 
+def test_one_scan_for_all_matchers_and_namespaces(spark, pictures, tmp_path):
+    held(spark, ("a.png", "", PNG)).write.parquet(str(tmp_path / "f"))
+    plan = identify(spark.read.parquet(str(tmp_path / "f")), [pictures, Catalog("loc", fourccs=[("loc", "l", "WAVE")], xmls=[("loc", "l", "a", "")], texts=[("loc", "l", True)])])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_exact_rows(spark, pictures):
     some = pictures.limit(["fmt/11", "fmt/14", "fmt/3"])
     df = held(spark, ("a.png", "", PNG), ("a.pdf", "", PDF), ("a.gif", "image/gif", GIF), ("badf00d.unknown", "", bytes.fromhex("badf00")), ("b.doc", "image/png", PNG))
