@@ -16,6 +16,7 @@ from sigloom.functions import scalars
 from sigloom.operators import priorities
 from sigloom.operators import results as R
 from sigloom.operators.matchers import container_hits, riff_hits
+from sigloom.session import shared_path
 from sigloom.session import table as T
 from sigloom.sources import archives, registry, results
 from sigloom.sources.catalog import Catalog
@@ -79,6 +80,14 @@ def csv_files(s, d) -> DataFrame:
     return g.select(F.col("seq").cast("string").alias("source"), F.concat(F.lit("filename,filesize,modified,errors,namespace,id,basis\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
 
 
+def csv_lines(s, d) -> DataFrame:
+    """All files of scan_files in CSV part files, read back line by line."""
+    path = shared_path(s, "csv")
+    results.write_csv(scan_results(s, d), ["pronom"], path)
+    x = results.read_csv(s, path)
+    return x.select("filename", "filesize", R.id_text(F.transform("matches", lambda m: m["id"])).alias("ids"), results.is_known(F.col("matches")).alias("known"))
+
+
 def read_back(texts) -> DataFrame:
     """What a results file of one object says: filename, filesize, ids."""
     return results.parse(texts).select("filename", "filesize", R.id_text(F.transform("matches", lambda m: m["id"])).alias("ids"), results.is_known(F.col("matches")).alias("known"))
@@ -243,6 +252,7 @@ def queries():
         "results_json_read": lambda s, d: read_back(json_files(s, d)),
         "results_yaml_read": lambda s, d: read_back(yaml_files(s, d)),
         "results_csv_read": lambda s, d: read_back(csv_files(s, d)),
+        "results_csv_lines": csv_lines,
         "csv_projection": lambda s, d: results.csv_rows(scan_results(s, d), ["pronom"]).withColumn("row", F.col("row").cast("bigint")),
         "droid_projection": droid_projection,
         "reply_text": lambda s, d: R.fpr_reply(scan_results(s, d)),
@@ -326,6 +336,7 @@ def oracle_sql():
         "results_json_read": read,
         "results_yaml_read": read,
         "results_csv_read": f"WITH {_results('a', False)} SELECT filename, filesize, CASE WHEN len(ids) = 0 THEN '' ELSE {_text('ids')} END AS ids, {_KNOWN} AS known FROM a",
+        "results_csv_lines": f"WITH {_results('a', False)} SELECT filename, filesize, CASE WHEN len(ids) = 0 THEN '' ELSE {_text('ids')} END AS ids, {_KNOWN} AS known FROM a",
         "csv_projection": f"""WITH {_results('a', False)} SELECT seq, r AS row, filename, filesize, modified, errors, 'pronom' AS ns, coalesce(ids[r + 1], '') AS id, '' AS format, '' AS version, '' AS mime, CASE WHEN r < len(ids) THEN 'extension match' ELSE '' END AS basis, '' AS warning FROM (SELECT *, unnest(range(greatest(1, len(ids)))) AS r FROM a)""",
         "droid_projection": rf"""WITH {_results('a', False)}, f AS (SELECT replace(filename, '\', '/') AS p, errors, filesize, modified, hash, list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN')) AS k FROM a),
             dirs AS (SELECT DISTINCT array_to_string(parts[1:n], '/') AS p FROM (SELECT parts, unnest(range(1, greatest(len(parts), 2))) AS n FROM (SELECT string_split(p, '/') AS parts FROM f))),

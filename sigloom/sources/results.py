@@ -2,8 +2,9 @@
 
 The canonical table is RESULTS: one row per object with its matches as an
 array. Readers parse one file per row of ``wholetext`` input, so a results file
-is one task; the writers make part files, bounded by the partitions, each of
-which is a whole results file of its layout. What cannot be read is a row with
+is one task; ``read_csv`` reads own CSV files of any size line by line. The
+writers make part files, bounded by the partitions, each of which is a whole
+results file of its layout. What cannot be read is a row with
 the reason in ``errors``: a file that is broken from some place on, or a CSV row
 of too few columns.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import base, evidence, extension, file_uri, parent_folder, yaml_quoted
+from sigloom.session import small
 
 MATCH = "struct<ns: string, id: string, format: string, version: string, mime: string, basis: string, warning: string>"
 RESULTS = f"source string, seq bigint, filename string, filesize bigint, modified string, errors string, hash string, matches array<{MATCH}>"
@@ -205,6 +207,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(df.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
 
 
+#: Files whose headers are broadcast when their lines are read apart.
+MAX_FILES = 100_000
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """RESULTS of own CSV files of any size, read line by line over many tasks; no field may hold a line break (``read`` takes such files).
+
+    The rows of one file name in a results file are one file, in the order of the lines; seq tells the order of the files.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for source, at, head, line in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(source, at, *r) for r in parse_csv(f"{head}\n{line}")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _RESULTS)], schema=_RESULTS)
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    is_head = F.col("value").rlike("^\ufeff?filename,")
+    heads = lines.where(is_head).groupBy("source").agg(F.min_by("value", F.struct("block", "at")).alias("head"))
+    each = lines.where(~is_head & (F.col("value") != "")).join(small(heads, MAX_FILES), "source").select("source", "at", F.ltrim("head", F.lit("\ufeff")).alias("head"), "value")
+    x = each.mapInArrow(run, RESULTS)
+    rest = ("filesize", "modified", "errors", "hash")
+    g = x.groupBy("source", "filename").agg(F.min("seq").alias("seq"), *(F.min_by(c, "seq").alias(c) for c in rest), F.array_sort(F.collect_list(F.struct("seq", "matches"))).alias("ms"))
+    return g.select("source", "seq", "filename", *rest, F.flatten(F.transform("ms", lambda m: m["matches"])).alias("matches"))
+
+
 def is_known(matches: Column) -> Column:
     """Whether any match has a known id."""
     return F.exists(matches, lambda m: ~F.coalesce(m["id"], F.lit("")).isin(*UNKNOWNS))
@@ -334,4 +364,4 @@ def write_csv(results: DataFrame, namespaces: list[str], path: str) -> None:
     _files_of(rows.select(F.concat_ws(",", *map(quoted, columns)).alias("value")), path, ",".join(head))
 
 
-__all__ = ["read", "parse", "layout", "csv_rows", "json_lines", "write_json", "write_yaml", "yaml_documents", "yaml_head", "droid_rows", "from_identification", "write_csv", "is_known", "has_warning"]
+__all__ = ["read", "read_csv", "parse", "layout", "csv_rows", "json_lines", "write_json", "write_yaml", "yaml_documents", "yaml_head", "droid_rows", "from_identification", "write_csv", "is_known", "has_warning"]
