@@ -1,12 +1,14 @@
 """Leaks against a search of every window, with and without substitutions, by broadcast and by shuffle."""
 
 import random
+import re
 
 import pytest
 
 from sigloom.llm import leakage
 from sigloom.llm.textform import words
 from sigloom.session import table
+from tests.llm.test_lookalike import disguised
 
 
 def brute(docs, items, substitutions=0):
@@ -118,3 +120,11 @@ def test_recall_by_substitutions():
     got = {k: recall(k, 300, rng) for k in (0, 1, 2, 3)}
     print("recall by substitutions:", got)
     assert got[0] == got[1] == 1 and got[2] > 0.8 and got[3] > 0.3, got
+
+
+def test_words_of_disguised_texts():
+    """The words of plain texts and of texts that look like them, against a definition of its own."""
+    rng = random.Random(9)
+    for i in range(300):
+        plain = " ".join(rng.choice(["Report,", "OFFICE", "x-1", "jpeg's", "type;", "A", "(SIP)", "123.", "KHz"]) for _ in range(rng.randint(0, 15))) + f" {i}"
+        assert words(plain) == re.findall("[a-z0-9]+", plain.lower()) == words(disguised(plain, rng))
