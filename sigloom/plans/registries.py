@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import matchers
 from sigloom.plans.identification import doc_files
+from sigloom.session import shared_path
 from sigloom.session import table as T
 from sigloom.sources import library, mimeinfo, registry
 from sigloom.sources.catalog import Catalog
@@ -50,6 +51,21 @@ def library_documents(s, d) -> list[ET.Element]:
     return [ET.fromstring(f"<FDD id={quoteattr(i)} shortName={quoteattr(name)}>{''.join(sig('filenameExtension', e) for e in exts)}{sig('internetMediaType', mime)}{sig('magicNumbers', 'ASCII: ' + name[:2])}{below(k)}{link(k)}</FDD>") for k, i, name, mime, exts, _ in fs]
 
 
+def reports_read(s, d) -> DataFrame:
+    """Format reports written as XML and read again: puid, name, version, exts, mimes."""
+    r = T(s, d, "format_registry").where("ns = 'pronom' and ident_id is not null")
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    ident = lambda c, kind: F.concat(F.lit("<FormatIdentifier><Identifier>"), safe(c), F.lit(f"</Identifier><IdentifierType>{kind}</IdentifierType></FormatIdentifier>"))
+    exts = F.array_join(F.transform("exts", lambda e: F.concat(F.lit("<ExternalSignature><Signature>"), safe(e), F.lit("</Signature><SignatureType>File extension</SignatureType></ExternalSignature>"))), "")
+    xml = F.concat(F.lit("<FileFormat><FormatName>"), safe(F.col("format_name")), F.lit("</FormatName><FormatVersion>"), safe(F.col("format_version")), F.lit("</FormatVersion>"), ident(F.col("ident_id"), "PUID"), F.coalesce(ident(F.nullif("mime_type", F.lit("")), "MIME"), F.lit("")), F.coalesce(exts, F.lit("")), F.lit("</FileFormat>"))
+    path = shared_path(s, "reports")
+    r.groupBy(F.pmod(F.xxhash64("ident_id"), F.lit(20))).agg(F.concat(F.lit("<reports>"), F.array_join(F.collect_list(xml), ""), F.lit("</reports>")).alias("value")).select("value").repartition(20, "value").write.option("maxRecordsPerFile", 1).text(path)
+    x = registry.read_reports(s, path)
+    own = F.array_join(F.array_sort(F.transform(F.filter("ExternalSignature", lambda e: e["SignatureType"] == "File extension"), lambda e: e["Signature"])), ",")
+    mimes = F.array_join(F.transform(F.filter("FormatIdentifier", lambda i: i["IdentifierType"] == "MIME"), lambda i: i["Identifier"]), ",")
+    return x.select("puid", F.col("FormatName").alias("name"), F.coalesce("FormatVersion", F.lit("")).alias("version"), F.coalesce(own, F.lit("")).alias("exts"), mimes.alias("mimes"))
+
+
 def shown(make, relation: str, *keep: int):
     """Rows of a relation of a catalogue as texts joined by |."""
     return lambda s, d: s.createDataFrame([("|".join(str(r[i]) for i in keep),) for r in make(s, d).rows(relation)], "row string").distinct()
@@ -96,6 +112,7 @@ def undoubled(s, d) -> DataFrame:
 
 def queries():
     return {
+        "reports_read": reports_read,
         "droid_globs_all": shown(droid, "globs", 1, 3),
         "droid_priorities_all": shown(droid, "priorities", 1, 2),
         "droid_signatures_all": hits(droid),
@@ -123,6 +140,7 @@ docs AS (SELECT 'docs/' || doc_id || CASE WHEN e = '' THEN '' ELSE '.' || e END
 def oracle_sql():
     own = "SELECT id, word FROM m WHERE name != '' UNION ALL SELECT a.id, b.word FROM m a JOIN m b ON a.k = b.k + 1 AND a.k % 4 = 1 WHERE b.name != ''"
     return {
+        "reports_read": "SELECT ident_id AS puid, format_name AS name, coalesce(format_version, '') AS version, coalesce(array_to_string(list_sort(exts), ','), '') AS exts, CASE WHEN mime_type IS NULL OR mime_type = '' THEN '' ELSE mime_type END AS mimes FROM format_registry WHERE ns = 'pronom' AND ident_id IS NOT NULL",
         "droid_globs_all": f"WITH {_OF} SELECT DISTINCT id || '|' || lower(e) AS row FROM (SELECT id, unnest(exts) AS e FROM p) WHERE e != ''",
         "droid_priorities_all": f"WITH {_OF} SELECT sub || '|' || sup AS row FROM prio",
         "droid_signatures_all": f"WITH {_OF} SELECT DISTINCT path, id FROM docs JOIN p ON name != '' AND contains(t, name)",

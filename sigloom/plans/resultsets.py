@@ -9,7 +9,7 @@ import tarfile
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
@@ -80,6 +80,42 @@ def csv_files(s, d) -> DataFrame:
     return g.select(F.col("seq").cast("string").alias("source"), F.concat(F.lit("filename,filesize,modified,errors,namespace,id,basis\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
 
 
+def quoted(c) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def droid_files(s, d) -> DataFrame:
+    """Every file of scan_files in a DROID export of its own, with its folders."""
+    columns = ("ID", "PARENT_ID", "URI", "FILE_PATH", "NAME", "METHOD", "STATUS", "SIZE", "TYPE", "EXT", "LAST_MODIFIED", "EXTENSION_MISMATCH", "MD5_HASH", "FORMAT_COUNT", "PUID", "MIME_TYPE", "FORMAT_NAME", "FORMAT_VERSION")
+    known = F.filter("matches", lambda m: ~m["id"].isin(*results.UNKNOWNS))
+    one = {"FILE_PATH": F.col("filename"), "SIZE": F.col("filesize"), "TYPE": F.lit("File"), "STATUS": F.when(F.col("errors") == "", "Done").otherwise(F.col("errors"))}
+    line = F.concat_ws(",", *(quoted(one.get(c, F.col("puid") if c == "PUID" else F.lit(""))) for c in columns))
+    r = scan_results(s, d).withColumn("puid", F.explode_outer(F.transform(known, lambda m: m["id"])))
+    g = r.groupBy("seq").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    folder = F.concat_ws(",", *(quoted(F.lit({"FILE_PATH": "d", "TYPE": "Folder", "STATUS": "Done"}.get(c, ""))) for c in columns))
+    return g.select(F.col("seq").cast("string").alias("source"), F.concat_ws("\n", F.concat_ws(",", *(quoted(F.lit(c)) for c in columns)), folder, F.array_join("ls", "\n")).alias("text"))
+
+
+def fido_files(s, d) -> DataFrame:
+    """Every file of scan_files in a FIDO list of its own."""
+    r = scan_results(s, d).withColumn("m", F.explode_outer(F.transform("matches", lambda m: m["id"])))
+    known = ~F.coalesce(F.col("m"), F.lit("")).isin(*results.UNKNOWNS)
+    cells = (F.when(known, "OK").otherwise("KO"), F.lit("1"), F.when(known, F.col("m")).otherwise(""), F.lit("x"), F.lit("x"), F.col("filesize"), F.col("filename"), F.lit("None"), F.when(known, "extension").otherwise("fail"))
+    line = F.concat_ws(",", *(c if i == 0 else quoted(c) for i, c in enumerate(cells)))
+    g = r.groupBy("seq").agg(F.collect_list(line).alias("ls"))
+    return g.select(F.col("seq").cast("string").alias("source"), F.array_join("ls", "\n").alias("text"))
+
+
+def release_sets(s, d) -> DataFrame:
+    return registry.release_sets(release_notes(s, d)).select("set", F.array_join("members", ",").alias("members"))
+
+
+def zip_default(s, d) -> DataFrame:
+    """The default id of the zip files in which no container signature is held whole."""
+    c = Catalog("demo", zip_default="x-fmt/263", containers=[("demo", "c/1", "ZIP", 1, 1, 1)], parts=[("demo", "c/1", "ZIP", 1, 1, "folder/a.txt", False, (r"\Afmt",))])
+    return container_hits(packed_files(s, d, "zip"), [c]).select("path", "id", "basis")
+
+
 def csv_lines(s, d) -> DataFrame:
     """All files of scan_files in CSV part files, read back line by line."""
     path = shared_path(s, "csv")
@@ -253,6 +289,10 @@ def queries():
         "results_yaml_read": lambda s, d: read_back(yaml_files(s, d)),
         "results_csv_read": lambda s, d: read_back(csv_files(s, d)),
         "results_csv_lines": csv_lines,
+        "results_droid_read": lambda s, d: read_back(droid_files(s, d)),
+        "results_fido_read": lambda s, d: read_back(fido_files(s, d)),
+        "release_sets": release_sets,
+        "zip_default": zip_default,
         "csv_projection": lambda s, d: results.csv_rows(scan_results(s, d), ["pronom"]).withColumn("row", F.col("row").cast("bigint")),
         "droid_projection": droid_projection,
         "reply_text": lambda s, d: R.fpr_reply(scan_results(s, d)),
@@ -336,6 +376,11 @@ def oracle_sql():
         "results_json_read": read,
         "results_yaml_read": read,
         "results_csv_read": f"WITH {_results('a', False)} SELECT filename, filesize, CASE WHEN len(ids) = 0 THEN '' ELSE {_text('ids')} END AS ids, {_KNOWN} AS known FROM a",
+        "results_droid_read": f"WITH {_results('a', False)}, k AS (SELECT filename, filesize, list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN')) AS k FROM a) SELECT filename, filesize, CASE WHEN len(k) = 0 THEN 'UNKNOWN' ELSE {_text('k')} END AS ids, len(k) > 0 AS known FROM k",
+        "results_fido_read": f"WITH {_results('a', False)}, k AS (SELECT filename, filesize, list_transform(CASE WHEN len(ids) = 0 THEN [''] ELSE ids END, lambda i: CASE WHEN i IN ('', 'unknown', 'UNKNOWN') THEN 'UNKNOWN' ELSE i END) AS k FROM a) SELECT filename, filesize, {_text('k')} AS ids, len(list_filter(k, lambda i: i != 'UNKNOWN')) > 0 AS known FROM k",
+        "release_sets": """WITH x AS (SELECT DISTINCT snap_date, report_id FROM report_snapshots WHERE report_id IS NOT NULL), f AS (SELECT report_id, min(snap_date) AS first FROM x GROUP BY 1),
+            n AS (SELECT strftime(snap_date, '%-d %B %Y') || CASE WHEN snap_date = first THEN ' new' ELSE ' updated' END AS set, CAST(report_id AS VARCHAR) AS m FROM x JOIN f USING (report_id)) SELECT set, array_to_string(list_sort(list(DISTINCT m)), ',') AS members FROM n GROUP BY set""",
+        "zip_default": f"""WITH d AS ({doc}) SELECT doc_id || '.zip' AS path, CASE WHEN starts_with(t, 'fmt') THEN 'c/1' ELSE 'x-fmt/263' END AS id, CASE WHEN starts_with(t, 'fmt') THEN 'container name folder/a.txt with byte match' ELSE 'container match with trigger and default extension' END AS basis FROM d""",
         "results_csv_lines": f"WITH {_results('a', False)} SELECT filename, filesize, CASE WHEN len(ids) = 0 THEN '' ELSE {_text('ids')} END AS ids, {_KNOWN} AS known FROM a",
         "csv_projection": f"""WITH {_results('a', False)} SELECT seq, r AS row, filename, filesize, modified, errors, 'pronom' AS ns, coalesce(ids[r + 1], '') AS id, '' AS format, '' AS version, '' AS mime, CASE WHEN r < len(ids) THEN 'extension match' ELSE '' END AS basis, '' AS warning FROM (SELECT *, unnest(range(greatest(1, len(ids)))) AS r FROM a)""",
         "droid_projection": rf"""WITH {_results('a', False)}, f AS (SELECT replace(filename, '\', '/') AS p, errors, filesize, modified, hash, list_filter(ids, lambda i: i NOT IN ('', 'unknown', 'UNKNOWN')) AS k FROM a),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.operators import priorities
+from sigloom.session import shared_path
 from sigloom.session import table as T
 from sigloom.sources import library, linked, mimeinfo, registry
 from sigloom.sources.catalog import Catalog
@@ -100,6 +103,19 @@ def bindings(s) -> DataFrame:
     return s.createDataFrame(BINDINGS, COLUMNS)
 
 
+def linked_read(s, d) -> DataFrame:
+    """The bindings as a SPARQL result in JSON, written and read again, condensed."""
+    cells = [{n: {"type": "literal", "value": v} for n, v in zip(linked.VARIABLES, r) if v is not None} for r in BINDINGS]
+    path = shared_path(s, "bindings")
+    s.createDataFrame([(json.dumps({"results": {"bindings": cells}}),)], "value string").coalesce(1).write.text(path)
+    return records(linked.read_bindings(s, path))
+
+
+def records(found: DataFrame) -> DataFrame:
+    sig = F.transform("signatures", lambda x: F.concat(F.coalesce(x["notation"], F.lit("-")), F.lit("@"), x["relativity"], x["offset"].cast("string")))
+    return linked.condense(found).select("uri", "name", F.array_join("puids", ",").alias("puids"), F.array_join("extensions", ",").alias("extensions"), F.array_join(sig, ",").alias("signatures"))
+
+
 def _rows(values):
     return lambda s, d: s.createDataFrame([(v,) for v in values()], "row string")
 
@@ -140,7 +156,8 @@ def queries():
         "library_matches": matches_of(library.from_library(_documents()), SOUNDS),
         "library_priorities": shown(lib, "priorities", 1, 2),
         "library_borrowed": _rows(lambda: sorted({i for _, i, _, _ in lib.signatures})),
-        "linked_records": lambda s, _: linked.condense(bindings(s)).select("uri", "name", F.array_join("puids", ",").alias("puids"), F.array_join("extensions", ",").alias("extensions"), F.array_join(F.transform("signatures", lambda x: F.concat(F.coalesce(x["notation"], F.lit("-")), F.lit("@"), x["relativity"], x["offset"].cast("string"))), ",").alias("signatures")),
+        "linked_records": lambda s, _: records(bindings(s)),
+        "linked_read": linked_read,
         "linked_lint": lambda s, _: linked.lint(bindings(s)),
         "linked_summary": lambda s, _: linked.summary(linked.condense(bindings(s)), linked.lint(bindings(s))),
         "sets_inline": lambda s, _: priorities.expand_sets(s.createDataFrame(INLINE_SETS, "set string, member string"), ["v", "x"]),
@@ -173,7 +190,7 @@ _LINKED = rf"""v AS (SELECT * FROM (VALUES {_list(BINDINGS)}) AS v(uri, name, pu
 
 
 def oracle_sql():
-    return {
+    out = {
         "droid_priorities": _values("fmt/1|fmt/2", "fmt/1|fmt/4", "fmt/2|fmt/4"),
         "droid_globs": _values("fmt/1|png", "fmt/2|png", "fmt/3|html", "fmt/4|pkg"),
         "droid_signatures": _values("0:fmt/1", "1:fmt/2", "2:fmt/3", "3:fmt/1"),
@@ -203,3 +220,4 @@ def oracle_sql():
         "closure_inline": f"""WITH RECURSIVE e AS (SELECT DISTINCT sub, sup FROM (VALUES {_list(CHAIN)}) AS v(sub, sup) WHERE sub != sup AND sub != '' AND sup != ''),
             up AS (SELECT sub, sup FROM e UNION SELECT up.sub, e.sup FROM up JOIN e ON up.sup = e.sub) SELECT sub, sup FROM up WHERE sub != sup""",
     }
+    return out | {"linked_read": out["linked_records"]}
