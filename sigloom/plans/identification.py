@@ -15,7 +15,7 @@ from sigloom.operators.identify import identify
 from sigloom.operators.resolve import gated, resolve_mime, scored, waiting
 from sigloom.session import cut, shared_path, spread
 from sigloom.session import table as T
-from sigloom.sources import registry, results
+from sigloom.sources import files, registry, results
 from sigloom.sources.catalog import Catalog, load
 
 NS = "demo"
@@ -199,6 +199,20 @@ def many() -> Catalog:
     return c
 
 
+def numbers() -> Catalog:
+    """The signatures of numbers alone."""
+    c = many()
+    return Catalog(NS, signatures=[r for r in c.signatures if r[1].startswith("n/")])
+
+
+def scanned(s, d) -> DataFrame:
+    """Every document written to a file of its own, and the folder scanned."""
+    path = shared_path(s, "files")
+    T(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).where("doc_id is not null").write.partitionBy("doc_id").text(path)
+    x = files.scan(s, path, glob="*.txt")
+    return x.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"), "length", F.md5("content").alias("md5"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def library_demo() -> Catalog:
     """A catalogue under the library's rules: l/1 owns a RIFF code, l/2 only a container signature, which rules nothing out there."""
     parts = [("loc", "l/2", "ZIP", 1, 1, "mimetype", False, ())]
@@ -259,6 +273,8 @@ def queries():
         "byte_hits": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "sig_total", "phase", "offset"),
         "byte_basis": lambda s, d: matchers.byte_hits(doc_files(s, d), [demo()]).select("path", "id", "sig_no", "basis"),
         "byte_basis_many": lambda s, d: matchers.byte_hits(doc_files(s, d), [many()]).select("path", "id", "sig_no", "offset", "basis"),
+        "byte_limits": lambda s, d: matchers.byte_hits(doc_files(s, d), [numbers().scan_limits(100, 50)]).select("path", "id", "offset", "basis"),
+        "files_scan": scanned,
         "byte_notation": notation,
         "catalog_saved": saved_catalog,
         "results_written": written_results,
@@ -379,6 +395,11 @@ def oracle_sql():
         "catalog_saved": _mode("conclusive"),
         "results_written": f"""WITH r AS ({_mode("conclusive")}), g AS (SELECT path, array_to_string(list_sort(list(id)), ';') AS ids, array_to_string(list_sort(list(CASE id WHEN 'd/1' THEN 'Results' WHEN 'd/2' THEN 'Registry note' WHEN 'd/3' THEN 'Signature note' WHEN 'd/4' THEN 'German text' WHEN 'd/5' THEN 'Plain text' ELSE '' END)), ';') AS format FROM r GROUP BY path),
             {_FILES.strip()} SELECT l.layout, path AS filename, CAST(size AS BIGINT) AS filesize, format, ids, ids != 'UNKNOWN' AS known, '' AS errors FROM g JOIN files USING (path), (VALUES ('csv'), ('yaml'), ('json')) AS l(layout)""",
+        "byte_limits": rf"""WITH {_FILES}, k AS (SELECT unnest(range({N_MANY})) AS k), m AS (SELECT k, hex(encode(lpad(CAST(k AS VARCHAR), 4, '0'))) AS lit FROM k),
+            c AS (SELECT path, size, k, lit, CASE k % 4 WHEN 2 THEN greatest(size - 54, 0) WHEN 3 THEN 50 ELSE 0 END AS low, h FROM files JOIN m ON contains(h, lit)),
+            p AS (SELECT *, low + length(regexp_extract(h[low * 2 + 1:], '^((?:..)*?)' || lit, 1)) // 2 AS place FROM c WHERE regexp_matches(h[low * 2 + 1:], '^(?:..)*?' || lit))
+            SELECT path, 'n/' || lpad(CAST(k AS VARCHAR), 4, '0') AS id, CAST(CASE WHEN k % 4 = 2 THEN size - place ELSE place + 4 END AS BIGINT) AS "offset", 'byte match at ' || place || ', 4' AS basis FROM p WHERE k % 4 = 2 OR place <= 100""",
+        "files_scan": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS length, md5(coalesce(text, '') || chr(10)) AS md5, '' AS error FROM documents",
         "identify_gated": f'WITH {_HITS} SELECT path, id, matcher, sig_no, phase, CAST("offset" AS BIGINT) AS "offset", basis FROM gated',
         "identify_loc": """SELECT doc_id || '.riff' AS path, 1 AS rank, CASE WHEN doc_id % 2 = 1 THEN 'l/1' ELSE 'l/2' END AS id, CASE WHEN doc_id % 2 = 1 THEN 9 ELSE 1 END AS confidence,
             CASE WHEN doc_id % 2 = 1 THEN 'extension match riff; fourCC matches bext' ELSE 'extension match riff' END AS basis, CASE WHEN doc_id % 2 = 1 THEN '' ELSE 'match on extension only' END AS warning FROM documents""",

@@ -113,6 +113,7 @@ def undoubled(s, d) -> DataFrame:
 def queries():
     return {
         "reports_read": reports_read,
+        "priority_graph_all": lambda s, d: s.createDataFrame([(x,) for x in droid(s, d).priority_graph().splitlines()], "line string"),
         "droid_globs_all": shown(droid, "globs", 1, 3),
         "droid_priorities_all": shown(droid, "priorities", 1, 2),
         "droid_signatures_all": hits(droid),
@@ -140,6 +141,7 @@ docs AS (SELECT 'docs/' || doc_id || CASE WHEN e = '' THEN '' ELSE '.' || e END
 def oracle_sql():
     own = "SELECT id, word FROM m WHERE name != '' UNION ALL SELECT a.id, b.word FROM m a JOIN m b ON a.k = b.k + 1 AND a.k % 4 = 1 WHERE b.name != ''"
     return {
+        "priority_graph_all": f"""WITH {_OF} SELECT '  "' || sub || '" -> "' || sup || '"' AS line FROM prio UNION ALL VALUES ('digraph {{'), ('}}')""",
         "reports_read": "SELECT ident_id AS puid, format_name AS name, coalesce(format_version, '') AS version, coalesce(array_to_string(list_sort(exts), ','), '') AS exts, CASE WHEN mime_type IS NULL OR mime_type = '' THEN '' ELSE mime_type END AS mimes FROM format_registry WHERE ns = 'pronom' AND ident_id IS NOT NULL",
         "droid_globs_all": f"WITH {_OF} SELECT DISTINCT id || '|' || lower(e) AS row FROM (SELECT id, unnest(exts) AS e FROM p) WHERE e != ''",
         "droid_priorities_all": f"WITH {_OF} SELECT sub || '|' || sup AS row FROM prio",
