@@ -73,6 +73,11 @@ class Invalid(ValueError):
     """The text is not valid JSON."""
 
 
+def _text(tok: str) -> str:
+    """The text of a string token."""
+    return json.loads(tok) if "\\" in tok else tok[1:-1]
+
+
 def _place(frame: _Frame | None, root: tuple, begin: int, muted) -> tuple:
     """Path, ordinals, spec and role of the value that begins here: root, member, element, plain or mute."""
     if frame is None:
@@ -111,7 +116,7 @@ def walk(text: str, spec: dict, path: str = "$", ords: tuple = (), member: bool
         if done:
             raise Invalid
         if want in ("key", "key1") and kind == "text":
-            key = json.loads(tok)
+            key = _text(tok)
             if again is not None and key in top.seen:
                 again.add(top.seen[key])
             top.key, want = key, "colon"
@@ -145,10 +150,10 @@ def walk(text: str, spec: dict, path: str = "$", ords: tuple = (), member: bool
                 want = "first"
                 continue
             if role == "member" and kind == "text":
-                yield from streamed(json.loads(tok), s, p, o, True)
+                yield from streamed(_text(tok), s, p, o, True)
             elif role == "plain":
                 if kind == "text":
-                    yield p, o, "text", json.loads(tok)
+                    yield p, o, "text", _text(tok)
                 else:
                     yield (p, o, "null", None) if tok == "null" else (p, o, KINDS[kind], tok)
         # a value has ended
