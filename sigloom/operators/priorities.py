@@ -1,21 +1,30 @@
 """Priority graphs and format sets as DataFrames: closure, dominance, difference, expansion, order.
 
 Graphs here are catalogues' (edges between formats), but the operators make no
-use of that: closure runs as a semi-naive join loop that carries only new
-pairs, with the lineage cut per round, so it ends on loops and scales with the
-closure's size. Defined results: self-links and links with empty or null ends
-are no edges; loops are allowed; a node is never its own superior.
+use of that. Closure sends the graph, which is far smaller than its closure, to
+all tasks, and each makes the pairs of its own superiors, so no pair is
+shuffled or written twice. A graph too large to be sent runs as a semi-naive
+join loop that carries only new pairs, with the lineage cut per round. Defined
+results: self-links and links with empty or null ends are no edges; loops are
+allowed; a node is never its own superior.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.session import cut
 
+#: Edges up to which a graph is broadcast.
+MAX_EDGES = 500_000
+#: Bits of reached nodes that a task holds, nodes a task has at least, and words of reached nodes that are made pairs at once.
+TASK_BITS, LEAST_NODES, WORDS = 1 << 29, 512, 1 << 14
+
 
 def clean(edges: DataFrame) -> DataFrame:
     """Distinct (sub, sup) edges without self-links and empty ends."""
@@ -38,18 +47,122 @@ def grown(parts: list[DataFrame], step, most: int | None = None) -> list[DataFra
     return parts
 
 
-def closure(edges: DataFrame, near: int = 16) -> DataFrame:
+def closure(edges: DataFrame, most: int = MAX_EDGES) -> DataFrame:
     """All (sub, sup) pairs joined by a chain of edges. Loops make this quadratic in their nodes, as every pair of them is a row.
 
+    The edges are counted: up to ``most`` the graph is broadcast, beyond that the pairs are joined round by round.
+    """
+    e = clean(edges)
+    kinds = [e.schema[c].dataType for c in ("sub", "sup")]
+    if kinds[0] == kinds[1] and kinds[0].simpleString() in ("tinyint", "smallint", "int", "bigint", "string"):
+        known = e.limit(most + 1).toArrow()
+        if known.num_rows <= most:
+            return reached(e.sparkSession, known, kinds[0])
+    return walked(e)
+
+
+def walked(edges: DataFrame, near: int = 16) -> DataFrame:
+    """The closure of distinct edges of any number, as a loop of joins.
+
     First the pairs of a few hops, up to ``near`` times as many as there are edges; then every round goes on by as many hops
     at once, so there are far fewer rounds than the longest chain has edges.
     """
-    e = cut(clean(edges))
+    e = cut(edges)
     on = lambda by: lambda fresh: fresh.join(by.select(F.col("sub").alias("sup"), F.col("sup").alias("next")), "sup").select("sub", F.col("next").alias("sup")).where("sub != sup")
     first = grown([e], on(e), near * e.count())
     return reduce(DataFrame.unionByName, grown(first, on(reduce(DataFrame.unionByName, first))))
 
 
+def components(n: int, start: list[int], to: list[int]) -> np.ndarray:
+    """The strong component of each of ``n`` nodes, numbered so that an edge leads to its own component or a lower one.
+
+    The edges of node v end at to[start[v] : start[v + 1]]. Tarjan's algorithm with a stack of its own, as chains are long.
+    """
+    seen, low, comp = [0] * n, [0] * n, [-1] * n
+    at, held, path = start[:n], [], []
+    when = found = 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        path.append(root)
+        while path:
+            v = path[-1]
+            if not seen[v]:
+                when += 1
+                seen[v] = low[v] = when
+                held.append(v)
+            if at[v] < start[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    path.append(w)
+                elif comp[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            path.pop()
+            if low[v] == seen[v]:
+                while comp[v] < 0:
+                    comp[held.pop()] = found
+                found += 1
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+    return np.array(comp, dtype=np.int64)
+
+
+def reached(spark: SparkSession, edges: pa.Table, kind) -> DataFrame:
+    """The closure of edges that fit into memory.
+
+    The graph of strong components, which has no loops, goes to all tasks. The nodes, in the order of their components, are
+    dealt out to the tasks as superiors. A task finds by bit sets which of its own each component reaches, and gives lists
+    of subs and sups; pairs are made of them in the JVM.
+    """
+    out = f"sub {kind.simpleString()}, sup {kind.simpleString()}"
+    if not edges.num_rows:
+        return spark.createDataFrame([], out)
+    ends = pa.chunked_array([*edges["sub"].chunks, *edges["sup"].chunks]).combine_chunks().dictionary_encode()
+    sub, sup = np.split(ends.indices.to_numpy(zero_copy_only=False).astype(np.int64), 2)
+    n = len(ends.dictionary)
+    sup = sup[np.argsort(sub, kind="stable")]
+    start = np.concatenate(([0], np.cumsum(np.bincount(sub, minlength=n))))
+    sub = np.sort(sub)
+    comp = components(n, start.tolist(), sup.tolist())
+    k = int(comp.max()) + 1
+    order = np.argsort(comp, kind="stable")
+    links = np.unique(np.stack((comp[sub], comp[sup]), 1)[comp[sub] != comp[sup]], axis=0)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(-(-n // max(64, TASK_BITS // k)), min(4 * cores, -(-n // LEAST_NODES)))
+    shared = spark.sparkContext.broadcast((ends.dictionary.take(pa.array(order)), comp[order], links))
+    per = WORDS
+
+    def run(batches):
+        nodes, comp, links = shared.value
+        k = int(comp[-1]) + 1
+        members = pa.ListArray.from_arrays(pa.array(np.searchsorted(comp, np.arange(k + 1)), pa.int32()), nodes)
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                mine = np.arange(task, len(comp), tasks)
+                wide = -(-len(mine) // 64)
+                bits = np.zeros((k, 8 * wide), np.uint8)
+                j = np.arange(len(mine))
+                np.bitwise_or.at(bits, (comp[mine], j >> 3), (1 << (j & 7)).astype(np.uint8))
+                words = bits.view(np.uint64)
+                for x, y in links.tolist():  # from low to high, so y is whole
+                    words[x] |= words[y]
+                some = np.flatnonzero(words)
+                for i in range(0, len(some), per):
+                    at = some[i : i + per]
+                    word, bit = np.nonzero(np.unpackbits(bits.reshape(-1, 8)[at], axis=1, bitorder="little"))
+                    at = at[word]
+                    comps = at // wide
+                    first = np.flatnonzero(np.diff(comps, prepend=-1))
+                    sups = nodes.take(pa.array(mine[(at % wide) * 64 + bit]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), sups)
+                    yield pa.RecordBatch.from_arrays([members.take(pa.array(comps[first])), lists], names=["subs", "sups"])
+
+    lists = spark.range(0, tasks, 1, tasks).mapInArrow(run, f"subs array<{kind.simpleString()}>, sups array<{kind.simpleString()}>")
+    return lists.select(F.explode("subs").alias("sub"), "sups").select("sub", F.explode("sups").alias("sup")).where("sub != sup")
+
+
 def apply(hits: DataFrame, edges: DataFrame, group: str = "grp") -> DataFrame:
     """Hits (group, id) without those that have a superior among the hits of their group."""
     over = hits.select(group, F.col("id").alias("sup")).join(edges, "sup").select(group, F.col("sub").alias("id")).distinct()
